@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -125,29 +124,29 @@ def ids_of(values: list) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in values], np.int64)
 
 
-class WordHasher(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def split_words(body: bytes, sizes: np.ndarray, lower: bool = False) -> tuple[list[list[bytes]], np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each text (bytes.split divides at exactly these six), and their counts."""
-    out, at = [], 0
-    for n in sizes.tolist():
-        text = body[at : at + n]
-        out.append((text.lower() if lower else text).split())  # bytes.lower changes A-Z only
-        at += n
-    return out, np.fromiter(map(len, out), np.int64, len(out))
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: A random 64-bit value for each byte.
+BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
+
+
+def word_hashes(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts that follow each other in body, and the number of words of each."""
+    data = np.frombuffer(body, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+    space = SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)  # a text starts here
+    ends = np.cumsum(sizes)
+    edge[0] = True
+    edge[ends] = True
+    first = ~space
+    last = first.copy()
+    first[1:] &= space[:-1] | edge[1:-1]
+    last[:-1] &= space[1:] | edge[1:-1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    hashes = mix(Ranges(BYTE_VALUES[data]).of(start, end) + (end - start).astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readlake.llm.bpe_tree import token_digests
 from readlake.llm.exact_dedup import exact_dedup
+from readlake.llm.fertility import fertility_rules
 from readlake.llm.mixing import mix_sources
+from readlake.llm.recompression import substring_dedup
 from readlake.llm.sharding import interleaved_shards
 
 
@@ -13,10 +16,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_recompression(spark, sf_dir):
+    return substring_dedup(_documents(spark, sf_dir))
+
+
+def op4_bpe_tree(spark, sf_dir):
+    return token_digests(_documents(spark, sf_dir))
+
+
 def op5_sharding(spark, sf_dir):
     return interleaved_shards(_documents(spark, sf_dir))
 
 
+def op7_fertility(spark, sf_dir):
+    return fertility_rules(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -25,9 +40,20 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op8_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_recompression, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op10_mixing)}
 
 ORACLES = {
+    "op2_recompression": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM starts),
+        least AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN least USING (w) WHERE m < doc_id),
+        g AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed,
+            sha256(array_to_string(list_filter(ws, lambda w, i: NOT coalesce(list_contains(js, i), false)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """.strip(),
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
