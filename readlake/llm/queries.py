@@ -10,6 +10,7 @@ from readlake.llm.fertility import fertility_rules
 from readlake.llm.mixing import mix_sources
 from readlake.llm.recompression import substring_dedup
 from readlake.llm.sharding import interleaved_shards
+from readlake.llm.suffixes import repeated_bytes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,15 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op9_suffixes(spark, sf_dir):
+    return repeated_bytes(_documents(spark, sf_dir))
+
+
 def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_recompression, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_recompression, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
 
 ORACLES = {
     "op2_recompression": r"""
