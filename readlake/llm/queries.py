@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from readlake.llm.bpe_tree import token_digests
 from readlake.llm.exact_dedup import exact_dedup
 from readlake.llm.fertility import fertility_rules
+from readlake.llm.jaccard import jaccard_classes
 from readlake.llm.mixing import mix_sources
 from readlake.llm.recompression import substring_dedup
 from readlake.llm.sharding import interleaved_shards
@@ -21,6 +22,10 @@ def op2_recompression(spark, sf_dir):
     return substring_dedup(_documents(spark, sf_dir))
 
 
+def op3_jaccard(spark, sf_dir):
+    return jaccard_classes(_documents(spark, sf_dir))
+
+
 def op4_bpe_tree(spark, sf_dir):
     return token_digests(_documents(spark, sf_dir))
 
@@ -45,9 +50,21 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_recompression, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
 
 ORACLES = {
+    "op3_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS t FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id != b.doc_id GROUP BY 1, 2),
+        link AS (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u) c USING (doc_id)
+    """.strip(),
     "op2_recompression": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
