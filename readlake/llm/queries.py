@@ -12,12 +12,17 @@ from readlake.llm.mixing import mix_sources
 from readlake.llm.recompression import substring_dedup
 from readlake.llm.sharding import interleaved_shards
 from readlake.llm.suffixes import repeated_bytes
+from readlake.llm.templates import extract_main_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_templates(spark, sf_dir):
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_recompression(spark, sf_dir):
     return substring_dedup(_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_templates, op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
 
 ORACLES = {
     "op3_jaccard": r"""
