@@ -130,23 +130,27 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
 
 
-def word_hashes(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts that follow each other in body, and the number of words of each."""
+def word_places(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word [^\\x20\\x09-\\x0D]+ of texts that follow each other in body."""
     data = np.frombuffer(body, np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = SPACE[data]
     edge = np.zeros(len(data) + 1, bool)  # a text starts here
-    ends = np.cumsum(sizes)
     edge[0] = True
-    edge[ends] = True
+    edge[np.cumsum(sizes)] = True
     first = ~space
     last = first.copy()
     first[1:] &= space[:-1] | edge[1:-1]
     last[:-1] &= space[1:] | edge[1:-1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = mix(Ranges(BYTE_VALUES[data]).of(start, end) + (end - start).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that follow each other in body, and the number of words of each."""
+    start, end = word_places(body, sizes)
+    hashes = mix(Ranges(BYTE_VALUES[np.frombuffer(body, np.uint8)]).of(start, end) + (end - start).astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from readlake.llm.bpe_tree import token_digests
 from readlake.llm.exact_dedup import exact_dedup
 from readlake.llm.fertility import fertility_rules
+from readlake.llm.hidden_markov import score_documents
 from readlake.llm.jaccard import jaccard_classes
 from readlake.llm.mixing import mix_sources
 from readlake.llm.recompression import substring_dedup
@@ -39,6 +40,10 @@ def op5_sharding(spark, sf_dir):
     return interleaved_shards(_documents(spark, sf_dir))
 
 
+def op6_hidden_markov(spark, sf_dir):
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op7_fertility(spark, sf_dir):
     return fertility_rules(_documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_templates, op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_templates, op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op6_hidden_markov, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
 
 ORACLES = {
     "op3_jaccard": r"""
