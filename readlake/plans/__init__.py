@@ -1 +1,13 @@
-"""See the package README section."""
+"""Registered queries over the driver's tables, and their SQL."""
+
+from readlake.plans import statistics
+
+FAMILIES = [statistics]
+
+
+def registered() -> tuple[dict, dict]:
+    queries, sql = {}, {}
+    for family in FAMILIES:
+        queries |= family.QUERIES
+        sql |= family.ORACLES
+    return queries, sql
