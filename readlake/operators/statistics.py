@@ -163,23 +163,23 @@ def heat_levels(daily: DataFrame, levels: int = 7, by: Sequence[str] = BY) -> Da
 
 
 def upload_summary(days: DataFrame, by: Sequence[str] = ("library", "folder")) -> DataFrame:
-    """Totals and speeds of a book's days for the name of its uploaded file.
+    """Totals and speeds of a book's days, as they stand in the name of its uploaded file.
 
-    The least speeds are an ordered fold in which a later zero starts afresh; the greatest is that of the last speeds; means are weighted
-    by whole seconds and by characters, and rounded up.
+    The least speeds are a fold in input order in which a zero starts afresh; the greatest is that of the last speeds.  Weights are
+    whole seconds times characters; means are over days with time and are rounded up.
     """
     row = F.struct("ord", F.col("minReadingSpeed").cast("bigint").alias("least"), F.col("altMinReadingSpeed").cast("bigint").alias("alt"))
     fold = lambda name: F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, x: F.when(acc > 0, F.least(acc, x[name])).otherwise(x[name]))
-    whole = F.col("readingTime").cast("bigint")
     out = days.groupBy(*by).agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), F.sum("charactersRead").alias("characters"), F.sum("readingTime").alias("seconds"), F.max("lastReadingSpeed").alias("max_speed"), F.count("*").alias("n"),
-        F.sum(whole * F.col("lastReadingSpeed")).alias("ws"), F.sum(whole).alias("w"), F.sum(F.col("charactersRead") * F.col("lastReadingSpeed")).alias("cs"), F.max("lastStatisticModified").alias("modified"),
+        F.array_sort(F.collect_list(row)).alias("rows"), F.sum("charactersRead").alias("characters"), F.sum("readingTime").alias("seconds"), F.greatest(F.max("lastReadingSpeed"), F.lit(0)).cast("bigint").alias("max_speed"),
+        F.sum((F.col("readingTime") > 0).cast("bigint")).alias("n"), F.sum(F.col("readingTime").cast("bigint") * F.col("charactersRead")).alias("w"), F.max("lastStatisticModified").alias("modified"),
     )
-    up = lambda a, b: F.when(b > 0, F.ceil(a / b)).otherwise(0).cast("bigint")
-    return out.select(
-        *by, "characters", "seconds", fold("least").alias("min_speed"), fold("alt").alias("alt_min_speed"), F.col("max_speed").cast("bigint").alias("max_speed"), up(F.col("characters"), F.col("n")).alias("mean_characters"),
-        up(F.col("seconds"), F.col("n")).alias("mean_seconds"), up(F.col("ws"), F.col("w")).alias("mean_speed_by_time"), up(F.col("cs"), F.col("characters")).alias("mean_speed_by_characters"), "modified",
+    up = lambda a, b: F.when(F.col(b) > 0, F.ceil(a / F.col(b))).otherwise(0).cast("bigint")
+    out = out.select(
+        *by, "modified", "characters", "seconds", fold("least").alias("min_speed"), fold("alt").alias("alt_min_speed"), up(F.col("characters") * 3600.0, "seconds").alias("last_speed"), "max_speed",
+        up(F.col("seconds"), "n").alias("mean_seconds"), up(F.col("w"), "characters").alias("weighted_seconds"), up(F.col("characters"), "n").alias("mean_characters"), up(F.col("w"), "seconds").alias("weighted_characters"),
     )
+    return out.withColumn("mean_speed", up(F.col("mean_characters") * 3600.0, "mean_seconds")).withColumn("weighted_speed", up(F.col("weighted_characters") * 3600.0, "weighted_seconds"))
 
 
 def all_time(days: DataFrame, by: Sequence[str] = ("library", "folder")) -> DataFrame:

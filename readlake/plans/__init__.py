@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from readlake.plans import statistics
+from readlake.plans import books, statistics
 
-FAMILIES = [statistics]
+FAMILIES = [statistics, books]
 
 
 def registered() -> tuple[dict, dict]:

@@ -136,12 +136,17 @@ def a9_history(spark, sf_dir):
     return S.history(daily(spark, sf_dir), TODAY, KIND, TARGET)
 
 
-@query(with_("dated", """SELECT library, folder, characters, seconds, min_speed, alt_min_speed, max_speed, CAST(ceil(characters / n) AS BIGINT) AS mean_characters, CAST(ceil(seconds / n) AS BIGINT) AS mean_seconds,
-    CASE WHEN w > 0 THEN CAST(ceil(ws / w) AS BIGINT) ELSE 0 END AS mean_speed_by_time, CASE WHEN characters > 0 THEN CAST(ceil(cs / characters) AS BIGINT) ELSE 0 END AS mean_speed_by_characters, modified FROM (
-    SELECT library, folder, CAST(sum("charactersRead") AS BIGINT) AS characters, sum(CAST(round("readingTime" * 1000) AS BIGINT)) / 1000.0 AS seconds, count(*) AS n,
+def _up(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN CAST(ceil({a} / {b}) AS BIGINT) ELSE 0 END"
+
+
+@query(with_("dated", f"""SELECT *, {_up('mean_characters * 3600.0', 'mean_seconds')} AS mean_speed, {_up('weighted_characters * 3600.0', 'weighted_seconds')} AS weighted_speed FROM (
+    SELECT library, folder, modified, characters, seconds, min_speed, alt_min_speed, {_up('characters * 3600.0', 'seconds')} AS last_speed, max_speed, {_up('seconds', 'n')} AS mean_seconds, {_up('w', 'characters')} AS weighted_seconds,
+        {_up('characters', 'n')} AS mean_characters, {_up('w', 'seconds')} AS weighted_characters FROM (
+    SELECT library, folder, CAST(sum("charactersRead") AS BIGINT) AS characters, sum(CAST(round("readingTime" * 1000) AS BIGINT)) / 1000.0 AS seconds, count(*) FILTER ("readingTime" > 0) AS n,
         list_reduce(list("minReadingSpeed" ORDER BY ord), lambda a, x: CASE WHEN a > 0 THEN least(a, x) ELSE x END) AS min_speed, list_reduce(list("altMinReadingSpeed" ORDER BY ord), lambda a, x: CASE WHEN a > 0 THEN least(a, x) ELSE x END) AS alt_min_speed,
-        max("lastReadingSpeed") AS max_speed, sum(CAST(floor("readingTime") AS BIGINT) * "lastReadingSpeed") AS ws, sum(CAST(floor("readingTime") AS BIGINT)) AS w, sum("charactersRead" * "lastReadingSpeed") AS cs, max("lastStatisticModified") AS modified
-    FROM dated GROUP BY library, folder)"""))
+        greatest(max("lastReadingSpeed"), 0) AS max_speed, CAST(sum(CAST(floor("readingTime") AS BIGINT) * "charactersRead") AS BIGINT) AS w, max("lastStatisticModified") AS modified
+    FROM dated GROUP BY library, folder))"""))
 def a10_upload_summary(spark, sf_dir):
     return _whole(S.upload_summary(dated(spark, sf_dir)))
 
