@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from readlake.plans import books, statistics
+from readlake.plans import books, lookup, statistics
 
-FAMILIES = [statistics, books]
+FAMILIES = [statistics, books, lookup]
 
 
 def registered() -> tuple[dict, dict]:
