@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,91 +39,70 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 STRUCTURE = frozenset("html head body article main section div nav header footer aside form ul ol table dl figure fieldset dialog menu".split())
 BLOCKS = STRUCTURE | frozenset("p h1 h2 h3 h4 h5 h6 li tr td th thead tbody tfoot caption dt dd blockquote pre hr br address figcaption details summary center option legend".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_MAIN = frozenset("head nav aside form footer menu dialog button".split())
 NOT_MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|side|footer|masthead|notices?|cookies?|consent|comments?|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|toolbar|widget)(?:$|[\s_-])", re.I)
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|story|entry|body-text|article-body)(?:$|[\s_-])", re.I)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, detail) in page order: ("open" | "close", tag name, class, id and role) and ("text", "", raw text)."""
-    at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            yield "text", "", page[at : m.start()]
-        at = m.end()
-        name = m["name"]
-        if name:
-            detail = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m["attributes"])) if "=" in m["attributes"] else ""
-            yield ("close" if m["close"] else "open"), name.lower(), detail
-        elif m["raw"]:
-            yield "raw", m["raw"].lower(), ""
-    if at < len(page):
-        yield "text", "", page[at:]
-
-
-def label(name: str, detail: str) -> str:
+def label(name: str, attributes: str) -> str:
+    """A structural tag with its class, id and role."""
+    detail = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
     return f"{name}.{detail}"[:200] if detail else name
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, str]]:
-    """(kind, tag name, label, structural path) for tags and ("text", "", raw text, path); unclosed inner elements close with outer ones."""
-    stack: list[tuple[str, str]] = []
-    path = ""
-    for kind, name, detail in tokens(page):
-        if kind == "text":
-            yield kind, "", detail, path
-        elif kind == "raw":
-            yield kind, name, name, path
-        elif kind == "open":
-            own = label(name, detail)
-            yield kind, name, own, path
+def scan(page: str) -> Iterator[tuple[str | None, str, list[str], int]]:
+    """A page's structural tags and text blocks in order.
+
+    Tags are (label, "/" for a closing one, labels of the elements around it, 0); blocks are (None, raw text, labels of the elements
+    around it, characters inside links).  Elements left open close with the element around them.
+    """
+    names: list[str] = []
+    own: list[str] = []
+    parts: list[str] = []
+    links = in_link = at = 0
+    for m in MARKUP.finditer(page):
+        start = m.start()
+        if start > at:
+            parts.append(page[at:start])
+            links += (start - at) * in_link
+        at = m.end()
+        name = m["name"]
+        if not name:
+            continue
+        name, closing = name.lower(), bool(m["close"])
+        if name == "a":
+            in_link = int(not closing)
+        elif name in BLOCKS:
+            if parts:
+                yield None, "".join(parts), own, links
+                parts, links = [], 0
             if name in STRUCTURE:
-                stack.append((name, own))
-                path = "/".join(x for _, x in stack[-4:])
-        elif name in STRUCTURE:
-            if any(n == name for n, _ in stack):
-                own = name
-                while stack:
-                    n, own = stack.pop()
-                    if n == name:
-                        break
-                path = "/".join(x for _, x in stack[-4:])
-                yield kind, name, own, path
-        else:
-            yield kind, name, name, path
+                if not closing:
+                    tag = label(name, m["attributes"])
+                    yield tag, "", own, 0
+                    names, own = [*names, name], [*own, tag]
+                elif name in names:
+                    k = len(names) - 1 - names[::-1].index(name)
+                    tag = own[k]
+                    names, own = names[:k], own[:k]
+                    yield tag, "/", own, 0
+    if at < len(page):
+        parts.append(page[at:])
+    if parts:
+        yield None, "".join(parts), own, links
 
 
 def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def blocks(page: str) -> Iterator[tuple[str, list[str], int]]:
-    """(text, labels of the structural elements around it, characters inside links) of each block of a page, in order."""
-    stack: list[tuple[str, str]] = []
-    parts: list[str] = []
-    links = in_link = 0
-    for kind, name, detail in tokens(page):
-        if kind == "text":
-            parts.append(detail)
-            links += len(detail) * in_link
-            continue
-        if name == "a":
-            in_link = int(kind == "open")
-        if name in BLOCKS and parts:
-            text = clean("".join(parts))
+def blocks(page: str) -> Iterator[tuple[str, str, list[str], int]]:
+    """(text, raw text, labels of the structural elements around it, characters inside links) of each block with text."""
+    for tag, raw, path, links in scan(page):
+        if tag is None:
+            text = clean(raw)
             if text:
-                yield text, [x for _, x in stack], links
-            parts, links = [], 0
-        if name in STRUCTURE:
-            if kind == "open":
-                stack.append((name, label(name, detail)))
-            elif kind == "close" and any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-    text = clean("".join(parts))
-    if text:
-        yield text, [x for _, x in stack], links
+                yield text, raw, path, links
 
 
 def is_main(own: str) -> bool:
@@ -138,29 +118,34 @@ def is_not_main(own: str) -> bool:
 def main_text(page: str, main: list[str], template_texts: frozenset[int]) -> str:
     """The blocks of a page under the first of the template's main elements that it has, else under its own, else the densest."""
     found = list(blocks(page))
-    chosen = next((m for m in main if any(m in path for _, path, _ in found)), None)
+    chosen = next((m for m in main if any(m in path for _, _, path, _ in found)), None)
     if chosen is None:
-        chosen = next((x for _, path, _ in found for x in path if is_main(x)), None)
+        chosen = next((x for _, _, path, _ in found for x in path if is_main(x)), None)
     if chosen is None:
         weight: dict[str, int] = {}
-        for text, path, links in found:
+        for text, _, path, links in found:
             if path and not any(map(is_not_main, path)):
                 weight[path[-1]] = weight.get(path[-1], 0) + max(0, len(text) - 2 * links)
         chosen = max(weight, key=weight.__getitem__) if weight else None
     out = []
-    for text, path, _ in found:
+    for text, raw, path, _ in found:
         if chosen is not None and chosen not in path:
             continue
         inside = path[path.index(chosen) + 1 :] if chosen is not None else path
         outside = path[: path.index(chosen)] if chosen is not None else []
         header = chosen is None and any(x.partition(".")[0] == "header" for x in path)
-        if not header and not any(map(is_not_main, inside)) and not any(map(is_not_main, outside)) and text_id(text, path) not in template_texts:
+        if not header and not any(map(is_not_main, inside)) and not any(map(is_not_main, outside)) and not (template_texts and text_id(raw, path) in template_texts):
             out.append(text)
     return "\n".join(out)
 
 
-def text_id(text: str, path: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("/".join([*path, text]).encode("utf-8", "surrogatepass")) >> 1
+def text_id(raw: str, path: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("/".join([*path, raw]).encode("utf-8", "surrogatepass")) >> 1
+
+
+@lru_cache(maxsize=100_000)
+def hash_of(tag: str, path: tuple[str, ...]) -> int:
+    return xxhash.xxh3_64_intdigest(f"{tag} {'/'.join(path[-4:])}".encode("utf-8", "surrogatepass")) >> 1
 
 
 _VECTOR = "host string, token bigint, tag string, pages bigint, total bigint, vector bigint, place double"
@@ -172,7 +157,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def emit() -> pa.RecordBatch:
-        keys = list(held)
+        # a text block that some page of its host lacks here is in no template
+        keys = [k for k, x in held.items() if x[0] is not None or k[1] == 0 or x[1] == held[k[0], 0][1]]
         cols = [[k[0] for k in keys], [k[1] for k in keys], *([held[k][i] for k in keys] for i in range(5))]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["host", "token", "tag", "pages", "total", "vector", "place"])
@@ -181,14 +167,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, uid, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
             counts: dict[int, list] = {0: [None, 1, 0.0]}
             n = 1
-            for kind, name, own, path in walk(page):
-                if kind in ("open", "close") and name in STRUCTURE:
-                    tag = ("" if kind == "open" else "/") + own
-                    token = xxhash.xxh3_64_intdigest(f"{tag} {path}".encode("utf-8", "surrogatepass")) >> 1
+            for tag, text, path, _ in scan(page):
+                if tag is not None:
                     n += 1
-                    counts.setdefault(token, [tag, 0, n])[1] += 1
-            for text, path, _ in blocks(page):
-                counts.setdefault(text_id(text, path), [None, 0, 0.0])[1] += 1
+                    counts.setdefault(hash_of(text + tag, tuple(path)), [text + tag, 0, n])[1] += 1
+                elif not text.isspace():
+                    counts.setdefault(text_id(text, path), [None, 0, 0.0])[1] += 1
             for token, (tag, count, first) in counts.items():
                 vector = xxhash.xxh3_64_intdigest(f"{uid} {count}") >> 1
                 entry = held.get((host, token))
@@ -207,13 +191,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
+def host_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """host, pages, main (labels of the template's article elements, outermost first), texts (ids of template text blocks).
 
     pages has columns host, uid, html.
     """
     vectors = pages.mapInArrow(_vectors, _VECTOR)
     whole = vectors.groupBy("host", "token").agg(F.max("tag").alias("tag"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"))
+    whole = scratch.table(whole, "vectors")
     # at most 2 / SUPPORT tokens for each token of a mean page remain of a host
     sizes = whole.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     often = whole.where("pages >= 2 or token = 0").join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * SUPPORT)
@@ -252,7 +237,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     scratch = Scratch(spark)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("uid"))
-    templates = scratch.table(host_templates(rows.select("host", "uid", "html")), "templates")
+    templates = scratch.table(host_templates(rows.select("host", "uid", "html"), scratch), "templates")
     n = templates.agg(F.sum("host_pages")).first()[0] or 0
     heavy = F.col("host_pages") > n // 1000  # fewer than a thousand hosts
     columns = ["page_id", "url", "html", "elements", "texts"]
