@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from readlake.plans import books, lookup, statistics
+from readlake.plans import alignment, books, lookup, statistics
 
-FAMILIES = [statistics, books, lookup]
+FAMILIES = [statistics, books, lookup, alignment]
 
 
 def registered() -> tuple[dict, dict]:
