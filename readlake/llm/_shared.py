@@ -8,7 +8,6 @@ occurs in every document arrives at most once per block.
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside numpy arrays; null ids sort after all others.
 NO_ID = np.iinfo(np.int64).max
+BATCH_ROWS = 500
 BLOCK_SCHEMA = "block bigint, ids array<bigint>, sizes array<int>, body binary"
 
 
@@ -39,16 +39,19 @@ class Scratch:
         self.path = f"{root.rstrip('/')}/readlake-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back, which cuts its lineage; the shuffle files of the finished job are removed."""
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, "false")
-        with contextlib.suppress(Exception):  # a setting of newer versions; without it the files stay until garbage collection
-            self.spark.conf.set(key, "true")
+        """Write df and read it back, which cuts its lineage; the shuffle files of the finished job are removed.
+
+        Rows reach Python in batches of BATCH_ROWS at most, since a row may hold the shingles of a document or a block of texts.
+        """
+        settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        before = {key: self.spark.conf.get(key, None) for key in settings}
+        for key, value in settings.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.parquet(f"{self.path}/{name}")
         finally:
-            with contextlib.suppress(Exception):
-                self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

@@ -10,10 +10,10 @@ to the smaller one, for which both prefixes are long enough.
    get document frequencies back.  A document with too few shingles that occur twice can have no link and leaves here.
 2. prefixes: the others give their prefix shingles and sets.  Documents with equal sets are one node from here on.
 3. stars: groups of nodes with a common prefix shingle may be large, so pairs inside them are not listed.  In each round the group
-   picks a centre, every node is verified against the one centre with which it shares most, and links are drawn together into
-   components.
-4. rest: nodes that share enough prefix shingles and are still in different components are verified pair by pair.  No link is
-   lost: a pair inside one component adds nothing to the classes.
+   picks a centre (first the node with the most common shingles, like an original among edited copies), every node is verified against the one centre with which it shares most, and nodes linked with one centre get one
+   root.
+4. rest: nodes that share enough prefix shingles and have different roots are verified pair by pair.  No link is lost: a pair
+   under one root is connected already and adds nothing to the classes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from readlake.llm.groups import attach, components
 BLOCK_BYTES = 2 << 20
 LONGEST = 8  # the largest l
 VERIFY_COST = 20  # cost of verifying a candidate against that of meeting it in a prefix
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 LOW = np.uint64(16)  # frequencies are counted by the hash without its low 16 bits
 
 
@@ -104,7 +104,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "codes": pa.array(coded, pa.binary())})
 
 
-_PREFIX = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("tokens", pa.binary()), ("levels", pa.binary()), ("l", pa.int32())])
+_PREFIX = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("tokens", pa.binary()), ("levels", pa.binary()), ("l", pa.int32()), ("shared", pa.float64()), ("alive", pa.int64())])
 
 
 def prefix_of(codes: np.ndarray, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -143,11 +143,11 @@ def _prefix_rows(words: int, buckets: int, least: int):
                     if node not in seen:
                         seen.add(node)
                         some, level, l = prefix_of(codes[i:j], token[i:j], least)  # noqa: E741
-                        for name, value in zip(_PREFIX.names, (1, None, j - i, node, some.tobytes(), level.tobytes(), l)):
+                        for name, value in zip(_PREFIX.names, (1, None, j - i, node, some.tobytes(), level.tobytes(), l, float(np.log2(decode(codes[i:j])).mean()), int(alive[k]))):
                             out[name].append(value)
-                        for name, value in zip(_PREFIX.names, (2, None, j - i, node, token[i:j].tobytes(), None, None)):
+                        for name, value in zip(_PREFIX.names, (2, None, j - i, node, token[i:j].tobytes(), None, None, None, None)):
                             out[name].append(value)
-                for name, value in zip(_PREFIX.names, (0, doc_id, j - i, node, None, None, None)):
+                for name, value in zip(_PREFIX.names, (0, doc_id, j - i, node, None, None, None, None, None)):
                     out[name].append(value)
         return pa.Table.from_pydict(out, _PREFIX)
 
@@ -161,15 +161,15 @@ def _explode(batches):
         levels = [np.frombuffer(x, np.int32) for x in batch.column("levels").to_pylist()]
         many = lambda c: batch.column(c).take(pa.array(of))
         flat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t), pa.from_numpy_dtype(t))
-        yield pa.RecordBatch.from_arrays([flat(tokens, np.int64), many("node"), many("n"), flat(levels, np.int32), many("l")], ["token", "node", "n", "level", "l"])
+        yield pa.RecordBatch.from_arrays([flat(tokens, np.int64), many("node"), many("n"), flat(levels, np.int32), many("l"), many("shared"), many("alive")], ["token", "node", "n", "level", "l", "shared", "alive"])
 
 
 def _verify(least: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column("set_u"), batch.column("set_v")):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = np.concatenate([a, b])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -192,46 +192,46 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     blocks = scratch.table(pack(docs, id_col, text_col, BLOCK_BYTES), "blocks")
     rows = blocks.select("block", "sizes", "body").mapInArrow(_frequency_rows(words, buckets), "bucket bigint, block bigint, tokens binary, counts binary")
     codes = scratch.table(rows.groupBy("bucket").applyInArrow(_frequencies, "block bigint, bucket bigint, codes binary"), "codes")
-    mixed = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_prefix_rows(words, buckets, least), "kind int, doc_id bigint, n bigint, node bigint, tokens binary, levels binary, l int")
+    mixed = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_prefix_rows(words, buckets, least), "kind int, doc_id bigint, n bigint, node bigint, tokens binary, levels binary, l int, shared double, alive bigint")
     mixed = scratch.table(mixed, "prefixes")
     scratch.drop("blocks"), scratch.drop("codes")
     found = mixed.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
-    sets = mixed.where("kind = 2").select("node", "tokens")
-    tokens = mixed.where("kind = 1").select("node", "n", "tokens", "levels", "l").mapInArrow(_explode, "token bigint, node bigint, n bigint, level int, l int")
-    tokens = scratch.table(tokens.groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "l"))), "tokens")  # equal nodes of several blocks
+    sets = scratch.table(mixed.where("kind = 2").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")  # one of the equal sets of several blocks
+    tokens = mixed.where("kind = 1").select("node", "n", "tokens", "levels", "l", "shared", "alive").mapInArrow(_explode, "token bigint, node bigint, n bigint, level int, l int, shared double, alive bigint")
+    tokens = scratch.table(tokens.groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "l", "shared", "alive"))), "tokens")  # equal nodes of several blocks
 
-    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * least
+    # shingles that no other document has are not common to a pair, so the fewer of those left bound what it shares
+    most = F.least("alive", "alive_u")
+    sized = (F.least("n", "m") * 100 >= F.greatest("n", "m") * least) & (most * 100 >= (F.col("n") + F.col("m") - most) * least)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.table(pairs, f"{name}-pairs")
-        need = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        some = scratch.table(sets.join(need, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), f"{name}-sets")
-        with_v = pairs.join(some.select(F.col("node").alias("v"), F.col("tokens").alias("set_v")), "v")
-        with_u = with_v.join(some.select(F.col("node").alias("u"), F.col("tokens").alias("set_u")), "u")
-        out = scratch.table(with_u.select("u", "v", "set_u", "set_v").mapInArrow(_verify(least), "u bigint, v bigint"), name)
-        scratch.drop(f"{name}-sets")
-        return out
-
-    def labelled(links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame | None]:
+        with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("set_v")), "v")
+        with_u = with_v.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("set_u")), "u")
+        return scratch.table(with_u.select("u", "v", "set_u", "set_v").mapInArrow(_verify(least), "u bigint, v bigint"), name)
+
+    def labelled(links: DataFrame | None) -> DataFrame:
+        """A root for each node such that nodes of one root are connected; connected nodes may still have different roots."""
         if links is None:
-            return tokens.withColumn("root", F.col("node")), None
-        roots = scratch.table(components(links, scratch, name), f"{name}-roots")
-        return tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), roots
+            return tokens.withColumn("root", F.col("node"))
+        centre = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("c"))
+        twice = centre.join(centre.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left").select("node", F.coalesce("cc", "c").alias("root"))
+        return tokens.join(twice, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    links, roots = None, None
+    links = None
     for k in range(STAR_ROUNDS + 1):
-        rooted, roots = labelled(links, f"roots{k}")
-        rank = F.xxhash64(F.lit(k), "node")
-        groups = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("node", "n", "root"), rank).alias("c")).where("r1 != r2")
-        open_ = scratch.table(rooted.join(groups.select("token", F.col("c.node").alias("u"), F.col("c.n").alias("m"), F.col("c.root").alias("ur")), "token"), f"open{k}")
+        rooted = labelled(links)
+        # first the node whose shingles are the most common, as those of an original among its edited copies; then any other
+        rank = F.struct(-F.col("shared"), F.col("node")) if k == 0 else F.struct(F.lit(0.0), F.xxhash64(F.lit(k), "node"))
+        groups = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("node", "n", "alive", "root"), rank).alias("c")).where("r1 != r2")
+        open_ = scratch.table(rooted.join(groups.select("token", F.col("c.node").alias("u"), F.col("c.n").alias("m"), F.col("c.alive").alias("alive_u"), F.col("c.root").alias("ur")), "token"), f"open{k}")
         if open_.isEmpty():
             break
         if k < STAR_ROUNDS:
-            pairs = open_.where(F.col("root") != F.col("ur")).where(sized).groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("shared"))
-            pairs = pairs.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v")
+            pairs = open_.where(F.col("root") != F.col("ur")).where(sized).groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("common"))
+            pairs = pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
         else:
-            side = open_.select("token", "node", "n", "level", "l", "root")
-            other = side.select("token", *(F.col(c).alias(d) for c, d in (("node", "u"), ("n", "m"), ("level", "level_u"), ("l", "l_u"), ("root", "ur"))))
+            side = open_.select("token", "node", "n", "alive", "level", "l", "root")
+            other = side.select("token", *(F.col(c).alias(d) for c, d in (("node", "u"), ("n", "m"), ("alive", "alive_u"), ("level", "level_u"), ("l", "l_u"), ("root", "ur"))))
             fits = F.greatest("level", "level_u") <= F.least("l", "l_u")
             pairs = side.join(other, "token").where((F.col("u") < F.col("node")) & (F.col("root") != F.col("ur")) & sized & fits)
             pairs = pairs.groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("shared"), F.first(F.least("l", "l_u")).alias("l")).where("shared >= l").select("u", "v")
