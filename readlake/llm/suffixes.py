@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from readlake.llm._shared import BYTE_VALUES, Ranges, Scratch, bits, bucket_count, cut, mix, pack, spans_to_mask, squeeze, unbits, unpack
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 GRAM = 64
 MANY = 512
 FULL, SEND, HASH = 1, 2, 4  # what a reply says of a context
@@ -396,6 +396,7 @@ def repeated_bytes(docs: DataFrame, width: int = 400, with_text: bool = False, m
     judged = scratch.table(rows.groupBy("bucket").applyInArrow(lambda table: _judge(table, many), reply), "judged")
     columns = blocks.select("block", "sizes", "body", "hashes")
     rows = columns.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_sort_rows(width, buckets), "bucket bigint, block bigint, kind int, keys binary, entries binary, flags binary, lefts binary, sizes binary, bytes binary")
+    rows = rows.repartition(buckets // 4, "bucket")  # sorting costs far more than its bytes tell, so these partitions are not merged
     found = scratch.table(rows.groupBy("bucket").applyInArrow(_sorted(width), reply), "found")
     replies = judged.unionByName(found)
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
