@@ -104,11 +104,11 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "codes": pa.array(coded, pa.binary())})
 
 
-_PREFIX = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("tokens", pa.binary()), ("levels", pa.binary()), ("l", pa.int32()), ("shared", pa.float64()), ("alive", pa.int64())])
+_PREFIX = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("tokens", pa.binary()), ("levels", pa.binary()), ("afters", pa.binary()), ("l", pa.int32()), ("shared", pa.float64()), ("alive", pa.int64())])
 
 
-def prefix_of(codes: np.ndarray, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix shingles that others have too, the smallest l whose prefix holds each, and the chosen l."""
+def prefix_of(codes: np.ndarray, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The prefix shingles that others have too, the smallest l whose prefix holds each, how many such shingles follow each, and the chosen l."""
     n = len(tokens)
     needed = -(-least * n // 100)
     base = n - needed + 1
@@ -120,7 +120,8 @@ def prefix_of(codes: np.ndarray, tokens: np.ndarray, least: int) -> tuple[np.nda
     order = order[: base + l - 1]
     level = np.maximum(np.arange(len(order)) - base + 2, 1)
     shared = codes[order] > 1
-    return tokens[order][shared], level[shared].astype(np.int32), l
+    after = int((codes > 1).sum()) - np.cumsum(shared)[shared]
+    return tokens[order][shared], level[shared].astype(np.int32), after.astype(np.int32), l
 
 
 def _prefix_rows(words: int, buckets: int, least: int):
@@ -142,12 +143,12 @@ def _prefix_rows(words: int, buckets: int, least: int):
                     node = int(mix(np.array([mix(token[i:j]).sum(dtype=np.uint64) + np.uint64(j - i)], np.uint64))[0] >> np.uint64(1))
                     if node not in seen:
                         seen.add(node)
-                        some, level, l = prefix_of(codes[i:j], token[i:j], least)  # noqa: E741
-                        for name, value in zip(_PREFIX.names, (1, None, j - i, node, some.tobytes(), level.tobytes(), l, float(np.log2(decode(codes[i:j])).mean()), int(alive[k]))):
+                        some, level, after, l = prefix_of(codes[i:j], token[i:j], least)  # noqa: E741
+                        for name, value in zip(_PREFIX.names, (1, None, j - i, node, some.tobytes(), level.tobytes(), after.tobytes(), l, float(np.log2(decode(codes[i:j])).mean()), int(alive[k]))):
                             out[name].append(value)
-                        for name, value in zip(_PREFIX.names, (2, None, j - i, node, token[i:j].tobytes(), None, None, None, None)):
+                        for name, value in zip(_PREFIX.names, (2, None, j - i, node, token[i:j].tobytes(), None, None, None, None, None)):
                             out[name].append(value)
-                for name, value in zip(_PREFIX.names, (0, doc_id, j - i, node, None, None, None, None, None)):
+                for name, value in zip(_PREFIX.names, (0, doc_id, j - i, node, None, None, None, None, None, None)):
                     out[name].append(value)
         return pa.Table.from_pydict(out, _PREFIX)
 
@@ -159,9 +160,10 @@ def _explode(batches):
         tokens = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
         of = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         levels = [np.frombuffer(x, np.int32) for x in batch.column("levels").to_pylist()]
+        afters = [np.frombuffer(x, np.int32) for x in batch.column("afters").to_pylist()]
         many = lambda c: batch.column(c).take(pa.array(of))
         flat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t), pa.from_numpy_dtype(t))
-        yield pa.RecordBatch.from_arrays([flat(tokens, np.int64), many("node"), many("n"), flat(levels, np.int32), many("l"), many("shared"), many("alive")], ["token", "node", "n", "level", "l", "shared", "alive"])
+        yield pa.RecordBatch.from_arrays([flat(tokens, np.int64), many("node"), many("n"), flat(levels, np.int32), flat(afters, np.int32), many("l"), many("shared"), many("alive")], ["token", "node", "n", "level", "after", "l", "shared", "alive"])
 
 
 def _verify(least: int):
@@ -192,13 +194,13 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     blocks = scratch.table(pack(docs, id_col, text_col, BLOCK_BYTES), "blocks")
     rows = blocks.select("block", "sizes", "body").mapInArrow(_frequency_rows(words, buckets), "bucket bigint, block bigint, tokens binary, counts binary")
     codes = scratch.table(rows.groupBy("bucket").applyInArrow(_frequencies, "block bigint, bucket bigint, codes binary"), "codes")
-    mixed = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_prefix_rows(words, buckets, least), "kind int, doc_id bigint, n bigint, node bigint, tokens binary, levels binary, l int, shared double, alive bigint")
+    mixed = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_prefix_rows(words, buckets, least), "kind int, doc_id bigint, n bigint, node bigint, tokens binary, levels binary, afters binary, l int, shared double, alive bigint")
     mixed = scratch.table(mixed, "prefixes")
     scratch.drop("blocks"), scratch.drop("codes")
     found = mixed.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
     sets = scratch.table(mixed.where("kind = 2").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")  # one of the equal sets of several blocks
-    tokens = mixed.where("kind = 1").select("node", "n", "tokens", "levels", "l", "shared", "alive").mapInArrow(_explode, "token bigint, node bigint, n bigint, level int, l int, shared double, alive bigint")
-    tokens = scratch.table(tokens.groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "l", "shared", "alive"))), "tokens")  # equal nodes of several blocks
+    tokens = mixed.where("kind = 1").select("node", "n", "tokens", "levels", "afters", "l", "shared", "alive").mapInArrow(_explode, "token bigint, node bigint, n bigint, level int, after int, l int, shared double, alive bigint")
+    tokens = scratch.table(tokens.groupBy("token", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "after", "l", "shared", "alive"))), "tokens")  # equal nodes of several blocks
 
     # shingles that no other document has are not common to a pair, so the fewer of those left bound what it shares
     most = F.least("alive", "alive_u")
@@ -230,11 +232,14 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
             pairs = open_.where(F.col("root") != F.col("ur")).where(sized).groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("common"))
             pairs = pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
         else:
-            side = open_.select("token", "node", "n", "alive", "level", "l", "root")
-            other = side.select("token", *(F.col(c).alias(d) for c, d in (("node", "u"), ("n", "m"), ("alive", "alive_u"), ("level", "level_u"), ("l", "l_u"), ("root", "ur"))))
+            side = open_.select("token", "node", "n", "alive", "level", "after", "l", "root")
+            other = side.select("token", *(F.col(c).alias(d) for c, d in (("node", "u"), ("n", "m"), ("alive", "alive_u"), ("level", "level_u"), ("after", "after_u"), ("l", "l_u"), ("root", "ur"))))
             fits = F.greatest("level", "level_u") <= F.least("l", "l_u")
             pairs = side.join(other, "token").where((F.col("u") < F.col("node")) & (F.col("root") != F.col("ur")) & sized & fits)
-            pairs = pairs.groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("shared"), F.first(F.least("l", "l_u")).alias("l")).where("shared >= l").select("u", "v")
+            # a pair shares what it shares in the prefixes, and after the last of that at most what either has left
+            found_ = F.count("*").alias("common"), F.min(F.least("after", "after_u")).alias("left"), F.first(F.least("l", "l_u")).alias("l"), F.first("n").alias("n"), F.first("m").alias("m")
+            bound = F.col("common") + F.col("left")
+            pairs = pairs.groupBy("u", F.col("node").alias("v")).agg(*found_).where("common >= l").where(bound * 100 >= (F.col("n") + F.col("m") - bound) * least).select("u", "v")
         new = verified(pairs, f"links{k}")
         links = new if links is None else links.unionByName(new)
     if links is None:
