@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import Scratch
+from readlake.llm._shared import ROW, Scratch, keyed_rows
 from readlake.llm.bpe_tree import token_digests
 from readlake.llm.exact_dedup import drop_copies
 from readlake.llm.fertility import fertility_rules
@@ -21,18 +21,19 @@ MIX_SHARE = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules keep; a row with a null doc_id is judged too but cannot be named, so it stays."""
-    gone = fertility_rules(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """Documents that the fertility rules keep."""
+    rows = keyed_rows(docs)
+    gone = fertility_rules(rows, id_col=ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without equal texts of a smaller doc_id."""
+    """One document of each text: the one with the smallest doc_id."""
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of linked documents."""
+    """One document of each class of linked documents: the one with the smallest doc_id."""
     return drop_near_copies(docs)
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,29 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Names a row for as long as one table of keyed_rows is used; ids may be null or repeated.
+ROW = "__row"
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """docs with a bigint column ROW that names each row, the same at every later read.
+
+    Rows of a Parquet table are named by file and place in it, as they were written; any other DataFrame is written once with its keys.
+    """
+    spark = docs.sparkSession
+    try:
+        # above a join or an explode one row of a file may be several
+        found = docs.select("_metadata.file_path", "_metadata.row_index") if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else None
+    except AnalysisException:  # of these sources only Parquet numbers its rows
+        found = None
+    if found is None:
+        return Scratch(spark).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    files = sorted(r.file_path for r in found.select("file_path").distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "__file bigint, __path string")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at")).join(F.broadcast(numbers), "__path")
+    return rows.select(*docs.columns, (F.shiftleft("__file", 40) + F.col("__at")).alias(ROW))
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Hash ranges of an exchange: some for each shuffle partition, so that it scales with the cluster's own setting."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import Scratch
+from readlake.llm._shared import ROW, Scratch, keyed_rows
 
 MAX_BITS = 1 << 26
 PAGE = 32768  # bits in one value of bitmap_construct_agg
@@ -30,16 +30,16 @@ def _bit(pages: F.Column, place: F.Column) -> F.Column:
     return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, key_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal normalised text the smallest doc_id stays.  Null texts count as empty, so they are equal to each other
     and to empty texts (but not to texts of white space, which normalise to one space).  Null doc_ids sort last.  Of rows that
     repeat both doc_id and text exactly one is kept.  Other columns are ignored, whatever their names.  An empty table gives an
-    empty result.
+    empty result.  key_col, if given, names each row (unique, not null) and is returned too.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("text"), (F.monotonically_increasing_id() if key_col is None else F.col(key_col)).alias("uid"))
     rows = rows.select("doc_id", "uid", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
     rows = scratch.table(rows, "hashes")
     n = rows.count()
@@ -58,18 +58,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))).alias("first")
     groups = scratch.table(possible.groupBy("sha").agg(F.count("*").alias("group_size"), first), "groups")
     heavy = F.col("group_size") > max(1000, n // 1000)
-    cols = [F.col("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
+    key = [] if key_col is None else [F.col("uid").alias(key_col)]
+    cols = [*key, F.col("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
     tagged = possible.join(F.broadcast(groups.where(heavy)), "sha", "left")
     in_heavy = tagged.where("first is not null").select(*cols)
     in_light = tagged.where("first is null").select("doc_id", "uid", "sha").join(groups.where(~heavy), "sha").select(*cols)
-    alone = through.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    alone = through.select(*key, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     return alone.unionByName(in_heavy).unionByName(in_light)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without copies of a smaller doc_id, with all their columns.
-
-    doc_id should be unique: rows that repeat it together with the text stay, and a row that shares its doc_id with a dropped copy goes too.
-    """
-    gone = exact_dedup(docs, id_col, text_col).where("doc_id != keep_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of docs that exact_dedup keeps, with all their columns; null and repeated doc_ids are rows like any other."""
+    rows = keyed_rows(docs)
+    gone = exact_dedup(rows, id_col, text_col, key_col=ROW).where(~F.col("kept")).select(ROW)
+    return rows.join(gone, ROW, "left_anti").drop(ROW)

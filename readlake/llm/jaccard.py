@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import Ranges, Scratch, bucket_count, mix, pack, squeeze, unpack, word_hashes
+from readlake.llm._shared import ROW, Ranges, Scratch, bucket_count, keyed_rows, mix, pack, squeeze, unpack, word_hashes
 from readlake.llm.groups import attach, components
 
 BLOCK_BYTES = 2 << 20
@@ -256,9 +256,12 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that have the smallest doc_id of their class, with all their columns.
+    """One row of docs for each class, with all its columns: that of the smallest doc_id, null ones last.
 
-    doc_id should be unique; rows with a null doc_id stay.
+    Of rows that repeat the smallest doc_id in a class one stays.
     """
-    gone = jaccard_classes(docs, id_col=id_col, text_col=text_col, **how).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    rows = keyed_rows(docs)
+    classes = jaccard_classes(rows, id_col=ROW, text_col=text_col, **how).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("class"))
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col(ROW))
+    first = classes.join(rows.select(ROW, F.col(id_col).alias("id")), ROW).groupBy("class").agg(F.min(rank).alias("first"))
+    return rows.join(first.select(f"first.{ROW}"), ROW, "left_semi").drop(ROW)

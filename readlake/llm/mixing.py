@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from readlake.llm._shared import Scratch
+from readlake.llm._shared import ROW, Scratch, keyed_rows
 from readlake.llm.sharding import _cells
 
 #: Domains of the synthetic documents, which have none of their own: four groups of sources by number.
@@ -77,18 +77,19 @@ def budgets(leaves: Mapping[tuple, int], budget: float, weights: Mapping, max_ep
 
 def mix_sources(
     docs: DataFrame, share: float = 0.6, weights: Mapping = WEIGHTS, max_epochs: float = 2.0, seed: int = 11, domain: str = DOMAIN,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", key_col: str | None = None,
 ) -> DataFrame:
     """One row for each reading of a document: doc_id, domain, lang, source, epoch (from 1), n_tokens, leaf_budget.
 
     share is the budget as a part of all tokens (words between ASCII white space).  Null languages and sources are nodes of their
     own; a null text has no tokens and is read only with whole epochs or inside the prefix.  Documents with the same doc_id are
-    separate rows.  An empty table gives an empty result.  Other columns are ignored.
+    separate rows.  An empty table gives an empty result.  Other columns are ignored.  key_col, if given, names each row (unique,
+    not null) and is returned too.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("n_tokens"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("n_tokens"), (F.monotonically_increasing_id() if key_col is None else F.col(key_col)).alias("uid"))
     rows = scratch.table(rows.withColumn("domain", F.expr(domain)), "rows")
     path = ["domain", "lang", "source"]
     found = rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
@@ -112,11 +113,11 @@ def mix_sources(
     rows = rows.withColumn("running", running).join(sums, [*key, "cell"])
     times = F.col("whole") + (F.col("before") + F.col("running") <= F.col("rest")).cast("bigint")
     rows = rows.withColumn("times", times.cast("int")).where("times > 0")
-    return rows.select("doc_id", *path, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), "n_tokens", "leaf_budget")
+    named = [] if key_col is None else [F.col("uid").alias(key_col)]
+    return rows.select(*named, "doc_id", *path, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), "n_tokens", "leaf_budget")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that mix_sources reads, once for each reading, with all their columns; doc_id must be unique."""
-    id_col = how.get("id_col", "doc_id")
-    read = mix_sources(docs, **how).select(F.col("doc_id").alias("__read"))
-    return docs.join(read, docs[id_col] == F.col("__read")).drop("__read")
+    """The rows of docs that mix_sources reads, once for each reading, with all their columns."""
+    rows = keyed_rows(docs)
+    return rows.join(mix_sources(rows, key_col=ROW, **how).select(ROW), ROW).drop(ROW)

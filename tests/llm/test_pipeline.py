@@ -3,12 +3,15 @@
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline as P  # noqa: E402
 from readlake.llm import bpe_tree, fertility  # noqa: E402
+from readlake.llm._shared import ROW, keyed_rows  # noqa: E402
 from readlake.llm.jaccard import jaccard_classes  # noqa: E402
-from readlake.llm.mixing import mix_sources  # noqa: E402
+from readlake.llm.mixing import mix_sources, mixed_documents  # noqa: E402
 
 
 def test_each_stage_takes_effect(spark, tmp_path):
@@ -35,3 +38,58 @@ def test_each_stage_takes_effect(spark, tmp_path):
     last = P.STAGES[-1][1](spark, docs, str(tmp_path))
     c = bpe_tree.codec(bpe_tree.default_vocabulary())
     assert {(r.doc_id, r.n_tokens) for r in last.collect()} == {(r.doc_id, len(c.library.encode_ordinary(r.text or ""))) for r in docs.collect()}
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_null_and_repeated_ids_are_rows_like_any_other(spark, tmp_path, written):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = jaccard_classes(docs).where("doc_id = component_id").join(fertility.fertility_rules(docs).where("kept").select("doc_id"), "doc_id")
+    a, b, c, d, e = docs.join(good.select("doc_id"), "doc_id").orderBy("doc_id").dropDuplicates(["text"]).limit(5).toPandas().text
+    short = "far too short"
+    made = [
+        (1, a, "a"), (1, a, "a again"), (None, a, "a without id"), (2, b, "b"), (9, b, "copy of b"), (9, c, "c shares 9 with the copy of b"),
+        (None, d, "d without id"), (None, d, "d without id again"), (None, short, "short without id"), (7, short, "short"), (7, e, "e shares 7 with short"),
+        (None, b + " end", "near b without id"), (8, d + " end", "near d"), (8, d + " end of it", "near d again"), (7, e + " end", "near e, same id"),
+    ]
+    table = spark.createDataFrame([(i, t, "en", "source1", m) for i, t, m in made], "doc_id bigint, text string, lang string, source string, mark string")
+
+    def stored(df, name):
+        if written:
+            df.repartition(3).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}") if written else df
+
+    table = stored(table, "all")
+
+    def marks(df):
+        return sorted(r.mark for r in df.collect())
+
+    kept = [fertility.verdicts(fertility.measure([t.encode()], fertility_words()), ["en"], fertility.BANDS)[1][0] for _, t, _ in made]
+    clean = P.quality_rules(spark, table, str(tmp_path))
+    assert marks(clean) == sorted(m for (_, _, m), ok in zip(made, kept) if ok)
+    table = stored(table.where("text != 'far too short'"), "clean")
+    assert clean.columns == table.columns
+    once = marks(P.exact_copies(spark, table, str(tmp_path)))
+    assert len(once) == len({t for _, t, _ in made} - {short})
+    assert len({"a", "a again"} & set(once)) == 1 and len({"d without id", "d without id again"} & set(once)) == 1
+    assert {"b", "c shares 9 with the copy of b", "e shares 7 with short"} <= set(once) and not {"a without id", "copy of b"} & set(once)
+    near = marks(P.near_copies(spark, table, str(tmp_path)))
+    assert len(near) == 5 and {"b", "c shares 9 with the copy of b"} <= set(near)
+    assert [len(x & set(near)) for x in ({"a", "a again"}, {"near d", "near d again"}, {"e shares 7 with short", "near e, same id"})] == [1, 1, 1]
+    assert marks(mixed_documents(table, share=1.0, max_epochs=1.0)) == marks(table)
+
+
+def fertility_words():
+    import public_tokenizers
+
+    return fertility.words_of(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_keys_of_rows_are_distinct_and_stay(spark, tmp_path):
+    spark.range(1000).repartition(5).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    for docs, n in ((table, 1000), (table.crossJoin(spark.range(3).withColumnRenamed("id", "k")), 3000), (table.limit(0), 0)):
+        rows = keyed_rows(docs)
+        assert rows.columns == [*docs.columns, ROW]
+        first = rows.collect()
+        assert len({r[ROW] for r in first}) == len(first) == n
+        assert sorted(first) == sorted(rows.collect())
