@@ -10,10 +10,16 @@ to the smaller one, for which both prefixes are long enough.
    get document frequencies back.  A document with too few shingles that occur twice can have no link and leaves here.
 2. prefixes: the others give their prefix shingles and sets.  Documents with equal sets are one node from here on.
 3. stars: groups of nodes with a common prefix shingle may be large, so pairs inside them are not listed.  In each round the group
-   picks a centre (first the node with the most common shingles, like an original among edited copies), every node is verified against the one centre with which it shares most, and nodes linked with one centre get one
-   root.
-4. rest: nodes that share enough prefix shingles and have different roots are verified pair by pair.  No link is lost: a pair
-   under one root is connected already and adds nothing to the classes.
+   picks a centre (first the node with the most common shingles, like an original among edited copies), every node is verified
+   against the one centre with which it shares most, and nodes linked with one centre get one root.
+4. rest, groups of up to GROUP nodes: nodes that share enough prefix shingles and have different roots are verified pair by pair.
+   A row meets GROUP others at most.
+5. rest, larger groups: what all members share says nothing there, so each member is described by its *difference* to what most
+   members of the cluster (all groups with one centre) have.  Two sets differ by just what their differences differ by, so two
+   members whose differences are small enough link for certain, and all others must share some element of them.  These elements
+   are rare again; members are joined on prefixes of their differences, rarest elements first.
+
+No link is lost: a pair under one root is connected already and adds nothing to the classes.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from readlake.llm._shared import ROW, Ranges, Scratch, bucket_count, keyed_rows, mix, pack, squeeze, unpack, word_hashes
 from readlake.llm.groups import attach, components
@@ -30,6 +37,7 @@ BLOCK_BYTES = 2 << 20
 LONGEST = 8  # the largest l
 VERIFY_COST = 20  # cost of verifying a candidate against that of meeting it in a prefix
 STAR_ROUNDS = 2
+GROUP = 32  # nodes with a common prefix shingle that are paired without another look
 LOW = np.uint64(16)  # frequencies are counted by the hash without its low 16 bits
 
 
@@ -181,6 +189,51 @@ def _verify(least: int):
     return run
 
 
+def _differences(batches):
+    for batch in batches:
+        sides = ([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in ("set_v", "set_c"))
+        different = pa.array([np.setxor1d(a, b, assume_unique=True) for a, b in zip(*sides)], pa.list_(pa.int64()))
+        names = ["c", "node", "n", "alive", "root"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), different], [*names, "d"])
+
+
+def _by_differences(members: DataFrame, sets: DataFrame, least: int, sized: F.Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of clusters (c, node, n, alive, root): links that are certain, and other pairs that may link and have different roots.
+
+    Sets of n and m elements link when (100 + least) * (elements in one of them only) <= (100 - least) * (n + m).  With
+    w = (100 + least) * |difference| - (100 - least) * n for each, two link for certain when the sum of w is 0 or less; else their
+    differences must share sum / span elements.  The hub, the member with the least w, links for certain with every member that
+    some member does; the others are *loose*.  Of two members that the hub does not connect one is loose, which bounds the sum.
+    """
+    span = 2 * (100 + least)
+    side = lambda key, out: sets.select(F.col("node").alias(key), F.col("tokens").alias(out))
+    near = members.join(side("node", "set_v"), "node").join(side("c", "set_c"), "c").select("c", "node", "n", "alive", "root", "set_v", "set_c")
+    near = scratch.table(near.mapInArrow(_differences, "c bigint, node bigint, n bigint, alive bigint, root bigint, d array<bigint>"), "near")
+    rows = near.count()
+    sizes = near.groupBy("c").agg(F.count("*").alias("members"))
+    # elements in most differences; a cluster has at most twice as many as a mean difference
+    most = near.select("c", F.explode("d").alias("t")).groupBy("c", "t").agg(F.count("*").alias("f")).join(sizes, "c").where("2 * f > members")
+    flips = sizes.join(most.groupBy("c").agg(F.collect_list("t").alias("flip")), "c", "left").withColumn("flip", F.coalesce("flip", F.array().cast("array<bigint>")))
+    flipped = attach(near, scratch.table(flips, "flips"), "c", "members", rows).withColumn("d", F.concat(F.array_except("d", "flip"), F.array_except("flip", "d")))
+    weighed = scratch.table(flipped.select("c", "node", "n", "alive", "root", "d", ((100 + least) * F.size("d") - (100 - least) * F.col("n")).alias("w")), "weighed")
+    w0 = F.col("hub.w0")
+    hubs = weighed.groupBy("c").agg(F.min(F.struct(F.col("w").alias("w0"), F.col("node").alias("hub"))).alias("hub"), F.max("w").alias("top"), F.count("*").alias("members"))
+    told = attach(weighed, scratch.table(hubs, "hubs"), "c", "members", rows).withColumn("loose", F.col("w") + w0 > 0)
+    certain = told.where(~F.col("loose") & (F.col("node") != F.col("hub.hub"))).select(F.col("hub.hub").alias("u"), F.col("node").alias("v"))
+    share = F.ceil(F.when(F.col("loose"), F.col("w") + w0).otherwise(F.col("w") - w0 + 1) / span)
+    told = told.where(F.col("top") + w0 > 0).withColumn("prefix", F.size("d") - share + 1)
+    elements = told.select("c", "node", "n", "alive", "root", "w", "loose", "prefix", F.size("d").alias("size"), F.explode("d").alias("t"))
+    elements = scratch.table(elements, "elements")
+    shared = elements.groupBy("c", "t").agg(F.count("*").alias("f"), F.max("loose").alias("open")).where("open")
+    placed = elements.join(shared, ["c", "t"], "left").withColumn("place", F.row_number().over(Window.partitionBy("c", "node").orderBy(F.coalesce("f", F.lit(1)), "t")))
+    chosen = scratch.table(placed.where("place <= prefix and f > 1").withColumn("after", F.col("size") - F.col("place")).drop("place", "prefix", "size", "f", "open"), "chosen")
+    other = chosen.where("loose").select("c", "t", *(F.col(c).alias(d) for c, d in (("node", "u"), ("n", "m"), ("alive", "alive_u"), ("root", "ur"), ("w", "w_u"), ("after", "after_u"))))
+    once = ~F.col("loose") | (F.col("u") < F.col("node"))
+    pairs = chosen.join(other, ["c", "t"]).where(once & (F.col("u") != F.col("node")) & (F.col("root") != F.col("ur")) & sized)
+    pairs = pairs.groupBy("c", "u", F.col("node").alias("v")).agg((F.count("*") + F.min(F.least("after", "after_u"))).alias("bound"), F.first(F.col("w") + F.col("w_u")).alias("sum"))
+    return scratch.table(certain, "certain"), pairs.where(F.col("bound") * span >= F.col("sum")).select("u", "v")
+
+
 def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
 
@@ -224,15 +277,15 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
         rooted = labelled(links)
         # first the node whose shingles are the most common, as those of an original among its edited copies; then any other
         rank = F.struct(-F.col("shared"), F.col("node")) if k == 0 else F.struct(F.lit(0.0), F.xxhash64(F.lit(k), "node"))
-        groups = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("node", "n", "alive", "root"), rank).alias("c")).where("r1 != r2")
-        open_ = scratch.table(rooted.join(groups.select("token", F.col("c.node").alias("u"), F.col("c.n").alias("m"), F.col("c.alive").alias("alive_u"), F.col("c.root").alias("ur")), "token"), f"open{k}")
+        groups = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("node", "n", "alive", "root"), rank).alias("c"), F.count("*").alias("members")).where("r1 != r2")
+        open_ = scratch.table(rooted.join(groups.select("token", "members", F.col("c.node").alias("u"), F.col("c.n").alias("m"), F.col("c.alive").alias("alive_u"), F.col("c.root").alias("ur")), "token"), f"open{k}")
         if open_.isEmpty():
             break
         if k < STAR_ROUNDS:
             pairs = open_.where(F.col("root") != F.col("ur")).where(sized).groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("common"))
             pairs = pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
         else:
-            side = open_.select("token", "node", "n", "alive", "level", "after", "l", "root")
+            side = open_.where(F.col("members") <= GROUP).select("token", "node", "n", "alive", "level", "after", "l", "root")
             other = side.select("token", *(F.col(c).alias(d) for c, d in (("node", "u"), ("n", "m"), ("alive", "alive_u"), ("level", "level_u"), ("after", "after_u"), ("l", "l_u"), ("root", "ur"))))
             fits = F.greatest("level", "level_u") <= F.least("l", "l_u")
             pairs = side.join(other, "token").where((F.col("u") < F.col("node")) & (F.col("root") != F.col("ur")) & sized & fits)
@@ -240,6 +293,10 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
             found_ = F.count("*").alias("common"), F.min(F.least("after", "after_u")).alias("left"), F.first(F.least("l", "l_u")).alias("l"), F.first("n").alias("n"), F.first("m").alias("m")
             bound = F.col("common") + F.col("left")
             pairs = pairs.groupBy("u", F.col("node").alias("v")).agg(*found_).where("common >= l").where(bound * 100 >= (F.col("n") + F.col("m") - bound) * least).select("u", "v")
+            members = open_.where(F.col("members") > GROUP).select(F.col("u").alias("c"), "node", "n", "alive", "root").distinct()
+            certain, more = _by_differences(members, sets, least, sized, scratch)
+            pairs = pairs.unionByName(more).distinct()
+            links = certain if links is None else links.unionByName(certain)
         new = verified(pairs, f"links{k}")
         links = new if links is None else links.unionByName(new)
     if links is None:

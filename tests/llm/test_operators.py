@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readlake.llm import bpe_tree, fertility, hidden_markov, mixing, recompression, templates
+from readlake.llm import bpe_tree, fertility, hidden_markov, jaccard, mixing, recompression, templates
 from readlake.llm.exact_dedup import exact_dedup
 from readlake.llm.jaccard import jaccard_classes
 from readlake.llm.mixing import mix_sources, water_fill
@@ -299,3 +299,39 @@ def test_template_classes(spark):
     pages = [("h", i, PAGE.format(i=i, body="<article><p>" + "x " * i + "</p></article>")) for i in range(5)]
     t = templates.host_templates(spark.createDataFrame(pages, "host string, uid bigint, html string"), Scratch(spark)).first()
     assert t.host_pages == 5 and "article" in t.elements and t.elements.index("html") < t.elements.index("article")
+
+
+@pytest.mark.parametrize("group", [2, 32])
+def test_jaccard_classes_of_crowded_neighbours(spark, monkeypatch, group):
+    """Edited copies around an original that is not there, near the threshold on both sides, and texts that share a passage."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows = []
+    for length, copies in ((90, 160), (150, 120), (30, 40)):
+        base = [word() for _ in range(length)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 3, 4, 6])):
+                t[rnd.randrange(0, length, 3)] = rnd.choice([word(), "same", "other"])
+            rows.append((len(rows), " ".join(t[rnd.randrange(3) :])))
+    passage = [word() for _ in range(80)]
+    for _ in range(60):
+        rows.append((len(rows), " ".join(passage + [word() for _ in range(rnd.randrange(2, 30))])))
+    sets = [shingles(t) for _, t in rows]
+    reach = list(range(len(rows)))
+
+    def find(a):
+        while reach[a] != a:
+            a = reach[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                reach[y] = x
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert rows_of(got, "doc_id", "component_id") == sorted(((i, find(i)) for i in range(len(rows))), key=repr)
+    assert 20 < len({find(i) for i in range(len(rows))}) < 300
