@@ -148,20 +148,43 @@ def r1_track_reading(spark, sf_dir):
     return R.track_reading_batch(updates(spark, sf_dir))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS last, least(value / 20, 1.0) AS p, 2048 * (event_id % 16 + 1) AS n FROM events),
+    s AS (SELECT DISTINCT recording, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS op, CAST(NULL AS BIGINT) AS sil, false AS cont, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, false AS hard, CAST(0 AS BIGINT) AS last FROM f
+        UNION ALL SELECT recording, k, pos, CASE ev WHEN 0 THEN op WHEN 3 THEN pos END, CASE WHEN ev = 0 THEN sil END, CASE ev WHEN 0 THEN cont WHEN 3 THEN true ELSE false END,
+            CASE WHEN ev > 1 OR (ev = 1 AND (cont OR sil - op >= 4000)) THEN op END, CASE WHEN ev = 3 THEN pos ELSE sil END, ev = 3, last
+        FROM (SELECT *, CASE WHEN op IS NULL THEN 0 WHEN pos - sil >= 8000 THEN 1 WHEN pos - op < 320000 THEN 0 WHEN sil IS NULL THEN 3 ELSE 2 END AS ev
+            FROM (SELECT *, CASE WHEN op IS NOT NULL AND p < 0.35 THEN coalesce(sil, fr) END AS sil1 FROM (SELECT f.recording, f.k, s.pos AS fr, s.pos + n AS pos, coalesce(op, CASE WHEN p >= 0.5 THEN s.pos END) AS op, sil AS sil, cont, p, f.last FROM s JOIN f ON f.recording = s.recording AND f.k = s.k + 1)) y (recording, k, fr, pos, op, sil0, cont, p, last, sil)))
+    SELECT recording, start, "end", hard_cut, greatest(start - 16000, 0) AS padded_start, "end" + 4000 AS padded_end FROM (SELECT recording, a AS start, b AS "end", hard AS hard_cut FROM s WHERE a IS NOT NULL
+        UNION ALL SELECT recording, op, coalesce(sil, pos), false FROM s WHERE k = last AND k > 0 AND op IS NOT NULL AND (cont OR coalesce(sil, pos) - op >= 4000))""")
 def r2_hysteresis_segments(spark, sf_dir):
-    frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), F.col("event_id").alias("ord"), F.least(F.col("value") / 200, F.lit(1.0)).alias("probability"), F.lit(512).alias("samples"))
-    return R.hysteresis_segments(frames, quiet=2000, cap=20000, least=1000)
-
-
-@query()
+    frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), F.col("event_id").alias("ord"), F.least(F.col("value") / 20, F.lit(1.0)).alias("probability"), (2048 * (F.col("event_id") % 16 + 1)).alias("samples"))
+    return R.hysteresis_segments(frames)
+
+
+@query("""WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS recording, unnest(range(len(xs))) AS k, unnest(xs) AS text FROM (SELECT *, regexp_split_to_array(text, '\\s+') AS xs FROM conversations)),
+    t AS (SELECT recording, k, i, CASE WHEN i % 2 = 1 AND k % 7 = 0 THEN text || 'x' ELSE text END AS text, k * 0.5 + i % 3 * 0.125 AS s FROM (SELECT recording, k, text, unnest(CASE WHEN k % 20 < 3 AND k >= 20 THEN [k // 20, k // 20 - 1] ELSE [k // 20] END) AS i FROM w WHERE text != '')),
+    b AS (SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY max(s)) AS n, min(s) AS seg, max(s) + 0.5 AS through, list({text: text, s: CAST(s AS DOUBLE), e: CAST(s AS DOUBLE) + 0.5} ORDER BY k) AS raw FROM t GROUP BY recording, i),
+    r AS (SELECT recording, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS given, CAST([] AS STRUCT(text VARCHAR, s DOUBLE, e DOUBLE)[]) AS tail, CAST([] AS STRUCT(text VARCHAR, s DOUBLE, e DOUBLE, begins DOUBLE, too DOUBLE)[]) AS pub FROM b WHERE n = 1
+        UNION ALL SELECT recording, n, greatest(given, coalesce(list_max(list_transform(pub, lambda x: x.too)), given)), list_filter(list_concat(tail, list_transform(pub, lambda x: {text: x.text, s: x.s, e: x.e})), lambda x: x.e >= through - 1.0), pub
+        FROM (SELECT *, list_filter(list_transform(range(1, len(kept) + 1), lambda j: {text: kept[j].text, s: kept[j].s, e: kept[j].e, begins: CASE WHEN j <= early THEN given + (lim - given) * (j - 1) / early ELSE kept[j].s END, too: CASE WHEN j <= early THEN given + (lim - given) * j / early ELSE kept[j].e END}), lambda x: x.too > x.begins) AS pub
+        FROM (SELECT *, CASE WHEN early < len(kept) THEN kept[early + 1].s ELSE kept[len(kept)].e END AS lim
+        FROM (SELECT *, CASE WHEN len(kept) > 0 AND kept[1].s < given THEN coalesce(list_min(list_filter(range(1, len(kept) + 1), lambda j: kept[j].s > given)) - 1, len(kept)) ELSE 0 END AS early
+        FROM (SELECT *, CASE WHEN n = 1 THEN list_filter(raw, lambda x: x.s >= 0) ELSE raw[dup + 1:] END AS kept
+        FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(len(ov), len(raw)) + 1), lambda j: list_transform(ov[len(ov) - j + 1:], lambda x: x.text) = list_transform(raw[1:j], lambda x: x.text) AND raw[1].s < given
+            AND abs(ov[len(ov) - j + 1].s - raw[1].s) <= CASE WHEN j > 1 AND len(list_distinct(string_split(array_to_string(list_transform(raw[1:j], lambda x: x.text), ''), ''))) > 1 THEN 0.75 ELSE 0.25 END)), 0) AS dup
+        FROM (SELECT b.recording, b.n, r.given, r.tail, b.seg, b.through, b.raw, list_filter(r.tail, lambda x: x.e >= b.seg) AS ov FROM r JOIN b ON b.recording = r.recording AND b.n = r.n + 1)))))))
+    SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY n, j) - 1 AS ord, x.text AS text, round(x.begins, 6) AS start, round(x.too, 6) AS "end" FROM (SELECT recording, n, unnest(range(len(pub))) AS j, unnest(pub) AS x FROM r)""")
 def r3_stitch_batches(spark, sf_dir):
-    w = words(spark, sf_dir).where("segment = 0")
-    at = F.col("k") * 0.5
-    rows = w.select("book", "k", F.struct(F.col("text"), at.alias("start"), (at + 0.5).alias("end")).alias("t"))
-    windows = rows.withColumn("batch", F.explode(F.array(F.floor(F.col("k") / 20), F.floor(F.col("k") / 20) - F.when(F.col("k") % 20 < 3, 1).otherwise(0)))).where("batch >= 0").distinct()
-    batches = windows.groupBy("book", "batch").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("x"), F.min("t.start").alias("segment_start"), F.max("t.end").alias("through"))
-    return R.stitch_batches(batches.select(F.col("book").alias("recording"), "segment_start", "through", F.transform("x", lambda e: e["t"]).alias("tokens")))
+    """Every turn is a recording: words half a second apart, heard in batches of 20 that hold three words of the next one."""
+    w = words(spark, sf_dir).select((F.col("book") * 1000 + F.col("segment")).alias("recording"), "k", "text")
+    own = F.floor(F.col("k") / 20)
+    rows = w.withColumn("batch", F.explode(F.when((F.col("k") % 20 < 3) & (F.col("k") >= 20), F.array(own, own - 1)).otherwise(F.array(own))))
+    at = F.col("k") * 0.5 + F.col("batch") % 3 * 0.125
+    heard = F.when((F.col("batch") % 2 == 1) & (F.col("k") % 7 == 0), F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    rows = rows.select("recording", "batch", "k", F.struct(heard.alias("text"), at.alias("start"), (at + 0.5).alias("end")).alias("t"))
+    batches = rows.groupBy("recording", "batch").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("x"), F.min("t.start").alias("segment_start"), F.max("t.end").alias("through"))
+    out = R.stitch_batches(batches.select("recording", "segment_start", "through", F.transform("x", lambda e: e["t"]).alias("tokens")))
+    return out.select("recording", "ord", "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 @query("""WITH f AS (SELECT user_id AS recording, event_id AS ord, greatest(-100.0, least(0.0, -value / 5)) AS level FROM events), b AS (SELECT *, CAST(floor(level + 0.5) AS INTEGER) + 100 AS bin FROM f),

@@ -1,7 +1,7 @@
 """Streams: reading sessions, activity segments, stitched transcripts, upserts and publication.
 
-Each stateful operator is one fold over ordered rows of a key.  Batches run it with applyInPandas over complete keys, streams with
-applyInPandasWithState; state of a key that is silent for `idle_ms` is dropped.
+Streams keep state with applyInPandasWithState; state of a key that is silent for `idle_ms` is dropped.  Batches find by windows where
+a key's rows divide into parts that do not touch each other, and gather at most such a part.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,118 +92,186 @@ def track_reading(updates: DataFrame, idle_ms: int = 7 * DAY_MS) -> DataFrame:
     return updates.groupBy("reader", "book").applyInPandasWithState(fold, out, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-class Segmenter:
-    """Segments of activity with hysteresis over (probability, samples): opens at .5, closes after `quiet` samples below .35, is cut at `cap`."""
+OPEN, SHUT = 0.5, 0.35  # fixed values: activity opens at the one and counts as silence below the other
+LEAD, TAIL = 16_000, 4_000  # fixed values: samples before and after a segment that a recogniser is given
+SEGMENTS = "recording bigint, start bigint, end bigint, hard_cut boolean, padded_start bigint, padded_end bigint"
 
-    def __init__(self, state: str | None = None, quiet: int = 8000, cap: int = 320_000, least: int = 4000):
-        self.quiet, self.cap, self.least = quiet, cap, least
-        self.position, self.start, self.silence, self.continued = json.loads(state) if state else (0, None, None, False)
 
-    def save(self) -> str:
-        return json.dumps([self.position, self.start, self.silence, self.continued])
-
-    def _close(self, end: int) -> list[tuple[int, int, bool]]:
-        start, long = self.start, self.continued or end - self.start >= self.least
-        self.start = self.silence = None
-        self.continued = False
-        return [(start, end, False)] if long and end >= start else []
-
-    def feed(self, frames: Iterable[tuple[float, int]]) -> list[tuple[int, int, bool]]:
-        out: list[tuple[int, int, bool]] = []
-        for p, n in frames:
-            at, self.position = self.position, self.position + n
-            if self.start is None:
-                if p < 0.5:
-                    continue
-                self.start = at
-            if p < 0.35:
-                self.silence = at if self.silence is None else self.silence
-                if self.position - self.silence >= self.quiet:
-                    out += self._close(self.silence)
-                    continue
-            else:
-                self.silence = None
-            if self.position - self.start >= self.cap:
-                hard = self.silence is None
-                out.append((self.start, self.position if hard else self.silence, hard))
-                self.start, self.silence, self.continued = (self.position if hard else None), None, hard
-        return out
-
-    def finish(self) -> list[tuple[int, int, bool]]:
-        return self._close(self.position if self.silence is None else self.silence) if self.start is not None else []
-
-
-def hysteresis_segments(frames: DataFrame, **limits) -> DataFrame:
-    """Segments of each recording from frames (recording, ord, probability, samples)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Segmenter(**limits)
+class Walk(NamedTuple):
+    """What a walk over frames found, and where the segment that is still open begins (None: none is open)."""
+
+    segments: list[tuple[int, int, bool]]
+    open_at: int | None
+    continued: bool
+
+
+def walk(probability: np.ndarray, samples: np.ndarray, quiet: int, cap: int, least: int, offset: int = 0, open_at: int | None = None, continued: bool = False, last: bool = True) -> Walk:
+    """Segments of frames that follow each other from sample offset on; open_at: a segment is open since there.
+
+    A segment begins at a frame of OPEN or more.  It ends where a silence of quiet samples began, or, once it is cap long, where the
+    present silence began, or else right there, and then the next one continues it.  Segments under least samples that end in a full
+    silence are dropped unless they continue another.  Each step leaps to the next such event.
+    """
+    ends = offset + np.cumsum(samples)
+    starts = ends - samples
+    silent = probability < SHUT
+    fresh = silent & ~np.append(False, silent[:-1])
+    since = np.maximum.accumulate(np.where(fresh, np.arange(len(ends)), 0)) if len(ends) else np.zeros(0, int)
+    silence = starts[since]  # of a silent frame: where its silence began
+    loud = np.flatnonzero(probability >= OPEN)
+    shut = np.flatnonzero(silent & (ends - silence >= quiet))
+    first = lambda places, k: int(places[i]) if (i := np.searchsorted(places, k)) < len(places) else len(ends)
+    out, at = [], 0
+    while True:
+        if open_at is None:
+            at = first(loud, at)
+            if at == len(ends):
+                return Walk(out, None, False)
+            open_at = int(starts[at])
+        closing, full = first(shut, at), max(at, int(np.searchsorted(ends, open_at + cap)))
+        if min(closing, full) == len(ends):
+            break
+        if closing <= full:
+            if continued or silence[closing] - open_at >= least:
+                out.append((open_at, int(silence[closing]), False))
+            open_at, continued, at = None, False, closing + 1
+        elif silent[full]:
+            out.append((open_at, int(silence[full]), False))
+            open_at, continued, at = None, False, full + 1
+        else:
+            out.append((open_at, int(ends[full]), True))
+            open_at, continued, at = int(ends[full]), True, full + 1
+    if last and len(ends):
+        end = int(silence[-1] if silent[-1] else ends[-1])
+        if continued or end - open_at >= least:
+            out.append((open_at, end, False))
+    return Walk(out, open_at, continued)
+
+
+def _padded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("padded_start", F.greatest(F.col("start") - LEAD, F.lit(0)).cast("bigint")).withColumn("padded_end", F.col("end") + TAIL)
+
+
+def hysteresis_segments(frames: DataFrame, quiet: int = 8000, cap: int = 320_000, least: int = 4000) -> DataFrame:
+    """Segments of activity (recording, start, end, hard_cut, padded_start, padded_end) from frames (recording, ord, probability, samples).
+
+    Activity is certainly over at every frame whose silence is quiet long, so these frames divide a recording into islands, and
+    what happens in an island needs no look at others.  Islands shorter than cap are one segment and are found by windows; only
+    those that must be cut are gathered, each on its own, and walked from cut to cut.
+    """
+    order = Window.partitionBy("recording").orderBy("ord")
+    silent = F.col("probability") < SHUT
+    rows = frames.select("recording", "ord", "probability", "samples").withColumn("to", F.sum("samples").over(order)).withColumn("from", F.col("to") - F.col("samples"))
+    fresh = silent & ~F.coalesce(F.lag(silent).over(order), F.lit(False))
+    rows = rows.withColumn("silence", F.when(silent, F.last(F.when(fresh, F.col("from")), ignorenulls=True).over(order)))
+    rows = rows.withColumn("shut", F.coalesce(F.col("to") - F.col("silence") >= quiet, F.lit(False)))
+    rows = rows.withColumn("island", F.coalesce(F.sum(F.col("shut").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    of = Window.partitionBy("recording", "island")
+    rows = rows.withColumn("start", F.min(F.when(F.col("probability") >= OPEN, F.col("from"))).over(of)).where("start is not null and from >= start")
+    full = F.max(F.when(~F.col("shut"), F.col("to"))).over(of) - F.col("start") >= cap
+    rows = rows.withColumn("full", F.coalesce(full, F.lit(False)))
+    end = F.max_by(F.when(F.col("probability") < SHUT, F.col("silence")).otherwise(F.col("to")), "ord").alias("end")
+    whole = rows.where(~F.col("full")).groupBy("recording", "island").agg(F.min("start").alias("start"), end).where(F.col("end") - F.col("start") >= least)
+    whole = whole.select("recording", "start", "end", F.lit(False).alias("hard_cut"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        found = s.feed(zip(pdf["probability"].tolist(), pdf["samples"].tolist())) + s.finish()
+        found = walk(pdf["probability"].to_numpy(), pdf["samples"].to_numpy(), quiet, cap, least, int(pdf["from"].iloc[0])).segments
         return pd.DataFrame([(pdf["recording"].iloc[0], *x) for x in found], columns=["recording", "start", "end", "hard_cut"])
 
-    return frames.groupBy("recording").applyInPandas(fold, "recording bigint, start bigint, end bigint, hard_cut boolean")
+    parts = rows.where("full").select("recording", "island", "ord", "probability", "samples", "from").groupBy("recording", "island").applyInPandas(cut, "recording bigint, start bigint, end bigint, hard_cut boolean")
+    return _padded(whole.unionByName(parts))
 
 
-def hysteresis_segments_stream(frames: DataFrame, idle_ms: int = DAY_MS, **limits) -> DataFrame:
-    """Streaming twin: closed segments as they appear; what is open when a recording falls silent for idle_ms is given then."""
+def hysteresis_segments_stream(frames: DataFrame, idle_ms: int = DAY_MS, quiet: int = 8000, cap: int = 320_000, least: int = 4000) -> DataFrame:
+    """Streaming twin: closed segments as they appear; what is open when a recording falls silent for idle_ms is given then.
+
+    The state holds the frames since the open segment began: about cap samples at most.
+    """
+    columns = ["recording", "start", "end", "hard_cut"]
 
     def fold(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState):
-        s = Segmenter(state.get[0] if state.exists else None, **limits)
+        probability, samples, offset, open_at, continued = json.loads(state.get[0]) if state.exists else ([], [], 0, None, False)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values("ord")
+            probability, samples = probability + rows["probability"].tolist(), samples + rows["samples"].tolist()
+        p, n = np.array(probability, float), np.array(samples, np.int64)
+        found = walk(p, n, quiet, cap, least, offset, open_at, continued, last=state.hasTimedOut)
         if state.hasTimedOut:
-            found = s.finish()
             state.remove()
         else:
-            rows = pd.concat(list(parts)).sort_values("ord")
-            found = s.feed(zip(rows["probability"].tolist(), rows["samples"].tolist()))
-            state.update((s.save(),))
+            begins = offset + np.cumsum(n) - n
+            keep = len(p) if found.open_at is None else int(np.searchsorted(begins, found.open_at))
+            now = int(begins[keep]) if keep < len(p) else offset + int(n.sum())
+            state.update((json.dumps([p[keep:].tolist(), n[keep:].tolist(), now, found.open_at, found.continued]),))
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(*key, *x) for x in found], columns=["recording", "start", "end", "hard_cut"])
+        out = pd.DataFrame([(*key, *x) for x in found.segments], columns=columns)
+        yield out.assign(padded_start=(out["start"].astype("int64") - LEAD).clip(lower=0), padded_end=out["end"].astype("int64") + TAIL)
 
-    return frames.groupBy("recording").applyInPandasWithState(fold, "recording bigint, start bigint, end bigint, hard_cut boolean", "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("recording").applyInPandasWithState(fold, SEGMENTS, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-class Stitcher:
-    """Tokens of overlapping batches as one line: repeated leading tokens dropped, early ones fitted in after what was already given."""
+PHRASE_DRIFT, WORD_DRIFT = 0.75, 0.25  # fixed values: seconds that a repeated phrase, or a single symbol, may have moved
+MEMORY = 1.0  # fixed value: seconds before a batch's end whose tokens the next one may repeat
 
-    def __init__(self, start: float = 0.0):
-        self.committed, self.previous, self.recognised, self.given = start, [], False, start
 
-    def _repeated(self, overlap: list, raw: list) -> int:
-        for n in range(min(len(overlap), len(raw)), 0, -1):
-            old, new = overlap[-n:], raw[:n]
-            phrase = n > 1 and len(set("".join(t[0] for t in new))) > 1
-            if [t[0] for t in old] == [t[0] for t in new] and new[0][1] < self.given and abs(old[0][1] - new[0][1]) <= (0.75 if phrase else 0.25):
-                return n
+def repeated_prefix(known: pd.DataFrame, new: pd.DataFrame, heard_to: float) -> int:
+    """How many leading tokens of new repeat the last ones of known."""
+    if not len(new) or not len(known) or new["start"].iat[0] >= heard_to:
         return 0
-
-    def accept(self, segment_start: float, through: float, raw: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
-        if through <= self.committed:
-            return []
-        overlap = [t for t in self.previous if t[2] >= segment_start]
-        kept = raw[self._repeated(overlap, raw) :] if self.recognised else [t for t in raw if t[1] >= self.committed]
-        early = next((i for i, t in enumerate(kept) if t[1] > self.given), len(kept)) if kept and kept[0][1] < self.given else 0
-        end = kept[early][1] if early < len(kept) else kept[-1][2] if kept else through
-        room = (end - self.given) / early if early else 0.0
-        timed = [(t[0], self.given + room * i, self.given + room * (i + 1)) if i < early else t for i, t in enumerate(kept)]
-        out = [t for t in timed if t[2] > t[1]]
-        self.previous = [t for t in self.previous + [k for k, t in zip(kept, timed) if t[2] > t[1]] if t[2] >= through - 1.0]
-        self.recognised, self.committed = True, through
-        self.given = max([self.given, *(t[2] for t in out)])
-        return out
-
-
-def stitch_batches(batches: DataFrame) -> DataFrame:
-    """Tokens of each recording from batches (recording, segment_start, through, tokens array<struct<text, start, end>>), in order of through."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, rows = Stitcher(), []
-        pdf = pdf.sort_values("through")
-        for a, b, tokens in zip(pdf["segment_start"], pdf["through"], pdf["tokens"]):
-            rows += s.accept(a, b, [(t["text"], t["start"], t["end"]) for t in tokens])
-        return pd.DataFrame([(pdf["recording"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["recording", "ord", "text", "start", "end"])
-
-    return batches.groupBy("recording").applyInPandas(fold, "recording bigint, ord bigint, text string, start double, end double")
+    old, texts = known["text"].tolist(), new["text"].tolist()
+    drift = np.abs(known["start"].to_numpy() - new["start"].iat[0])[::-1]  # by number of tokens that would be repeated
+    symbols = [len(set("".join(texts[:n]))) for n in range(1, min(len(old), len(texts)) + 1)]
+    fits = [n for n, (d, k) in enumerate(zip(drift.tolist(), symbols), 1) if d <= (PHRASE_DRIFT if n > 1 and k > 1 else WORD_DRIFT) and old[-n:] == texts[:n]]
+    return max(fits, default=0)
+
+
+def spread(new: pd.DataFrame, heard_to: float, through: float) -> pd.DataFrame:
+    """new with at and to: its own times, but tokens that would begin before heard_to share the time from there to the first that begins later."""
+    late = np.flatnonzero(new["start"].to_numpy() > heard_to)
+    crowd = 0 if not len(new) or new["start"].iat[0] >= heard_to else int(late[0]) if len(late) else len(new)
+    at, to = new["start"].to_numpy(float).copy(), new["end"].to_numpy(float).copy()
+    if crowd:
+        limit = at[crowd] if crowd < len(new) else to[-1]
+        edges = heard_to + (limit - heard_to) * np.arange(crowd + 1) / crowd
+        at[:crowd], to[:crowd] = edges[:-1], edges[1:]
+    return new.assign(at=at, to=to)
+
+
+def stitch_batches(batches: DataFrame, start: float = 0.0) -> DataFrame:
+    """Tokens (recording, ord, text, start, end) from batches (recording, segment_start, through, tokens array<struct<text, start, end>>).
+
+    Batches count in order of through; of those with one through only the first.  A batch that begins, with all its tokens, after
+    the end of every token before it, and ends more than MEMORY later, is untouched by what came before.  Such batches divide a recording into stretches, which are
+    stitched apart: leading tokens that repeat known ones go, and early ones are fitted in after what was heard.
+    """
+    order = Window.partitionBy("recording").orderBy("through")
+    rows = batches.withColumn("n", F.row_number().over(Window.partitionBy("recording", "through").orderBy("segment_start", "tokens"))).where((F.col("n") == 1) & (F.col("through") > start))
+    heard = F.max(F.array_max("tokens.end")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("heard", F.greatest(heard, F.lit(start))).withColumn("begin", F.least("segment_start", F.array_min("tokens.start")))
+    first = F.row_number().over(order) == 1
+    fresh = (F.col("begin") > F.col("heard")) & (F.col("heard") < F.col("through") - MEMORY) & F.exists("tokens", lambda t: t["end"] > t["start"])
+    rows = rows.withColumn("first", first).withColumn("apart", fresh | F.col("first"))
+    rows = rows.withColumn("stretch", F.sum(F.col("apart").cast("bigint")).over(order))
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pd.DataFrame({"text": [], "start": [], "end": []})
+        heard_to, out = start, []
+        for k, row in enumerate(pdf.sort_values("through").itertuples(index=False)):
+            new = pd.DataFrame([(t["text"], t["start"], t["end"]) for t in row.tokens], columns=["text", "start", "end"])
+            new = new[new["start"] >= start] if row.first else new.iloc[repeated_prefix(known[known["end"] >= row.segment_start], new, heard_to) :]
+            new = spread(new, heard_to if k or row.first else -np.inf, row.through)
+            new = new[new["to"] > new["at"]]
+            known = pd.concat([known, new[["text", "start", "end"]]]) if len(known) else new[["text", "start", "end"]]
+            known = known[known["end"] >= row.through - MEMORY]
+            heard_to = max([heard_to, *new["to"].tolist()])
+            out.append(new.assign(through=row.through, k=np.arange(len(new))))
+        out = pd.concat(out)
+        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "through": out["through"], "k": out["k"], "text": out["text"], "start": out["at"], "end": out["to"]})
+
+    found = rows.select("recording", "stretch", "first", "segment_start", "through", "tokens").groupBy("recording", "stretch").applyInPandas(stitch, "recording bigint, through double, k bigint, text string, start double, end double")
+    place = F.row_number().over(Window.partitionBy("recording").orderBy("through", "k")) - 1
+    return found.select("recording", place.cast("bigint").alias("ord"), "text", "start", "end")
 
 
 def noise_floor_activity(frames: DataFrame, frames_back: int = 938, share: float = 0.10) -> DataFrame:

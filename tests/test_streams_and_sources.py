@@ -58,23 +58,60 @@ def test_stream_tracker_equals_batch(spark, tmp_path, no_idle_batches):
     assert got == {tuple(r) for r in R.track_reading_batch(spark.createDataFrame(rows, UPDATES)).collect()}
 
 
-def test_hysteresis():
-    frames = lambda *runs: [(p, 500) for p, n in runs for _ in range(n)]
-    s = R.Segmenter()
-    assert s.feed(frames((0.1, 4), (0.9, 20), (0.4, 4), (0.2, 16))) == [(2000, 14000, False)]
-    assert R.Segmenter().feed(frames((0.9, 4), (0.1, 16))) == []  # too short
-    long = R.Segmenter(cap=10000)
-    assert long.feed(frames((0.9, 25), (0.1, 16))) == [(0, 10000, True), (10000, 12500, False)]
-    half = R.Segmenter()
-    half.feed(frames((0.9, 10)))
-    assert R.Segmenter(half.save()).finish() == [(0, 5000, False)]
-
-
-def test_stitching_drops_repeats():
-    s = R.Stitcher()
-    assert s.accept(0, 2, [("a", 0.0, 1.0), ("b", 1.0, 2.0)]) == [("a", 0.0, 1.0), ("b", 1.0, 2.0)]
-    assert s.accept(1, 4, [("b", 1.1, 2.0), ("c", 2.0, 3.0)]) == [("c", 2.0, 3.0)]
-    assert s.accept(1, 4, [("z", 3.0, 4.0)]) == []
+def frames(*runs, size=500):
+    return [(p, size) for p, n in runs for _ in range(n)]
+
+
+def segments(spark, runs, **limits):
+    rows = [(1, i, p, n) for i, (p, n) in enumerate(runs)]
+    df = spark.createDataFrame(rows, "recording bigint, ord bigint, probability double, samples bigint")
+    return sorted((r.start, r.end, r.hard_cut) for r in R.hysteresis_segments(df, **limits).collect())
+
+
+def test_hysteresis(spark):
+    assert segments(spark, frames((0.1, 3), (0.8, 18), (0.4, 5), (0.2, 17))) == [(1500, 13000, False)]
+    assert segments(spark, frames((0.7, 5), (0.3, 17))) == []  # too short
+    assert segments(spark, frames((0.4, 50))) == []  # never opens
+    assert segments(spark, frames((0.9, 25), (0.1, 16)), cap=10000) == [(0, 10000, True), (10000, 12500, False)]
+    assert segments(spark, frames((0.9, 18), (0.1, 4), (0.9, 10)), cap=10000) == [(0, 9000, False), (11000, 16000, False)]  # the cap falls into a silence
+    assert segments(spark, frames((0.9, 20), (0.1, 16)), cap=10000) == [(0, 10000, True), (10000, 10000, False)]  # what follows a hard cut is kept
+    assert segments(spark, frames((0.9, 12), (0.2, 3))) == [(0, 6000, False)]  # the end closes
+    first = R.hysteresis_segments(spark.createDataFrame([(1, 0, 0.9, 20000)], "recording bigint, ord bigint, probability double, samples bigint")).first()
+    assert (first.padded_start, first.padded_end) == (0, 24000)
+
+
+def test_stream_segments_equal_batch(spark, tmp_path, no_idle_batches):
+    rnd = random.Random(9)
+    schema = "recording bigint, ord bigint, probability double, samples bigint"
+    rows = [(k % 2, k, rnd.choice([0.1, 0.1, 0.4, 0.6, 0.9]) if k // 90 % 2 else rnd.choice([0.2, 0.9, 0.9]), 700) for k in range(1200)]
+    rows += [(k, 2000 + i, 0.9 if i < 20 else 0.1, 700) for k in (0, 1) for i in range(40)]  # all is closed at the end
+    for k in range(0, len(rows), 331):
+        spark.createDataFrame(rows[k : k + 331], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k:05}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    how = {"quiet": 2100, "cap": 14000, "least": 1500}
+    q = R.hysteresis_segments_stream(stream, **how).writeStream.format("memory").queryName("active").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.sql("SELECT * FROM active").collect()))
+    want = sorted(map(tuple, R.hysteresis_segments(spark.createDataFrame(rows, schema), **how).collect()))
+    assert got == want and len(want) > 40 and any(r[3] for r in want)
+
+
+def stitched(spark, *batches):
+    schema = "recording bigint, segment_start double, through double, tokens array<struct<text: string, start: double, end: double>>"
+    rows = R.stitch_batches(spark.createDataFrame([(1, a, b, t) for a, b, t in batches], schema)).orderBy("ord").collect()
+    return [(r.text, r.start, r.end) for r in rows]
+
+
+def test_stitching(spark):
+    one = (0.0, 2.0, [("ta", 0.0, 1.0), ("ki", 1.0, 2.0)])
+    assert stitched(spark, one, (1.0, 4.0, [("ki", 1.125, 2.0), ("no", 2.0, 3.0)])) == [("ta", 0.0, 1.0), ("ki", 1.0, 2.0), ("no", 2.0, 3.0)]
+    # another word at the same time is no repeat: it gets the time up to the next one
+    assert stitched(spark, one, (1.0, 4.0, [("mi", 1.5, 2.0), ("no", 3.0, 4.0)]))[2:] == [("mi", 2.0, 3.0), ("no", 3.0, 4.0)]
+    # a single symbol may move less than a phrase
+    assert len(stitched(spark, one, (0.0, 4.0, [("ki", 1.5, 2.0), ("no", 3.0, 4.0)]))) == 4
+    assert len(stitched(spark, one, (0.0, 4.0, [("ta", 0.5, 1.0), ("ki", 1.5, 2.0), ("no", 3.0, 4.0)]))) == 3
+    # a stretch of its own, and batches that add nothing
+    assert stitched(spark, one, (9.0, 12.0, [("ki", 9.5, 10.0)]), (9.0, 12.0, [("zu", 11.0, 12.0)]), (13.0, 14.0, []))[2:] == [("ki", 9.5, 10.0)]
 
 
 def test_upserted_stream(spark, tmp_path):
