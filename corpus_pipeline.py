@@ -8,12 +8,11 @@ reaches it, with one epoch at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from readlake.llm._shared import ROW, Scratch, keyed_rows
+from readlake.llm._shared import Scratch
 from readlake.llm.bpe_tree import token_digests
 from readlake.llm.exact_dedup import drop_copies
-from readlake.llm.fertility import fertility_rules
+from readlake.llm.fertility import good_documents
 from readlake.llm.jaccard import drop_near_copies
 from readlake.llm.mixing import mixed_documents
 
@@ -21,29 +20,27 @@ MIX_SHARE = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules keep."""
-    rows = keyed_rows(docs)
-    gone = fertility_rules(rows, id_col=ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").drop(ROW)
+    """Documents that the fertility rules keep; those without a text go."""
+    return good_documents(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: the one with the smallest doc_id."""
+    """One document of each text: the one with the smallest doc_id; null doc_ids come last, null texts are equal to empty ones."""
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents: the one with the smallest doc_id."""
+    """One document of each class of linked documents: the one with the smallest doc_id, null ones last; null texts link with nothing."""
     return drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen to fill the weights of domains, languages and sources."""
+    """Documents chosen to fill the weights of domains, languages and sources; null languages and sources are nodes of their own."""
     return mixed_documents(docs, share=MIX_SHARE, max_epochs=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, encoded and decoded."""
+    """Token counts and digests of every document, encoded and decoded; null texts have no tokens, null and repeated doc_ids pass on."""
     return token_digests(docs)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,18 @@ BLOCK_SCHEMA = "block bigint, ids array<bigint>, sizes array<int>, body binary"
 
 
 class Scratch:
-    """Intermediate tables in the shared folder named by spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """Intermediate tables in the shared folder named by spark.checkpoint.dir; where that is unset, an error, but for local masters."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
             root = spark.sparkContext.getCheckpointDir()
-        if root is None:
-            root = tempfile.mkdtemp(prefix="readlake-")
+        if root is None and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            root = tempfile.mkdtemp(prefix="readlake-")  # one machine holds the driver and all tasks
             spark.sparkContext.setCheckpointDir(root)
+        if root is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         self.path = f"{root.rstrip('/')}/readlake-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +67,10 @@ class Scratch:
 
 #: Names a row for as long as one table of keyed_rows is used; ids may be null or repeated.
 ROW = "__row"
+#: Tables of at most so many keys (some 16 MB) are broadcast, larger ones are joined by a shuffle.
+FEW_KEYS = 1_000_000
+#: Tables of more files get their row keys written instead.
+MANY_FILES = 50_000
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
@@ -79,12 +86,31 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
         found = None
     if found is None:
         return Scratch(spark).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    files = sorted(r.file_path for r in found.select("file_path").distinct().collect())
+    files = sorted(r.file_path for r in found.select("file_path").distinct().limit(MANY_FILES + 1).collect())
+    if len(files) > MANY_FILES:
+        return Scratch(spark).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     numbers = spark.createDataFrame(list(enumerate(files)), "__file bigint, __path string")
     rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at")).join(F.broadcast(numbers), "__path")
     return rows.select(*docs.columns, (F.shiftleft("__file", 40) + F.col("__at")).alias(ROW))
 
 
+def keeping_names(f: Callable) -> Callable:
+    """For functions of docs that use keyed_rows and return rows of docs: columns of docs that have a name used here are renamed meanwhile."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        taken = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c.lower() in (ROW, "__file", "__path", "__at")}
+        return f(docs.withColumnsRenamed(taken), *args, **how).withColumnsRenamed({b: a for a, b in taken.items()}) if taken else f(docs, *args, **how)
+
+    return run
+
+
+def without(rows: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows without those whose ROW is in gone, and without ROW; texts are shuffled only if gone is large."""
+    gone = scratch.table(gone.select(ROW), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW_KEYS else gone, ROW, "left_anti").drop(ROW)
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Hash ranges of an exchange: some for each shuffle partition, so that it scales with the cluster's own setting."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import ROW, Scratch, keyed_rows
+from readlake.llm._shared import ROW, Scratch, keeping_names, keyed_rows, without
 
 MAX_BITS = 1 << 26
 PAGE = 32768  # bits in one value of bitmap_construct_agg
@@ -67,8 +67,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alone.unionByName(in_heavy).unionByName(in_light)
 
 
+@keeping_names
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; null and repeated doc_ids are rows like any other."""
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Of equal texts one row stays: the smallest doc_id, null ones last.  Null and repeated doc_ids are rows like any other; null texts
+    are equal to empty ones.  An empty table gives an empty result.  Columns may have any names.
+    """
     rows = keyed_rows(docs)
-    gone = exact_dedup(rows, id_col, text_col, key_col=ROW).where(~F.col("kept")).select(ROW)
-    return rows.join(gone, ROW, "left_anti").drop(ROW)
+    return without(rows, exact_dedup(rows, id_col, text_col, key_col=ROW).where(~F.col("kept")), Scratch(docs.sparkSession))

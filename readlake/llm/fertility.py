@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import mix, spans_to_mask
+from readlake.llm._shared import mix, spans_to_mask, utf8
 
 BATCH = 2 << 20
 #: Accepted (least, most) of each measure: characters per token of words for both vocabularies, share of byte fallback, entropy in
@@ -54,7 +54,7 @@ def words_of(piece_model: str, byte_ranks: str) -> Words:
 class Words:
     """Token counts and ids of words, remembered up to LIMIT words between batches."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, piece_model: str, byte_ranks: str):
         import public_tokenizers
@@ -167,6 +167,45 @@ def verdicts(m: dict[str, np.ndarray], langs: list, bands: Mapping) -> tuple[np.
     return base_failed, ok & ~base_failed, names
 
 
+def _vocabularies(piece_model: str | None, byte_ranks: str | None) -> tuple[str, str]:
+    import public_tokenizers
+
+    return piece_model or public_tokenizers.path("piece_bpe_32k.model"), byte_ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def _in_parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of rows that hold BATCH bytes or a little more."""
+    first = held = 0
+    for k, n in enumerate(sizes, 1):
+        held += n
+        if held >= BATCH or k == len(sizes):
+            yield first, k
+            first, held = k, 0
+
+
+def good_documents(
+    docs: DataFrame, bands: Mapping = BANDS, piece_model: str | None = None, byte_ranks: str | None = None,
+    text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of docs that fertility_rules keeps, with all their columns, in one pass without a shuffle.
+
+    Rows are judged one by one, so null and repeated ids do not matter.  A null text counts as empty and goes, a null or unknown
+    language is judged by script.  An empty table gives an empty result.  Columns may have any names.
+    """
+    model, ranks = _vocabularies(piece_model, byte_ranks)
+    names = docs.columns
+    text, lang = (f"{x}_{len(names)}_{'_'.join(names)}" for x in ("text", "lang"))  # names that docs cannot have
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, langs = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
+            for i, j in _in_parts([len(t) for t in texts]):
+                kept = verdicts(measure(texts[i:j], words_of(model, ranks)), langs[i:j], bands)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(len(names))], names).filter(pa.array(kept))
+
+    return docs.select("*", utf8(text_col).alias(text), F.col(lang_col).cast("string").alias(lang)).mapInArrow(run, docs.schema)
+
+
 def fertility_rules(
     docs: DataFrame, bands: Mapping = BANDS, piece_model: str | None = None, byte_ranks: str | None = None,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -177,9 +216,7 @@ def fertility_rules(
     of the characters are Latin letters, else other).  Null and repeated doc_ids are passed on.  Other columns are ignored.  The
     vocabularies are files that every executor can open.
     """
-    import public_tokenizers
-
-    model, ranks = piece_model or public_tokenizers.path("piece_bpe_32k.model"), byte_ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    model, ranks = _vocabularies(piece_model, byte_ranks)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(ids: list, texts: list[bytes], langs: list) -> pa.RecordBatch:

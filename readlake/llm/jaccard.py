@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from readlake.llm._shared import ROW, Ranges, Scratch, bucket_count, keyed_rows, mix, pack, squeeze, unpack, word_hashes
+from readlake.llm._shared import ROW, Ranges, Scratch, bucket_count, keeping_names, keyed_rows, mix, pack, squeeze, unpack, without, word_hashes
 from readlake.llm.groups import attach, components
 
 BLOCK_BYTES = 2 << 20
@@ -312,13 +312,16 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     return many.select(*columns).unionByName(alone.select(*columns))
 
 
+@keeping_names
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of docs for each class, with all its columns: that of the smallest doc_id, null ones last.
 
-    Of rows that repeat the smallest doc_id in a class one stays.
+    Of rows that repeat the smallest doc_id in a class one stays.  Null texts and texts without words are classes of their own.  An
+    empty table gives an empty result.  Columns may have any names.
     """
-    rows = keyed_rows(docs)
+    scratch, rows = Scratch(docs.sparkSession), keyed_rows(docs)
     classes = jaccard_classes(rows, id_col=ROW, text_col=text_col, **how).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("class"))
+    classes = scratch.table(classes, "classed")
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col(ROW))
     first = classes.join(rows.select(ROW, F.col(id_col).alias("id")), ROW).groupBy("class").agg(F.min(rank).alias("first"))
-    return rows.join(first.select(f"first.{ROW}"), ROW, "left_semi").drop(ROW)
+    return without(rows, classes.join(first.select(f"first.{ROW}"), ROW, "left_anti"), scratch)

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from readlake.llm._shared import ROW, Scratch, keyed_rows
+from readlake.llm._shared import ROW, Scratch, keeping_names, keyed_rows
 from readlake.llm.sharding import _cells
 
-#: Domains of the synthetic documents, which have none of their own: four groups of sources by number.
-DOMAIN = "concat('domain', pmod(cast(regexp_extract(source, '[0-9]+$', 0) as int), 4))"
+#: Documents have no domain column, so their form stands for it: an expression over the columns of docs, by the length of the text.
+DOMAIN = "CASE WHEN length(coalesce(text, '')) < 1000 THEN 'note' WHEN length(text) < 4000 THEN 'article' ELSE 'book' END"
 #: Leaves are parameters of a mixture (a few for each source); more than this is an error, not a mixture.
 MAX_LEAVES = 100_000
-WEIGHTS = {("domain0",): 4.0, ("domain1",): 3.0, ("domain2",): 2.0, ("domain3",): 2.0, "lang": {"en": 5.0, "de": 3.0, "fr": 3.0, "es": 2.0}}
+WEIGHTS = {("note",): 1.0, ("article",): 3.0, ("book",): 2.0, "lang": {"en": 5.0, "de": 3.0, "fr": 3.0, "es": 2.0}}
 
 
 def weight_of(path: Sequence, weights: Mapping) -> float:
@@ -81,7 +81,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row for each reading of a document: doc_id, domain, lang, source, epoch (from 1), n_tokens, leaf_budget.
 
-    share is the budget as a part of all tokens (words between ASCII white space).  Null languages and sources are nodes of their
+    share is the budget as a part of all tokens (words between ASCII white space); domain is an SQL expression over docs.  Null languages and sources are nodes of their
     own; a null text has no tokens and is read only with whole epochs or inside the prefix.  Documents with the same doc_id are
     separate rows.  An empty table gives an empty result.  Other columns are ignored.  key_col, if given, names each row (unique,
     not null) and is returned too.
@@ -89,8 +89,8 @@ def mix_sources(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("n_tokens"), (F.monotonically_increasing_id() if key_col is None else F.col(key_col)).alias("uid"))
-    rows = scratch.table(rows.withColumn("domain", F.expr(domain)), "rows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("n_tokens"), (F.monotonically_increasing_id() if key_col is None else F.col(key_col)).alias("uid"), F.expr(domain).cast("string").alias("domain"))
+    rows = scratch.table(rows, "rows")
     path = ["domain", "lang", "source"]
     found = rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(found) > MAX_LEAVES:
@@ -117,7 +117,12 @@ def mix_sources(
     return rows.select(*named, "doc_id", *path, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), "n_tokens", "leaf_budget")
 
 
+@keeping_names
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that mix_sources reads, once for each reading, with all their columns."""
+    """The rows of docs that mix_sources reads, once for each reading, with all their columns.
+
+    Null and repeated doc_ids are rows like any other; null texts have no tokens, null languages and sources are nodes of their own.
+    An empty table gives an empty result.  Columns may have any names.
+    """
     rows = keyed_rows(docs)
     return rows.join(mix_sources(rows, key_col=ROW, **how).select(ROW), ROW).drop(ROW)

@@ -182,24 +182,38 @@ def test_budgets_spread_shortages_among_siblings_first():
 
 
 def test_mixing(docs):
-    rows = [(i, len(WORD.findall(t or "")), lang, source) for i, t, lang, source, *_ in corpus()]
-    domain = lambda s: None if s is None else f"domain{int(s[3:]) % 4}"
+    rows = [(i, len(WORD.findall(t or "")), "note" if len(t or "") < 100 else "article", lang, source) for i, t, lang, source, *_ in corpus()]
+    how = {"domain": "CASE WHEN length(coalesce(text, '')) < 100 THEN 'note' ELSE 'article' END"}
     tokens = Counter()
-    for _, n, lang, source in rows:
-        tokens[domain(source), lang, source] += n
-    given = mixing.budgets(tokens, 0.6 * sum(tokens.values()), mixing.WEIGHTS, 2.0)
-    got = mix_sources(docs).collect()
-    read = defaultdict(list)
+    for _, n, *leaf in rows:
+        tokens[tuple(leaf)] += n
+    got = mix_sources(docs, **how).collect()
+    read, budget = defaultdict(list), {}
     for r in got:
         read[r["domain"], r["lang"], r["source"]].append(r)
-        assert r["leaf_budget"] == given[r["domain"], r["lang"], r["source"]]
+        budget[r["domain"], r["lang"], r["source"]] = r["leaf_budget"]
+    assert 0.4 * sum(tokens.values()) <= sum(r["n_tokens"] for r in got) <= 0.6 * sum(tokens.values())
     longest = max(n for _, n, *_ in rows)
     for leaf, total in tokens.items():
         used = sum(r["n_tokens"] for r in read[leaf])
-        assert used <= given[leaf] and given[leaf] - used <= longest, leaf
-        whole = given[leaf] // total if total else 0
-        assert all(c in (whole, whole + 1) for c in Counter((r["doc_id"], r["n_tokens"]) for r in read[leaf] if Counter(x[:2] for x in rows)[r["doc_id"], r["n_tokens"]] == 1).values())
-    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix_sources(docs.repartition(7)).collect()), key=repr)
+        assert used <= min(budget.get(leaf, 0), 2 * total) and budget.get(leaf, 0) - used <= longest, leaf
+        epochs = Counter(r["epoch"] for r in read[leaf])
+        own = [x for x in rows if tuple(x[2:]) == leaf]
+        # epochs before the last are whole
+        assert sorted(epochs.values(), reverse=True)[: max(0, len(epochs) - 1)] == [len(own)] * max(0, len(epochs) - 1), (leaf, epochs)
+        for e in epochs:
+            assert not Counter((r["doc_id"], r["n_tokens"]) for r in read[leaf] if r["epoch"] == e) - Counter((x[0], x[1]) for x in own)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix_sources(docs.repartition(7), **how).collect()), key=repr)
+    other = mix_sources(docs, seed=12, **how).collect()
+    assert sorted(map(tuple, got), key=repr) != sorted(map(tuple, other), key=repr)
+
+
+def test_mixing_fills_weights(spark):
+    """Budgets by hand: of 300 tokens, articles get 3 parts to 1 of notes; en has too little among the articles, so de takes the rest."""
+    rows = [(k, "w " * 600, "en" if k < 2 else "de", "s") for k in range(40)] + [(100 + k, "w " * 10, "en", "s") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = mix_sources(docs, share=0.5, weights={("article",): 3.0, ("note",): 1.0}, max_epochs=1.0).groupBy("domain", "lang").agg(F.sum("n_tokens"), F.first("leaf_budget")).collect()
+    assert {tuple(r[:2]): (r[2], r[3]) for r in got} == {("article", "en"): (1200, 1200), ("article", "de"): (10800, 11175), ("note", "en"): (4120, 4125)}
 
 
 def test_fertility_base_counts(docs):

@@ -93,3 +93,20 @@ def test_keys_of_rows_are_distinct_and_stay(spark, tmp_path):
         first = rows.collect()
         assert len({r[ROW] for r in first}) == len(first) == n
         assert sorted(first) == sorted(rows.collect())
+
+
+def test_stages_take_any_columns_nulls_and_no_rows(spark, tmp_path):
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, __row string, __gone int, __read int, uid int, h int, class int, text_5 string, cell int"
+    long = "a long text of words " * 30_000
+    rows = [(1, "one " * 3, "en", "news", 1), (None, None, None, None, None), (1, None, "en", "s99999999999999999999", 2), (3, "", "xx", "src1", 3), (4, " ".join(f"word{i}" for i in range(90)), "en", "src2", 4), (5, long, "de", "src1", 5)]
+    docs = spark.createDataFrame([(*r, f"r{k}", 1, 2, 3, 4, 5, "t", 7) for k, r in enumerate(rows)], names)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert {r["__row"] for r in got} <= {f"r{k}" for k in range(len(rows))} and all(r["uid"] == 3 for r in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert len(P.exact_copies(spark, docs, "").collect()) == 4  # two nulls and an empty text are one
+    assert len(P.near_copies(spark, docs, "").collect()) == 6
+    last = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == 6 and sum(r.n_tokens == 0 for r in last) == 3
