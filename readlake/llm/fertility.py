@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import mix, spans_to_mask, utf8
+from readlake.llm._shared import mix, spans_to_mask
 
 BATCH = 2 << 20
 #: Accepted (least, most) of each measure: characters per token of words for both vocabularies, share of byte fallback, entropy in
@@ -54,7 +55,7 @@ def words_of(piece_model: str, byte_ranks: str) -> Words:
 class Words:
     """Token counts and ids of words, remembered up to LIMIT words between batches."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, piece_model: str, byte_ranks: str):
         import public_tokenizers
@@ -173,14 +174,13 @@ def _vocabularies(piece_model: str | None, byte_ranks: str | None) -> tuple[str,
     return piece_model or public_tokenizers.path("piece_bpe_32k.model"), byte_ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _in_parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _in_parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Half-open ranges of rows that hold BATCH bytes or a little more."""
-    first = held = 0
-    for k, n in enumerate(sizes, 1):
-        held += n
-        if held >= BATCH or k == len(sizes):
-            yield first, k
-            first, held = k, 0
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = min(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BATCH)) + 1, len(sizes))
+        yield first, last
+        first = last
 
 
 def good_documents(
@@ -193,17 +193,21 @@ def good_documents(
     language is judged by script.  An empty table gives an empty result.  Columns may have any names.
     """
     model, ranks = _vocabularies(piece_model, byte_ranks)
-    names = docs.columns
-    text, lang = (f"{x}_{len(names)}_{'_'.join(names)}" for x in ("text", "lang"))  # names that docs cannot have
+    names, schema = docs.columns, docs.schema
+    at, lang_at = (names.index(docs.select(c).columns[0]) for c in (text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(model, ranks)  # not kept for later tasks: workers live longer than this stage
         for batch in batches:
-            texts, langs = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            for i, j in _in_parts([len(t) for t in texts]):
-                kept = verdicts(measure(texts[i:j], words_of(model, ranks)), langs[i:j], bands)[1]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(len(names))], names).filter(pa.array(kept))
-
-    return docs.select("*", utf8(text_col).alias(text), F.col(lang_col).cast("string").alias(lang)).mapInArrow(run, docs.schema)
+            texts = pc.fill_null(batch.column(at).cast(pa.string()).cast(pa.binary()), b"")
+            for i, j in _in_parts(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                m = measure(texts.slice(i, j - i).to_pylist(), words)
+                kept = verdicts(m, batch.column(lang_at).slice(i, j - i).cast(pa.string()).to_pylist(), bands)[1]
+                yield batch.slice(i, j - i).filter(pa.array(kept))
+        del words
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, schema)
 
 
 def fertility_rules(
