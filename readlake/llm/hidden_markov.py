@@ -1,13 +1,17 @@
 """Language model scoring with a hidden Markov model over words.
 
-Symbols: words with at least a 1/FREQUENT part of the training tokens (so FREQUENT of them at most), the end of a text, and CLASSES
-classes of all other words by their last bytes.  A word of a class has the probability of the class times (c + 1) over the class's
-sum of c + 1 and one more for words that training did not meet, so probabilities of all texts sum to one.
+Every word of the training texts has its own emission probability in each state.  It has two parts: a *symbol* (the word itself if
+it has at least a 1/FREQUENT part of the training tokens, the end of a text, or one of CLASSES classes of all other words by their
+last bytes), and inside a class the word, P(word | class, state) = (E + SMOOTH * b) / (sum of E over the class + SMOOTH) with the
+expected count E of the word in the state and b = (c + 1) / (the class's sum of c + 1, and one more for words that training did not
+meet).  So probabilities of all texts sum to one.  Symbols are as large as a model that every task holds may be; the table of words
+grows with the corpus and is only ever dealt out by hash ranges.
 
 1. counts: blocks send their distinct words with training counts and get the counts over the corpus back; this gives the base
    score, and each text becomes a row of symbols.
 2. training: the first counts come from putting each training text into the state of its largest random projection.  Then rounds
-   of Baum-Welch: every partition adds up the expected counts of its texts, the sums over partitions give the next model.
+   of Baum-Welch: every partition adds up the expected counts of its texts, the sums over partitions give the next model.  In the
+   last round blocks also send the expected counts of each of their other words, and get the sums over the corpus back.
 3. scoring: the scaled forward recursion gives the exact probability of each whole text, the end included.
 
 Recursions run over all segments of LENGTH tokens of a block at once: products of the steps of a segment carry the state
@@ -21,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ STATES = 6
 ROUNDS = 3
 LENGTH = 128
 CHUNKS = 16
+FAN_IN = 64  # partial sums that one task adds up
+SMOOTH = 500.0
 SEED = 5
 PRIOR = 2000.0  # tokens of the overall distribution that each state's counts get
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -48,9 +55,11 @@ class Tokens:
     def __init__(self, body: bytes, sizes: np.ndarray):
         body = body.lower()  # bytes.lower changes A-Z only
         hashes, counts = word_hashes(body, sizes)
-        _, end = word_places(body, sizes)
-        data = np.frombuffer(body + b"\0\0\0", np.uint8)
-        last = data[end - 1].astype(np.uint64) << np.uint64(16) | data[end - 2].astype(np.uint64) << np.uint64(8) | data[np.maximum(end - 3, 0)]
+        start, end = word_places(body, sizes)
+        data = np.frombuffer(body, np.uint8)
+        last = np.zeros(len(end), np.uint64)
+        for k in (1, 2, 3):  # the last bytes of the word, 0 where it has no more
+            last = last << np.uint64(8) | np.where(end - k >= start, data[np.maximum(end - k, 0)] if len(data) else 0, 0).astype(np.uint64)
         self.sizes = counts + 1
         self.ends = np.cumsum(self.sizes)
         self.hashes = np.full(int(self.sizes.sum()), END, np.uint64)
@@ -102,6 +111,8 @@ def _counted(threshold: float):
         rows = [(0, b, bucket, squeeze(c.astype(np.int64).tobytes()), None, None) for b, c in zip(table.column("block").to_pylist(), np.split(count[of], np.cumsum([len(p) for p in parts])[:-1]))]
         rows.append((1, None, bucket, count[often].tobytes(), keys[often].tobytes(), None))
         rows.append((2, None, bucket, np.bincount(classes[first][rare], count[rare] + 1, CLASSES).astype(np.int64).tobytes(), None, int((count > 0).sum())))
+        if (keys == END).any():
+            rows.append((3, None, bucket, None, None, int(count[keys == END][0])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
 
     return run
@@ -115,29 +126,30 @@ class Vocabulary(NamedTuple):
     overall: np.ndarray  # smoothed probability of each symbol
 
 
-_TEXTS = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("symbols", pa.binary()), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("rest", pa.list_(pa.float64()))])
+_TEXTS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("word_counts", pa.binary()), ("word_classes", pa.binary()), ("words", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("symbols", pa.binary()), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64()))])
+_TEXTS_DDL = "block bigint, keys binary, word_counts binary, word_classes binary, words binary, ids array<bigint>, sizes array<bigint>, symbols binary, known array<bigint>, base array<double>"
 
 
 def _symbol_rows(v: Vocabulary, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {n: [] for n in _TEXTS.names}
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()))
-        for ids, sizes, body in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "body"))):
+        for block, ids, sizes, body in zip(*(left.column(c).to_pylist() for c in ("block", "ids", "sizes", "body"))):
             t = Tokens(unpack(body), np.array(sizes))
             keys, of, classes = t.distinct()
             bucket, _ = cut(keys, buckets)
             count = np.frombuffer(b"".join(unpack(replies[b]) for b in bucket.tolist()), np.int64)
             symbol = len(v.keys) + 1 + classes.astype(np.int64)
-            rest = np.log10((count + 1) / (v.class_sums[classes] + 1))
+            own = keys != END  # words of classes
+            symbol[~own] = len(v.keys)
             if len(v.keys):
                 at = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
                 often = v.keys[at] == keys
-                symbol[often], rest[often] = at[often], 0.0
-            end = keys == END
-            symbol[end], rest[end] = len(v.keys), 0.0
+                symbol[often], own[often] = at[often], False
+            word = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
             base = np.log10((count + 1) / (v.train_tokens + v.known + 1))
             starts = t.ends - t.sizes
-            row = (ids, t.sizes, squeeze(symbol[of].astype(np.uint16).tobytes()), np.add.reduceat((count > 0)[of].astype(np.int64), starts), np.add.reduceat(base[of], starts), np.add.reduceat(rest[of], starts))
+            row = (block, keys[own].tobytes(), squeeze(count[own].tobytes()), classes[own].tobytes(), squeeze(word[of].tobytes()), ids, t.sizes, squeeze(symbol[of].astype(np.uint16).tobytes()), np.add.reduceat((count > 0)[of].astype(np.int64), starts), np.add.reduceat(base[of], starts))
             for name, value in zip(_TEXTS.names, row):
                 out[name].append(value)
         return pa.Table.from_pydict(out, _TEXTS)
@@ -149,12 +161,14 @@ class Model(NamedTuple):
     initial: np.ndarray  # (states,)
     step: np.ndarray  # (states, states)
     emit: np.ndarray  # (symbols, states)
+    in_class: np.ndarray | None = None  # expected counts of classes, without prior (classes, states)
 
 
 class Lattice:
     """The recursions of a model over texts of symbols, text after text."""
 
-    def __init__(self, model: Model, symbols: np.ndarray, sizes: np.ndarray):
+    def __init__(self, model: Model, symbols: np.ndarray, sizes: np.ndarray, inside: np.ndarray | None = None):
+        """inside: for each token a factor of its emission in each state, that of the word inside its class."""
         k = len(model.initial)
         parts = -(-sizes // LENGTH)
         self.doc = np.repeat(np.arange(len(sizes)), parts)
@@ -166,7 +180,8 @@ class Lattice:
         at = start[None, :] + np.arange(steps)[:, None]
         self.valid = np.arange(steps)[:, None] < size[None, :]
         self.at = np.where(self.valid, at, 0)
-        self.emitted = np.where(self.valid[:, :, None], model.emit[symbols[self.at]], 1.0)
+        emit = model.emit[symbols] if inside is None else model.emit[symbols] * inside
+        self.emitted = np.where(self.valid[:, :, None], emit[self.at], 1.0) if len(emit) else np.ones((0, len(rank), k))
         self.first = rank == 0
         segments = len(rank)
         # state distribution before each segment: from products of the steps of the segments before it
@@ -234,23 +249,33 @@ class Lattice:
             back = weighted @ m.step.T
             back /= back.sum(axis=1, keepdims=True)
             beta = np.where(valid[:, None], back, beta)
+        self.gamma = gamma
         emit = np.stack([np.bincount(self.symbols, gamma[:, z], len(m.emit)) for z in range(k)], axis=1)
         return initial, step * m.step, emit, score
 
 
-def _partial(model: Model | None, overall: np.ndarray, states: int):
-    """Expected counts of a partition's training texts, in CHUNKS pieces."""
+_SUMS = "kind int, chunk int, part int, block bigint, keys binary, sums binary"
+_PARTIAL = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
+
+
+def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int = 0):
+    """Expected counts of a partition's training texts, in CHUNKS pieces (kind 0).
+
+    With buckets also those of the words of each block that are no symbols, by hash range (kind 1, chunk is the range).
+    """
 
     def run(batches):
-        symbols_ = len(overall)
+        symbols_, part = len(overall), TaskContext.get().partitionId()
         initial, step, emit, score = np.zeros(states), np.zeros((states, states)), np.zeros((symbols_, states)), 0.0
         directions = np.random.default_rng(SEED).standard_normal((symbols_, states))
         directions -= overall @ directions
         for batch in batches:
-            for ids, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "symbols"))):
+            out: dict[str, list] = {n: [] for n in _PARTIAL.names}
+            for block, keys, words, ids, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "words", "ids", "sizes", "symbols"))):
                 sizes, symbols = np.array(sizes), np.frombuffer(unpack(data), np.uint16).astype(np.int64)
                 train = ~held_out(ids_of(ids))
-                symbols, sizes = symbols[np.repeat(train, sizes)], sizes[train]
+                tokens = np.repeat(train, sizes)
+                symbols, sizes = symbols[tokens], sizes[train]
                 if not len(sizes):
                     continue
                 if model is None:
@@ -258,25 +283,57 @@ def _partial(model: Model | None, overall: np.ndarray, states: int):
                     state = np.stack([np.bincount(doc, directions[symbols, z], len(sizes)) for z in range(states)]).argmax(axis=0)
                     emit += np.bincount(symbols * states + state[doc], minlength=symbols_ * states).reshape(-1, states)
                     initial += np.bincount(state, minlength=states)
-                else:
-                    a, b, c, s = Lattice(model, symbols, sizes).counts()
-                    initial, step, emit, score = initial + a, step + b, emit + c, score + s
+                    continue
+                lattice = Lattice(model, symbols, sizes)
+                a, b, c, s = lattice.counts()
+                initial, step, emit, score = initial + a, step + b, emit + c, score + s
+                if buckets:
+                    keys, word = np.frombuffer(keys, np.uint64), np.frombuffer(unpack(words), np.int32)[tokens]
+                    inside = word >= 0
+                    sums = np.stack([np.bincount(word[inside], lattice.gamma[inside, z], len(keys)) for z in range(states)], axis=1).astype(np.float32)
+                    of, bounds = cut(keys, buckets)
+                    for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                        for name, value in zip(_PARTIAL.names, (1, bucket, None, block, keys[i:j].tobytes(), squeeze(sums[i:j].tobytes()))):
+                            out[name].append(value)
+            if out["kind"]:
+                yield pa.RecordBatch.from_pydict(out, _PARTIAL)
         flat = np.concatenate([initial, step.ravel(), [score], emit.ravel()])
-        parts = [x.tobytes() for x in np.array_split(flat, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "sums"])
+        rows = {"kind": [0] * CHUNKS, "chunk": list(range(CHUNKS)), "part": [part] * CHUNKS, "block": [None] * CHUNKS, "keys": [None] * CHUNKS, "sums": [x.tobytes() for x in np.array_split(flat, CHUNKS)]}
+        yield pa.RecordBatch.from_pydict(rows, _PARTIAL)
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
+    """The sum of the pieces, in order of their parts."""
+    table = table.sort_by("part")
     total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
-    return pa.table({"chunk": table.column("chunk")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-
-def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int) -> tuple[Model, float]:
-    """The next model from counts over all partitions, and the log10 likelihood under the present one."""
-    sums = texts.select("ids", "sizes", "symbols").mapInArrow(_partial(model, v.overall, states), "chunk int, sums binary")
-    rows = sums.groupBy("chunk").applyInArrow(_add, "chunk int, sums binary").collect()  # as large as the model, for any corpus
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _add_words(table: pa.Table) -> pa.Table:
+    """Of one hash range: for each block, the expected counts over the corpus of its words."""
+    parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    own = np.concatenate([np.frombuffer(unpack(x), np.float32).reshape(len(k), -1) for k, x in zip(parts, table.column("sums").to_pylist())])
+    keys, of = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.stack([np.bincount(of, own[:, z], len(keys)) for z in range(own.shape[1])], axis=1).astype(np.float32)[of]
+    sums = [squeeze(x.tobytes()) for x in np.split(total, np.cumsum([len(p) for p in parts])[:-1])]
+    return pa.table({"block": table.column("block"), "bucket": table.column("chunk"), "word_sums": pa.array(sums, pa.binary())})
+
+
+def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int, scratch: Scratch | None = None, buckets: int = 0) -> tuple[Model, float, DataFrame | None]:
+    """The next model from counts over all partitions, the log10 likelihood under the present one, and with buckets the words' sums."""
+    columns = ["block", "keys", "words", "ids", "sizes", "symbols"] if buckets else ["block", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("words"), "ids", "sizes", "symbols"]
+    sums = texts.select(*columns).mapInArrow(_partial(model, v.overall, states, buckets), _SUMS)
+    words = None
+    if buckets:
+        sums = scratch.table(sums, "sums")
+        words = scratch.table(sums.where("kind = 1").select("chunk", "block", "keys", "sums").groupBy("chunk").applyInArrow(_add_words, "block bigint, bucket int, word_sums binary"), "words")
+    pieces, parts = sums.where("kind = 0").select("chunk", "part", "sums"), texts.rdd.getNumPartitions()
+    while parts > FAN_IN:  # a tree, so that no task reads a piece of every partition
+        parts = -(-parts // FAN_IN)
+        pieces = pieces.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("chunk", "part").applyInArrow(_add, "chunk int, part int, sums binary")
+    rows = pieces.groupBy("chunk").applyInArrow(_add, "chunk int, part int, sums binary").select("chunk", "sums").collect()  # as large as the symbols of the model, for any corpus
     flat = np.concatenate([np.frombuffer(r.sums, np.float64) for r in sorted(rows)]) if rows else np.zeros(states + states**2 + 1 + len(v.overall) * states)
     initial, step, score, emit = flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2], flat[states + states**2 + 1 :].reshape(-1, states)
     if model is None:
@@ -284,29 +341,47 @@ def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int)
     else:
         step = step + 0.1
         step = step / step.sum(axis=1, keepdims=True)
+    in_class = emit[len(v.keys) + 1 :]
     emit = emit + PRIOR * v.overall[:, None]
-    return Model((initial + 1) / (initial + 1).sum(), step, emit / emit.sum(axis=0)), float(score)
+    return Model((initial + 1) / (initial + 1).sum(), step, emit / emit.sum(axis=0), in_class), float(score), words
 
 
-def _score_rows(model: Model, v: Vocabulary):
-    def run(batches):
-        for batch in batches:
-            for ids, sizes, data, known, base, rest in zip(*(batch.column(c).to_pylist() for c in _TEXTS.names)):
-                n = np.array(sizes)
-                score = Lattice(model, np.frombuffer(unpack(data), np.uint16).astype(np.int64), n).forward() + np.array(rest)
-                cols = [pa.array(ids, pa.int64()), pa.array(held_out(ids_of(ids))), pa.array(n), pa.array(known, pa.int64()), pa.array(np.full(len(n), v.train_tokens, np.int64)), pa.array(base, pa.float64()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def word_factors(model: Model, v: Vocabulary, classes: np.ndarray, counts: np.ndarray, sums: np.ndarray, smooth: float) -> np.ndarray:
+    """P(word | class, state) of words with their training counts and expected counts in each state."""
+    b = (counts + 1) / (v.class_sums[classes] + 1)
+    return (sums + smooth * b[:, None]) / (model.in_class[classes] + smooth)
+
+
+def _score_rows(model: Model, v: Vocabulary, buckets: int, smooth: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        replies = dict(zip(right.column("bucket").to_pylist(), right.column("word_sums").to_pylist()))
+        for _, keys, counts, classes, words, ids, sizes, data, known, base in zip(*(left.column(c).to_pylist() for c in _TEXTS.names)):
+            n, keys, word = np.array(sizes), np.frombuffer(keys, np.uint64), np.frombuffer(unpack(words), np.int32)
+            sums = np.zeros((len(keys), len(model.initial)))
+            of, bounds = cut(keys, buckets)
+            for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                if bucket in replies:
+                    sums[i:j] = np.frombuffer(unpack(replies[bucket]), np.float32).reshape(j - i, -1)
+            factors = word_factors(model, v, np.frombuffer(classes, np.uint8), np.frombuffer(unpack(counts), np.int64), sums, smooth)
+            inside = np.concatenate([factors, np.ones((1, len(model.initial)))])[word]  # -1: a symbol of its own
+            score = Lattice(model, np.frombuffer(unpack(data), np.uint16).astype(np.int64), n, inside).forward()
+            found.append(pa.table([pa.array(ids, pa.int64()), pa.array(held_out(ids_of(ids))), pa.array(n), pa.array(known, pa.int64()), pa.array(np.full(len(n), v.train_tokens, np.int64)), pa.array(base, pa.float64()), pa.array(score)], _SCORES))
+        return pa.concat_tables(found) if found else _SCORES.empty_table()
 
     return run
 
 
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
 def _train_tokens(body: bytes, sizes: np.ndarray, ids: np.ndarray) -> dict:
     counts = word_hashes(body, sizes)[1] + 1
     return {"train": int(counts[~held_out(ids)].sum())}
 
 
-def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model, Vocabulary]:
-    """Texts as symbols (a written table), the trained model and its vocabulary."""
+def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Model, Vocabulary]:
+    """Texts as symbols and words (a written table), the words' expected counts by block, the trained model and its vocabulary."""
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark), bucket_count(spark)
     blocks = scratch.table(pack(docs, id_col, text_col, BLOCK_BYTES, _train_tokens, "train bigint"), "blocks")
@@ -320,24 +395,27 @@ def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: str
     class_sums, known = np.zeros(CLASSES, np.int64), 0
     for r in counted.where("kind = 2").select("counts", "known").toLocalIterator():  # CLASSES numbers for each bucket
         class_sums, known = class_sums + np.frombuffer(r.counts, np.int64), known + r.known
-    texts_in_training = docs.where((F.coalesce(F.crc32(F.col(id_col).cast("bigint").cast("string").cast("binary")), F.lit(0)) % 7) != 2).count()
+    texts_in_training = sum(r.known for r in counted.where("kind = 3").select("known").collect())  # the hash range of the end has it
     weight = np.concatenate([counts, [texts_in_training], class_sums]) + 1.0
     v = Vocabulary(keys, class_sums, n, known, weight / weight.sum())
     symbols = blocks.select("block", "ids", "sizes", "body").groupBy("block").cogroup(counted.where("kind = 0").select("block", "bucket", "counts").groupBy("block"))
-    texts = scratch.table(symbols.applyInArrow(_symbol_rows(v, buckets), "ids array<bigint>, sizes array<bigint>, symbols binary, known array<bigint>, base array<double>, rest array<double>"), "texts")
+    texts = scratch.table(symbols.applyInArrow(_symbol_rows(v, buckets), _TEXTS_DDL), "texts")
     scratch.drop("blocks"), scratch.drop("counted")
     model = None
-    for _ in range(rounds + 1):
-        model, _ = estimate(texts, model, v, states)
-    return texts, model, v
+    for _ in range(rounds):
+        model = estimate(texts, model, v, states)[0]
+    model, _, words = estimate(texts, model, v, states, scratch, buckets)
+    scratch.drop("sums")
+    return texts, words, model, v
 
 
-def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Trains on rows whose crc32(doc_id as text) mod 7 is not 2.  A null text counts as empty and has the end as its one token; a null
     doc_id counts as an empty text in the rule and so is in training.  Repeated rows count as often as they occur.  An empty table
     gives an empty result.  Other columns are ignored.
     """
-    texts, model, v = fit(docs, states, rounds, id_col, text_col)
-    return texts.mapInArrow(_score_rows(model, v), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    texts, words, model, v = fit(docs, states, max(rounds, 1), id_col, text_col)
+    out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_score_rows(model, v, bucket_count(docs.sparkSession), smooth), out)

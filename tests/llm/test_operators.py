@@ -349,3 +349,59 @@ def test_jaccard_classes_of_crowded_neighbours(spark, monkeypatch, group):
     got = jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
     assert rows_of(got, "doc_id", "component_id") == sorted(((i, find(i)) for i in range(len(rows))), key=repr)
     assert 20 < len({find(i) for i in range(len(rows))}) < 300
+
+
+@pytest.mark.parametrize("often", [1 << 15, 8])
+def test_hidden_markov_score_is_the_plain_recursion(spark, docs, monkeypatch, often):
+    """Scores from the fitted tables, word by word in plain Python; words of a class share out its probability whole."""
+    from readlake.llm._shared import word_hashes
+
+    monkeypatch.setattr(hidden_markov, "FREQUENT", often)
+    monkeypatch.setattr(hidden_markov, "FAN_IN", 2)
+    texts, words, m, v = hidden_markov.fit(docs, states=3, rounds=2)
+    expected = {}
+    blocks = {r.block: r for r in texts.collect()}
+    for r in words.collect():
+        keys = np.frombuffer(blocks[r.block]["keys"], np.uint64)
+        of, bounds = hidden_markov.cut(keys, hidden_markov.bucket_count(spark))
+        i, j = next((i, j) for b, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()) if b == r.bucket)
+        expected |= dict(zip(keys[i:j].tolist(), np.frombuffer(hidden_markov.unpack(r.word_sums), np.float32).reshape(j - i, 3).tolist()))
+    rows = [(i, WORD.findall(re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))) for i, t, *_ in corpus()]
+    count = Counter(w for i, ws in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    number = {w: int(word_hashes(w.encode(), np.array([len(w.encode())]))[0][0]) for _, ws in rows for w in ws}
+    place = {k: n for n, k in enumerate(v.keys.tolist())}
+    kind = lambda w: int(hidden_markov.Tokens(w.encode(), np.array([len(w.encode())])).classes[0])
+    smooth, sums, shares = 7.0, defaultdict(lambda: np.zeros(3)), defaultdict(lambda: np.zeros(3))
+    class_totals = Counter()
+    for x in count:
+        if number[x] not in place:
+            class_totals[kind(x)] += count[x] + 1
+    assert (len(place) == len(count)) == (often > 8)
+
+    def emitted(w):
+        if w is None:
+            return m.emit[len(place)]
+        if number[w] in place:
+            return m.emit[place[number[w]]]
+        c = kind(w)
+        total = class_totals[c]
+        share = (np.array(expected.get(number[w], [0.0] * 3)) + smooth * (count[w] + 1) / (total + 1)) / (m.in_class[c] + smooth)
+        if count[w] and w not in seen:
+            seen.add(w)
+            sums[c] += expected[number[w]]
+            shares[c] += share
+        return m.emit[len(place) + 1 + c] * share
+
+    seen, want = set(), []
+    for i, ws in rows:
+        p, log = None, 0.0
+        for w in [*ws, None]:
+            p = (m.initial if p is None else p @ m.step) * emitted(w)
+            log += math.log10(p.sum())
+            p = p / p.sum()
+        want.append((i, round(log, 4)))
+    got = hidden_markov.score_documents(docs, states=3, rounds=2, smooth=smooth)
+    assert rows_of(got.withColumn("score", F.round("score", 4)), "doc_id", "score") == sorted(want, key=repr)
+    for c in sums:
+        assert np.allclose(sums[c], m.in_class[c], rtol=1e-3, atol=1e-3)
+        assert (shares[c] < 1).all()
