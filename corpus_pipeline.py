@@ -21,7 +21,7 @@ MIX_SHARE = 0.8
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fertility rules keep; those without a text go."""
-    return good_documents(docs)
+    return Scratch(spark).table(good_documents(docs), "good")  # written in batches of few rows, which bounds the memory beside Python
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded; null texts have no tokens, null and repeated doc_ids pass on."""
-    return token_digests(docs)
+    return Scratch(spark).table(token_digests(docs), "digests")
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing sources", mixture), ("byte-level BPE", encode)]

@@ -8,6 +8,8 @@ occurs in every document arrives at most once per block.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -156,6 +158,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, target: int, sketch: Calla
                 held += len(text)
         if ids:
             yield emit()
+        release()
 
     from pyspark.sql.types import StructType
 
@@ -249,6 +252,16 @@ def unbits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
+def release() -> None:
+    """Give memory back to the machine at the end of a task: Python workers wait for the next one beside the executor's own memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 

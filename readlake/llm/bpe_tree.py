@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.llm._shared import release
+
 LEAF = 4096
 WINDOW = 64
 #: A character that is not white space, then white space as the pattern's \s (Unicode) has it.
@@ -142,5 +144,6 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str =
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import mix, spans_to_mask
+from readlake.llm._shared import mix, release, spans_to_mask
 
 BATCH = 2 << 20
 #: Accepted (least, most) of each measure: characters per token of words for both vocabularies, share of byte fallback, entropy in
@@ -197,15 +197,15 @@ def good_documents(
     at, lang_at = (names.index(docs.select(c).columns[0]) for c in (text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model, ranks)  # not kept for later tasks: workers live longer than this stage
+        texts, words = None, Words(model, ranks)  # not kept for later tasks: workers live longer than this stage
         for batch in batches:
             texts = pc.fill_null(batch.column(at).cast(pa.string()).cast(pa.binary()), b"")
             for i, j in _in_parts(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
                 m = measure(texts.slice(i, j - i).to_pylist(), words)
                 kept = verdicts(m, batch.column(lang_at).slice(i, j - i).cast(pa.string()).to_pylist(), bands)[1]
                 yield batch.slice(i, j - i).filter(pa.array(kept))
-        del words
-        pa.default_memory_pool().release_unused()
+        del words, texts
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -240,6 +240,7 @@ def fertility_rules(
                     ids, texts, langs, held = [], [], [], 0
         if ids:
             yield judge(ids, texts, langs)
+        release()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, SCHEMA)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from readlake.llm._shared import ROW, Ranges, Scratch, bucket_count, keeping_names, keyed_rows, mix, pack, squeeze, unpack, without, word_hashes
+from readlake.llm._shared import ROW, Ranges, Scratch, bucket_count, keeping_names, keyed_rows, mix, pack, release, squeeze, unpack, without, word_hashes
 from readlake.llm.groups import attach, components
 
 BLOCK_BYTES = 2 << 20
@@ -98,6 +98,7 @@ def _frequency_rows(words: int, buckets: int):
                     for name, value in zip(schema.names, (b, block, _shorten(tokens[i:j]), squeeze(n[i:j].astype(np.uint32).tobytes()))):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema)
+        release()
 
     return run
 
@@ -185,6 +186,7 @@ def _verify(least: int):
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= least * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 
