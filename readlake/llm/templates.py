@@ -2,13 +2,15 @@
 
 1. occurrence vectors: every page is cut into markup tokens (a tag with its class and id inside its structural parents) and text
    blocks.  The occurrence vector of a token tells how often each page of the host has it; vectors are compared by a hash that is
-   combined over pages with exclusive or, so no host is gathered anywhere.
+   combined over pages with exclusive or, so no host is gathered anywhere.  With each opening tag goes what its element held: text,
+   text inside links, and whether it held the same on all pages.
 2. classes: tokens of a host with equal vectors and enough pages form an equivalence class.  An opening and closing tag in one class
-   that occurs once a page is an element of the template; text blocks in every page belong to the template too.  Elements nest by
-   their mean place.
-3. slots: what the template leaves open is extracted.  The slots under the template's article element (or, where it has none, under
-   the element of the page that holds most text outside links) give the text, without elements that hold menus, adverts and the
-   like.  A page that lacks its host's article element, and hosts with a single page, are read by the same rules from their own tags.
+   that occurs once a page is an element of the template, a slot for what pages put there.  Text blocks that nearly every page of a
+   host with TEXT_PAGES pages has are template too.
+3. slots: the main slot is the innermost element that holds at least half of the host's text outside links, or of what its article
+   or main element holds.  Its text is extracted without the slots inside it that are the same on all pages or mostly links, and
+   without elements that hold menus, adverts and the like by their tag or name.  A page that lacks its host's main slot, and hosts
+   with a single page, are read by their own tags.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm._shared import Scratch
+from readlake.llm._shared import Scratch, release
 
 BATCH = 2 << 20
-#: A token is part of the template if this share of the host's pages has it; a text block needs all pages, and this many.
+#: A tag is part of the template if this share of the host's pages with content has it; a text block needs more, and as many pages.
 SUPPORT = 0.5
-TEXT_PAGES = 10
+TEXT_SUPPORT = 0.9
+TEXT_PAGES = 5
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -47,7 +51,7 @@ MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|story|entry|bo
 def label(name: str, attributes: str) -> str:
     """A structural tag with its class, id and role."""
     detail = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
-    return f"{name}.{detail}"[:200] if detail else name
+    return f"{name}.{detail}" if detail else name
 
 
 def scan(page: str) -> Iterator[tuple[str | None, str, list[str], int]]:
@@ -115,26 +119,41 @@ def is_not_main(own: str) -> bool:
     return name in NOT_MAIN or bool(detail and NOT_MAIN_NAME.search(detail))
 
 
-def main_text(page: str, main: list[str], template_texts: frozenset[int]) -> str:
-    """The blocks of a page under the first of the template's main elements that it has, else under its own, else the densest."""
+class Template(NamedTuple):
+    main: frozenset[int] = frozenset()  # tokens of main slots
+    labels: tuple[str, ...] = ()  # their labels
+    fixed: frozenset[int] = frozenset()  # tokens of slots that are the same everywhere or mostly links
+    texts: frozenset[int] = frozenset()  # ids of template text blocks
+
+
+def main_text(page: str, template: Template = Template()) -> str:
+    """The blocks of a page in its host's main slot, else in an element of that name, else in its own article, else in the densest."""
     found = list(blocks(page))
-    chosen = next((m for m in main if any(m in path for _, _, path, _ in found)), None)
-    if chosen is None:
-        chosen = next((x for _, _, path, _ in found for x in path if is_main(x)), None)
-    if chosen is None:
-        weight: dict[str, int] = {}
-        for text, _, path, links in found:
-            if path and not any(map(is_not_main, path)):
-                weight[path[-1]] = weight.get(path[-1], 0) + max(0, len(text) - 2 * links)
-        chosen = max(weight, key=weight.__getitem__) if weight else None
+    at = None
+    if template.main:
+        held = [next((k for k, t in enumerate(tokens_of(tuple(path))) if t in template.main), None) for _, _, path, _ in found]
+        if any(k is not None for k in held):
+            at = held
+    if at is None:
+        chosen = next((m for m in template.labels if any(m in path for _, _, path, _ in found)), None)
+        if chosen is None:
+            chosen = next((x for _, _, path, _ in found for x in path if is_main(x)), None)
+        if chosen is None:
+            weight: dict[str, int] = {}
+            for text, _, path, links in found:
+                if path and not any(map(is_not_main, path)):
+                    weight[path[-1]] = weight.get(path[-1], 0) + max(0, len(text) - 2 * links)
+            chosen = max(weight, key=weight.__getitem__) if weight else None
+        at = [path.index(chosen) if chosen is not None and chosen in path else None for _, _, path, _ in found]
+        if chosen is None:
+            at = [-1 if not any(x.partition(".")[0] == "header" for x in path) else None for _, _, path, _ in found]
     out = []
-    for text, raw, path, _ in found:
-        if chosen is not None and chosen not in path:
+    for (text, raw, path, _), k in zip(found, at):
+        if k is None or any(is_not_main(x) for i, x in enumerate(path) if i != k):
             continue
-        inside = path[path.index(chosen) + 1 :] if chosen is not None else path
-        outside = path[: path.index(chosen)] if chosen is not None else []
-        header = chosen is None and any(x.partition(".")[0] == "header" for x in path)
-        if not header and not any(map(is_not_main, inside)) and not any(map(is_not_main, outside)) and not (template_texts and text_id(raw, path) in template_texts):
+        if template.fixed and any(t in template.fixed for t in tokens_of(tuple(path))[k + 1 :]):
+            continue
+        if not (template.texts and text_id(raw, path) in template.texts):
             out.append(text)
     return "\n".join(out)
 
@@ -145,10 +164,44 @@ def text_id(raw: str, path: list[str]) -> int:
 
 @lru_cache(maxsize=100_000)
 def hash_of(tag: str, path: tuple[str, ...]) -> int:
-    return xxhash.xxh3_64_intdigest(f"{tag} {'/'.join(path[-4:])}".encode("utf-8", "surrogatepass")) >> 1
+    return xxhash.xxh3_64_intdigest(f"{tag} {'/'.join(path)}".encode("utf-8", "surrogatepass")) >> 1
+
+
+@lru_cache(maxsize=100_000)
+def tokens_of(path: tuple[str, ...]) -> tuple[int, ...]:
+    """The tokens of the opening tags of the elements around a block."""
+    return tuple(hash_of(tag, path[:k]) for k, tag in enumerate(path))
+
 
+_VECTOR = pa.schema([("host", pa.string()), ("token", pa.int64()), ("tag", pa.string()), ("pages", pa.int64()), ("total", pa.int64()), ("vector", pa.int64()), ("place", pa.float64()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_VECTOR_DDL = "host string, token bigint, tag string, pages bigint, total bigint, vector bigint, place double, chars bigint, links bigint, low bigint, high bigint"
 
-_VECTOR = "host string, token bigint, tag string, pages bigint, total bigint, vector bigint, place double"
+
+def page_counts(page: str) -> dict[int, list]:
+    """Of each token of a page: tag (None for text), count, first place, characters held, those in links, and a hash of what is held.
+
+    Token 0 stands for the page; a page without any text has no tokens but this one, with count 0.
+    """
+    counts: dict[int, list] = {0: [None, 0, 0.0, 0, 0, 0]}
+    n = 1
+    for tag, raw, path, links in scan(page):
+        if tag is not None:
+            n += 1
+            counts.setdefault(hash_of(raw + tag, tuple(path)), [raw + tag, 0, n, 0, 0, 0])[1] += 1
+        elif not raw.isspace():
+            size, own = len(raw.strip()), text_id(raw, [])
+            counts.setdefault(text_id(raw, path), [None, 0, 0.0, 0, 0, 0])[1] += 1
+            for token in (0, *tokens_of(tuple(path))):
+                entry = counts[token]
+                entry[3] += size
+                entry[4] += min(links, size)
+                entry[5] = (entry[5] * 31 + own) & 0x7FFFFFFFFFFFFFFF
+    if not counts[0][3]:
+        return {0: counts[0]}
+    counts[0][1] = 1
+    for entry in counts.values():
+        entry[2] /= n
+    return counts
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,32 +210,26 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def emit() -> pa.RecordBatch:
-        # a text block that some page of its host lacks here is in no template
-        keys = [k for k, x in held.items() if x[0] is not None or k[1] == 0 or x[1] == held[k[0], 0][1]]
-        cols = [[k[0] for k in keys], [k[1] for k in keys], *([held[k][i] for k in keys] for i in range(5))]
+        cols = [[k[0] for k in held], [k[1] for k in held], *([x[i] for x in held.values()] for i in range(9))]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["host", "token", "tag", "pages", "total", "vector", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _VECTOR)], schema=_VECTOR)
 
     for batch in batches:
         for host, uid, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            counts: dict[int, list] = {0: [None, 1, 0.0]}
-            n = 1
-            for tag, text, path, _ in scan(page):
-                if tag is not None:
-                    n += 1
-                    counts.setdefault(hash_of(text + tag, tuple(path)), [text + tag, 0, n])[1] += 1
-                elif not text.isspace():
-                    counts.setdefault(text_id(text, path), [None, 0, 0.0])[1] += 1
-            for token, (tag, count, first) in counts.items():
+            for token, (tag, count, place, chars, links, content) in page_counts(page).items():
                 vector = xxhash.xxh3_64_intdigest(f"{uid} {count}") >> 1
                 entry = held.get((host, token))
                 if entry is None:
-                    held[host, token] = [tag, 1, count, vector, first / n]
+                    held[host, token] = [tag, min(count, 1) if token == 0 else 1, count, vector, place, chars, links, content, content]
                 else:
-                    entry[1] += 1
+                    entry[1] += min(count, 1) if token == 0 else 1
                     entry[2] += count
                     entry[3] ^= vector
-                    entry[4] += first / n
+                    entry[4] += place
+                    entry[5] += chars
+                    entry[6] += links
+                    entry[7] = min(entry[7], content)
+                    entry[8] = max(entry[8], content)
             size += len(page)
             if size >= BATCH:
                 yield emit()
@@ -192,38 +239,55 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, pages, main (labels of the template's article elements, outermost first), texts (ids of template text blocks).
+    """host, pages, elements (of the template, outermost first: tag, token, chars, links, same), chars and links of its pages, texts.
 
-    pages has columns host, uid, html.
+    pages has columns host, uid, html; host_pages counts all pages, the support is of those with content.
     """
-    vectors = pages.mapInArrow(_vectors, _VECTOR)
-    whole = vectors.groupBy("host", "token").agg(F.max("tag").alias("tag"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"))
+    vectors = pages.mapInArrow(_vectors, _VECTOR_DDL)
+    sums = [F.sum(c).alias(c) for c in ("pages", "total", "place", "chars", "links")]
+    whole = vectors.groupBy("host", "token").agg(F.max("tag").alias("tag"), *sums, F.bit_xor("vector").alias("vector"), F.min("low").alias("low"), F.max("high").alias("high"))
     whole = scratch.table(whole, "vectors")
+    counted = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    sizes = whole.where("token = 0").select("host", F.col("pages").alias("full_pages"), F.col("chars").alias("host_chars"), F.col("links").alias("host_links"))
     # at most 2 / SUPPORT tokens for each token of a mean page remain of a host
-    sizes = whole.where("token = 0").select("host", F.col("pages").alias("host_pages"))
-    often = whole.where("pages >= 2 or token = 0").join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * SUPPORT)
-    tag_rows = F.struct(F.col("place") / F.col("pages"), "tag")
-    classes = often.where("tag is not null and pages = total").groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(tag_rows)).alias("tags"))
-    elements = classes.select("host", F.transform("tags", lambda x: x["tag"]).alias("tags"), F.col("tags")[0]["col1"].alias("place"), F.filter("tags", lambda x: ~x["tag"].startswith("/")).alias("opened"))
-    pairs = elements.select("host", F.explode("opened").alias("o"), "tags").where(F.array_contains("tags", F.concat(F.lit("/"), F.col("o.tag"))))
-    main = pairs.groupBy("host").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["tag"]).alias("elements"))
-    texts = often.where((F.col("pages") == F.col("host_pages")) & F.col("tag").isNull() & (F.col("token") != 0) & (F.col("host_pages") >= TEXT_PAGES))
+    often = whole.where("pages >= 2 and token != 0").join(sizes, "host").where(F.col("pages") >= F.col("full_pages") * SUPPORT)
+    tag_rows = F.struct((F.col("place") / F.col("pages")).alias("place"), "tag", "token", "chars", "links", ((F.col("low") == F.col("high")) & (F.col("full_pages") >= TEXT_PAGES)).alias("same"))
+    classes = often.where("tag is not null and pages = total").groupBy("host", "vector", "pages").agg(F.collect_list(tag_rows).alias("rows"))
+    opened = classes.select("host", F.transform("rows", lambda x: x["tag"]).alias("tags"), F.explode(F.filter("rows", lambda x: ~x["tag"].startswith("/"))).alias("o"))
+    main = opened.where(F.array_contains("tags", F.concat(F.lit("/"), F.col("o.tag")))).groupBy("host").agg(F.array_sort(F.collect_list("o")).alias("elements"))
+    texts = often.where(F.col("tag").isNull() & (F.col("full_pages") >= TEXT_PAGES) & (F.col("pages") >= F.col("full_pages") * TEXT_SUPPORT))
     texts = texts.groupBy("host").agg(F.collect_list("token").alias("texts"))
-    return sizes.join(main, "host", "left").join(texts, "host", "left")
+    return counted.join(sizes, "host").join(main, "host", "left").join(texts, "host", "left")
+
+
+def template_of(elements: list[dict] | None, host_chars: int, host_links: int, texts: list[int] | None) -> Template:
+    """The main slot of a host's template, and the slots that are no content."""
+    elements = elements or []
+    mass = lambda e: max(0, e["chars"] - 2 * e["links"])
+    articles = [e for e in elements if e["tag"].partition(".")[0] in ("article", "main")]
+    whole = max((mass(e) for e in articles), default=max(0, host_chars - 2 * host_links))
+    big = [e for e in elements if 2 * mass(e) >= whole > 0 and not is_not_main(e["tag"])]
+    if articles:
+        big = [e for e in articles if 2 * mass(e) >= whole]
+    # inner elements come later in the page than those around them
+    main = max(big, key=lambda e: (-mass(e), e["place"])) if big and not articles else next(iter(big), None)
+    fixed = frozenset(e["token"] for e in elements if e["chars"] and (e["same"] or 2 * e["links"] > e["chars"]) and e is not main)
+    return Template(frozenset([main["token"]] if main else []), (main["tag"],) if main else (), fixed, frozenset(texts or ()))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, tuple[list[str], frozenset[int]]] = {}
+    known: dict[str, Template] = {}
     for batch in batches:
         texts = []
-        for page, elements, ids in zip(*(batch.column(c).to_pylist() for c in ("html", "elements", "texts"))):
-            key = (tuple(elements or ()), tuple(ids or ()))
-            if key not in known:
+        hosts = batch.column("host").to_pylist()
+        for k, (page, host) in enumerate(zip(batch.column("html").to_pylist(), hosts)):
+            if host not in known:
                 known.clear() if len(known) > 10_000 else None
-                known[key] = ([x for x in key[0] if is_main(x)], frozenset(key[1]))
-            texts.append(main_text(page, *known[key]))
+                known[host] = template_of(*(batch.column(c)[k].as_py() for c in ("elements", "host_chars", "host_links", "texts")))
+            texts.append(main_text(page, known[host]))
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(n)], ["page_id", "url", "text", "n_chars"])
+    release()
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -240,7 +304,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     templates = scratch.table(host_templates(rows.select("host", "uid", "html"), scratch), "templates")
     n = templates.agg(F.sum("host_pages")).first()[0] or 0
     heavy = F.col("host_pages") > n // 1000  # fewer than a thousand hosts
-    columns = ["page_id", "url", "html", "elements", "texts"]
+    columns = ["page_id", "url", "html", "host", "elements", "host_chars", "host_links", "texts"]
     in_heavy = rows.join(F.broadcast(templates.where(heavy)), "host").select(*columns)
     light = rows.join(F.broadcast(templates.where(heavy).select("host")), "host", "left_anti").join(templates.where(~heavy), "host").select(*columns)
     out = "page_id bigint, url string, text string, n_chars bigint"

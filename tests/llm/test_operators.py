@@ -307,12 +307,57 @@ def test_main_text(spark):
     assert got[300] == "" and got[301] == "only page" and got[302] == "plain text"
 
 
+RENAMED = '<html><body><div class="z1"><a href="/x">{a} go</a><a href="/y">there</a></div><div class="z2"><div class="q7"><p>{lead}</p><div class="k1">{same}</div><div class="k2"><a href="/u">see {a} also</a></div><p>{rest}</p></div></div><div class="z3"><p>{side}</p></div></body></html>'
+
+
+def renamed_pages(n=14):
+    rnd = random.Random(2)
+    text = lambda k: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    out = []
+    for i in range(n):
+        lead, rest = text(60), text(40)
+        side = text(300) if i == 3 else text(4)  # on one page the side says more than the article
+        out.append((i, lead, rest, RENAMED.format(a=text(1), lead=lead, rest=rest, same="Sign up for our letters today", side=side)))
+    return out
+
+
+def test_slots_decide_where_names_say_nothing(spark):
+    pages = renamed_pages()
+    rows = [(i, f"https://h.example/{i}", html) for i, _, _, html in pages] + [(99, "https://h.example/none", None), (98, "https://h.example/odd", "<p>an odd page</p>")]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, lead, rest, html in pages:
+        assert got[i] == f"{lead}\n{rest}"
+        assert templates.main_text(html) != got[i]  # without the template: the fixed slots too, and on page 3 the side
+    assert got[99] == "" and got[98] == "an odd page"
+    assert len(templates.main_text(pages[3][3])) > len(got[3])
+
+
 def test_template_classes(spark):
+    """Classes and slots against plain occurrence vectors over whole pages."""
     from readlake.llm._shared import Scratch
 
-    pages = [("h", i, PAGE.format(i=i, body="<article><p>" + "x " * i + "</p></article>")) for i in range(5)]
-    t = templates.host_templates(spark.createDataFrame(pages, "host string, uid bigint, html string"), Scratch(spark)).first()
-    assert t.host_pages == 5 and "article" in t.elements and t.elements.index("html") < t.elements.index("article")
+    pages = [("h", i, PAGE.format(i=i, body="<article><p>" + "x " * i + "</p></article>" + "<section>s</section>" * (i % 3))) for i in range(1, 7)]
+    pages += [("r", 20 + i, html) for i, _, _, html in renamed_pages(6)] + [("r", 50, "")]
+    found = {r.host: r for r in templates.host_templates(spark.createDataFrame(pages, "host string, uid bigint, html string"), Scratch(spark)).collect()}
+    for host in "hr":
+        own = [templates.page_counts(html) for h, _, html in pages if h == host and html]
+        vectors = defaultdict(lambda: [0] * len(own))
+        tags, chars = {}, Counter()
+        for k, counts in enumerate(own):
+            for token, (tag, n, _, size, _, _) in counts.items():
+                vectors[token][k] = n
+                tags[token] = tag
+                chars[token] += size
+        classes = defaultdict(set)
+        for token, v in vectors.items():
+            if token and tags[token] and set(v) <= {0, 1} and sum(v) >= max(2, len(own) / 2):
+                classes[tuple(v)].add(token)
+        want = {t for c in classes.values() for t in c if not tags[t].startswith("/") and "/" + tags[t] in {tags[x] for x in c}}
+        assert {e.token for e in found[host].elements} == want and len(want) >= 4
+        assert {e.token: e.chars for e in found[host].elements} == {t: chars[t] for t in want}
+        assert [e.place for e in found[host].elements] == sorted(e.place for e in found[host].elements)
+    assert found["r"].host_pages == 7 and found["r"].full_pages == 6
+    assert [e.tag for e in found["r"].elements if e.same] == ["div.k1"]
 
 
 @pytest.mark.parametrize("group", [2, 32])
