@@ -138,46 +138,118 @@ def paragraphs(chapters: DataFrame) -> DataFrame:
     return lines.withColumn("inner", inner).join(sums, ["book", "ord"]).where("text != ''").select("book", "ord", "line", "text", (F.col("before") + F.col("inner")).alias("character"))
 
 
-#: Sentence ends, and what may follow them.
+#: Sentence ends, what may follow them, and brackets that open and close in pairs.
 SENTENCE_ENDS = "。！？.!?\n\r"
 CLOSERS = "。、！？」』）)】〉》〕｝}］]"
-_ENDS, _CLOSERS = "[。！？.!?\\n\\r]", "[。、！？」』）)】〉》〕｝}］\\]]"
+BRACKETS = "「」『』（）()【】〈〉《》〔〕｛｝{}［］[]"
+OPENING, CLOSING = BRACKETS[::2], BRACKETS[1::2]
+
+
+def one_of(characters: str, but: bool = False) -> str:
+    """A regular expression for one of some characters, or for any other."""
+    return "[" + "^" * but + "".join(f"\\x{{{ord(c):x}}}" for c in characters) + "]"
+
+
+def loose_brackets(text: Column) -> Column:
+    """Brackets of a text that have no partner: a struct of open ones and closing ones, both in order."""
+    only = F.regexp_replace(text, one_of(BRACKETS, but=True), "")
+
+    def step(state: Column, c: Column) -> Column:
+        inner = F.length(state["opened"]) - 1
+        partner = F.translate(F.substring(state["opened"], inner + 1, F.lit(1)), OPENING, CLOSING)
+        return (
+            F.when(F.lit(OPENING).contains(c), F.struct(F.concat(state["opened"], c).alias("opened"), state["closed"].alias("closed")))
+            .when(partner == c, F.struct(F.substring(state["opened"], F.lit(1), inner).alias("opened"), state["closed"].alias("closed")))
+            .otherwise(F.struct(state["opened"].alias("opened"), F.concat(state["closed"], c).alias("closed")))
+        )
+
+    start = F.struct(F.lit("").alias("opened"), F.lit("").alias("closed"))
+    return F.aggregate(F.filter(F.split(only, ""), lambda c: c != ""), start, step)
 
 
 def sentence_around(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Bounds of the sentence around [start, end): back to a sentence end, on to the next with closers after it, trimmed."""
+    """Bounds of the sentence around [start, end): back to a sentence end, on to the next with closers after it, trimmed.
+
+    Brackets without a partner go where they stand at its very beginning, or at its end but for sentence ends; then it is trimmed again.
+    """
     before = F.substring(text, F.lit(1), start)
-    first = F.length(before) - F.length(F.regexp_extract(before, "([^。！？.!?\\n\\r]*)$", 1))
     after = F.substring(text, end + 1, F.length(text))
-    last = end + F.length(F.regexp_extract(after, f"^[^。！？.!?\\n\\r]*({_ENDS}{_CLOSERS}*)?", 0))
-    lead = F.length(F.regexp_extract(F.substring(text, first + 1, start - first), "^\\s*", 0))
-    trail = F.length(F.regexp_extract(F.substring(text, end + 1, last - end), "\\s*$", 0))
-    return first + lead, last - trail
+    lead = F.ltrim(F.regexp_extract(before, f"({one_of(SENTENCE_ENDS, but=True)}*)$", 1), F.lit(_BLANK))
+    trail = F.rtrim(F.regexp_extract(after, f"^{one_of(SENTENCE_ENDS, but=True)}*({one_of(SENTENCE_ENDS)}{one_of(CLOSERS)}*)?", 0), F.lit(_BLANK))
+    loose = loose_brackets(F.concat(lead, F.substring(text, start + 1, end - start), trail))
+    # the beginning goes as far as it spells the loose opening brackets
+    spelled = F.transform(F.split(loose["opened"], ""), lambda c, i: F.substring(lead, i + 1, F.lit(1)) == c)
+    wrong = F.array_position(spelled, F.lit(False)).cast("int")
+    cut = F.when(loose["opened"] == "", 0).otherwise(F.when(wrong == 0, F.length(loose["opened"])).otherwise(wrong - 1))
+
+    def back(state: Column, c: Column) -> Column:
+        hit = c == F.substring(state["closed"], F.length(state["closed"]), F.lit(1))
+        ok = ~state["over"] & (state["closed"] != "")
+        seen = state["seen"] + 1
+        return (
+            F.when(ok & hit, F.struct(F.substring(state["closed"], F.lit(1), F.length(state["closed"]) - 1).alias("closed"), seen.alias("seen"), seen.alias("gone"), state["over"].alias("over")))
+            .otherwise(F.struct(state["closed"].alias("closed"), seen.alias("seen"), state["gone"].alias("gone"), (~ok | ~F.lit(SENTENCE_ENDS).contains(c)).alias("over")))
+        )
+
+    at_end = F.struct(loose["closed"].alias("closed"), F.lit(0).alias("seen"), F.lit(0).alias("gone"), F.lit(False).alias("over"))
+    # only brackets and sentence ends at the end can go
+    tail = F.regexp_extract(trail, f"{one_of(SENTENCE_ENDS + CLOSING)}*$", 0)
+    gone = F.aggregate(F.filter(F.split(F.reverse(tail), ""), lambda c: c != ""), at_end, back)["gone"]
+    kept_lead = F.ltrim(F.substring(lead, cut + 1, F.length(lead)), F.lit(_BLANK))
+    kept_trail = F.rtrim(F.substring(trail, F.lit(1), F.length(trail) - gone), F.lit(_BLANK))
+    return start - F.length(kept_lead), end + F.length(kept_trail)
+
+
+_BLANK = " \t\n\x0b\x0c\r\u3000\xa0"
+GRAM = 3  # characters by which queries find paragraphs
+FEW_QUERIES = 10_000
+
+
+def folded(text: Column) -> Column:
+    """Lower case, character by character: the capital dotted I and the final sigma would else change with their surroundings."""
+    return F.translate(F.lower(F.translate(text, "İ", "i")), "ς", "σ")
+
+
+def _grams(text: Column, size: int) -> Column:
+    chars, n = F.split(text, ""), F.length(text)
+    shifted = F.arrays_zip(*[F.slice(chars, k + 1, n).alias(f"c{k}") for k in range(size)])
+    return F.array_distinct(F.transform(F.slice(shifted, 1, F.greatest(n - size + 1, F.lit(0))), lambda x: F.concat(*[x[f"c{k}"] for k in range(size)])))
 
 
 def search(lines: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
     """Literal, case-insensitive, non-overlapping hits of queries (query_id, query) in paragraphs, `most` for each query and book.
 
-    Queries are joined by the rarest kind of prune available to a literal: the paragraph must contain it.  A query is a few words, so
-    the table of queries is small; it is broadcast up to 10,000 rows, beyond that the join is left to the planner.
+    A paragraph and a query meet by one string of GRAM characters, the one of the query's that fewest paragraphs have (the whole query
+    where it is shorter), so that the join is an equi join; then the whole query is looked for.  Grams of the queries are broadcast
+    while queries.limit(FEW_QUERIES) holds all of them, else shuffled.  Blank queries have no hits.
     """
-    wanted = queries.select("query_id", F.lower(F.trim("query")).alias("needle")).where("needle != ''")
-    side = F.broadcast(wanted) if wanted.limit(10_001).count() <= 10_000 else wanted
-    low = F.lower("text")
-    hits = lines.where(F.length(low) == F.length("text")).join(side, low.contains(F.col("needle")))
-    pieces = F.split(low, F.concat(F.lit("\\Q"), F.col("needle"), F.lit("\\E")))
+    wanted = queries.select("query_id", folded(F.trim("query")).alias("needle")).where("needle != ''").withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
+    sized = {k: wanted.where(F.col("size") == k).select("query_id", "needle", F.explode(_grams(F.col("needle"), k)).alias("gram")) for k in range(1, GRAM + 1)}
+    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    small = F.broadcast if few else lambda df: df
+    rows = lines.withColumn("low", folded(F.col("text")))
+    found = None
+    for k, grams in sized.items():
+        seen = rows.select(F.explode(_grams(F.col("low"), k)).alias("gram")).join(small(grams.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+        rarest = grams.join(seen, "gram").groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+        part = rows.withColumn("gram", F.explode(_grams(F.col("low"), k))).join(small(rarest), "gram").drop("gram")
+        found = part if found is None else found.unionByName(part)
+    hits = found.where(F.col("low").contains(F.col("needle")))
+    literal = F.concat(F.lit("\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = F.split("low", literal)
     sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
     hits = hits.select("*", F.posexplode(sizes).alias("k", "gap"), sizes.alias("sizes"))
     start = F.aggregate(F.slice("sizes", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + x) + F.col("k") * F.length("needle")
     hits = hits.withColumn("start", start).withColumn("end", F.col("start") + F.length("needle"))
+    place = F.row_number().over(Window.partitionBy("query_id", "book").orderBy("ord", "line", "start"))
+    hits = hits.withColumn("place", place).where(F.col("place") <= min(most, 100)).drop("place")
     counted = lambda s: F.length(T.counted_text(s)).cast("bigint")
     first, last = sentence_around(F.col("text"), F.col("start"), F.col("end"))
-    out = hits.select(
-        "query_id", "book", "ord", "line", "start", (F.col("character") + counted(F.substring("text", F.lit(1), F.col("start")))).alias("character"), F.substring("text", first + 1, last - first).alias("snippet"),
-        (F.col("start") - first).cast("bigint").alias("snippet_start"), (F.col("end") - first).cast("bigint").alias("snippet_end"), counted(F.substring("text", F.col("start") + 1, F.length("needle"))).alias("match_length"),
+    hits = hits.withColumn("first", first).withColumn("last", last)
+    return hits.select(
+        "query_id", "book", "ord", "line", "start", (F.col("character") + counted(F.substring("text", F.lit(1), F.col("start")))).alias("character"), F.substring("text", F.col("first") + 1, F.col("last") - F.col("first")).alias("snippet"),
+        (F.col("start") - F.col("first")).cast("bigint").alias("snippet_start"), (F.col("end") - F.col("first")).cast("bigint").alias("snippet_end"), counted(F.substring("text", F.col("start") + 1, F.length("needle"))).alias("match_length"),
     )
-    place = F.row_number().over(Window.partitionBy("query_id", "book").orderBy("ord", "line", "start"))
-    return out.withColumn("place", place).where(F.col("place") <= min(most, 100)).drop("place")
 
 
 def reading_progress(bookmarks: DataFrame, facts: DataFrame) -> DataFrame:

@@ -21,6 +21,9 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
+FEW_SOURCES = 10_000
+
+
 def supported_audio(entries: DataFrame, disabled: DataFrame | None = None) -> DataFrame:
     """Entries of supported types from sources that are not disabled."""
     out = entries.where(T.audio_extension(F.col("file")).isin("mp3", "opus", "ogg"))
@@ -30,21 +33,28 @@ def supported_audio(entries: DataFrame, disabled: DataFrame | None = None) -> Da
 def rank_audio(requests: DataFrame, entries: DataFrame, source_order: DataFrame, every: bool = False) -> DataFrame:
     """Word audio for requests (request_id, term, reading): rank 0 exact, 1 by reading, 2 by expression; then source order, reading, file.
 
-    Best entry of each request, or all with distinct files.  source_order: (source, place).
+    Best entry of each request, or all with distinct files.  source_order: (source, place).  Requests that ask the same are ranked
+    once; for the best entry alone, entries of one expression and reading are first brought down to the best of them.
     """
     asked = requests.select("request_id", "term", T.hiragana(F.coalesce("reading", F.lit(""))).alias("wanted"))
-    rows = supported_audio(entries)
-    by_term = asked.join(rows, F.col("term") == F.col("expression"))
-    by_reading = asked.where("trim(wanted) != ''").join(rows, (F.col("wanted") == F.col("reading")) & (F.trim("reading") != ""))
-    both = by_term.unionByName(by_reading).distinct()
+    rows = supported_audio(entries).join(F.broadcast(source_order) if source_order.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else source_order, "source", "left")
+    place = F.coalesce(F.col("place").cast("bigint"), F.lit(2147483647))
+    if not every:
+        rows = top_n_per_key(rows, ["expression", "reading"], [place, F.col("source"), F.col("file")], 1)
+    questions = asked.select("term", "wanted").distinct()
+    by_term = questions.join(rows, F.col("term") == F.col("expression"))
+    by_reading = questions.where("trim(wanted) != ''").join(rows, (F.col("wanted") == F.col("reading")) & (F.trim("reading") != "") & (F.col("term") != F.col("expression")))
+    both = by_term.unionByName(by_reading)
     same, heard = F.col("expression") == F.col("term"), (F.trim("wanted") != "") & F.coalesce(F.col("reading") == F.col("wanted"), F.lit(False))
     rank = F.when((F.trim("wanted") == "") & same, 0).when(same & (F.col("reading").isNull() | heard), 0).when(heard, 1).when(same, 2).otherwise(3)
-    ranked = both.withColumn("rank", rank).join(source_order, "source", "left")
-    order = [F.col("rank"), F.coalesce("place", F.lit(2147483647)), F.coalesce("reading", F.lit("")), F.col("source"), F.col("file")]
+    order = [F.col("rank"), place, F.coalesce("reading", F.lit("")), F.col("source"), F.col("file")]
+    ranked = both.withColumn("rank", rank)
     if every:
-        first = top_n_per_key(ranked, ["request_id", "source", "file"], order, 1)
-        return first.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)).cast("bigint"))
-    return top_n_per_key(ranked, ["request_id"], order, 1)
+        first = top_n_per_key(ranked, ["term", "wanted", "source", "file"], order, 1)
+        best = first.withColumn("n", F.row_number().over(Window.partitionBy("term", "wanted").orderBy(*order)).cast("bigint"))
+    else:
+        best = top_n_per_key(ranked, ["term", "wanted"], order, 1)
+    return asked.join(best, ["term", "wanted"])
 
 
 def repair_order(current: DataFrame, available: DataFrame, priority: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ vis AS (SELECT book, ord, replace(replace(replace(replace(regexp_replace(regexp_
 par AS (SELECT book, ord, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|blockquote|section|td|tr)\s*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&#[xX]?[0-9A-Fa-f]+;', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS visible FROM r1),
 facts AS (SELECT book, ord, count, CAST(coalesce(sum(count) OVER (PARTITION BY book ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(count) OVER (PARTITION BY book) AS BIGINT) AS total
     FROM (SELECT book, ord, length(regexp_replace(visible, '[^{_COUNTED}]', '', 'g')) AS count FROM vis)),
-pos AS (SELECT {HOST} AS book, page_id AS id, page_id * 37 % 40000 AS character FROM pages WHERE page_id % 2 = 0),
+pos AS (SELECT {HOST} AS book, page_id AS id, page_id * 37 % 40000 AS character FROM pages),
 labels AS (SELECT f.book, f.ord, CASE WHEN f.ord % 3 = 0 THEN 'Section ' || f.ord END AS label FROM facts f)
 """
 
@@ -77,7 +79,7 @@ def f4_narrative_chapters(spark, sf_dir):
 
 
 def positions(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.expr(HOST).alias("book"), F.col("page_id").alias("id"), (F.col("page_id") * 37 % 40000).alias("character"))
+    return table(spark, sf_dir, "pages").select(F.expr(HOST).alias("book"), F.col("page_id").alias("id"), (F.col("page_id") * 37 % 40000).alias("character"))
 
 
 @query(CTE + """SELECT p.book, id, character, ord AS chapter, round((greatest(0, least(character, total - 1)) - start) / count, 6) AS progress FROM pos p JOIN facts f ON p.book = f.book AND f.count > 0
@@ -161,23 +163,50 @@ def documents_as_lines(spark, sf_dir) -> DataFrame:
     return d.withColumn("text", F.trim("text")).where("text != ''").withColumn("character", F.lit(0).cast("bigint"))
 
 
-@query(r"""WITH lines AS (SELECT source || '-' || lang AS book, doc_id AS ord, unnest(range(len(xs))) AS line, trim(unnest(xs)) AS text FROM (SELECT *, string_split(text, chr(10)) AS xs FROM documents)),
-    q AS (SELECT item_id AS query_id, lower(trim(array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' '))) AS needle FROM benchmark WHERE item_id % 2 = 0),
+def passages_as_queries(spark, sf_dir) -> DataFrame:
+    """Every benchmark passage whole, six words a query; each fifth in capitals."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("ws")).where("size(ws) > 0")
+    rows = b.select("item_id", "ws", F.explode(F.sequence(F.lit(0), F.expr("(size(ws) - 1) div 6").cast("int"))).alias("k"))
+    text = F.array_join(F.slice("ws", F.col("k") * 6 + 1, 6), " ")
+    return rows.select((F.col("item_id") * 1000 + F.col("k")).alias("query_id"), F.when(F.col("k") % 5 == 0, F.translate(text, ascii_lowercase, ascii_uppercase)).otherwise(text).alias("query"))
+
+
+_HITS = r"""lines AS (SELECT source || '-' || lang AS book, doc_id AS ord, unnest(range(len(xs))) AS line, trim(unnest(xs)) AS text FROM (SELECT *, string_split(text, chr(10)) AS xs FROM documents)),
+    b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w != '') AS ws FROM benchmark),
+    q AS (SELECT item_id * 1000 + k AS query_id, lower(array_to_string(ws[k * 6 + 1:k * 6 + 6], ' ')) AS needle FROM (SELECT item_id, ws, unnest(range(CAST(ceil(len(ws) / 6) AS BIGINT))) AS k FROM b WHERE len(ws) > 0)),
     hit AS (SELECT query_id, book, ord, line, text, needle, string_split(lower(text), needle) AS ps FROM lines JOIN q ON contains(lower(text), needle) WHERE text != '' AND needle != ''),
-    pos AS (SELECT query_id, book, ord, line, text, needle, unnest(list_transform(range(1, len(ps)), lambda k: list_sum(list_transform(ps[1:k], lambda p: length(p))) + (k - 1) * length(needle))) AS start FROM hit)
-    SELECT query_id, book, ord, line, CAST(start AS BIGINT) AS start FROM pos QUALIFY row_number() OVER (PARTITION BY query_id, book ORDER BY ord, line, start) <= 100""")
+    pos AS (SELECT query_id, book, ord, line, text, needle, unnest(list_transform(range(1, len(ps)), lambda k: list_sum(list_transform(ps[1:k], lambda p: length(p))) + (k - 1) * length(needle))) AS start FROM hit),
+    best AS (SELECT *, CAST(start AS BIGINT) AS s, CAST(start AS BIGINT) + length(needle) AS e FROM pos QUALIFY row_number() OVER (PARTITION BY query_id, book ORDER BY ord, line, start) <= 100)"""
+
+
+@query("WITH " + _HITS + " SELECT query_id, book, ord, line, s AS start FROM best")
 def s29_search(spark, sf_dir):
-    first = F.split("text", "\n")[0]
-    queries = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(first, " "), 1, 3), " ").alias("query"))
-    out = B.search(documents_as_lines(spark, sf_dir), queries)
+    out = B.search(documents_as_lines(spark, sf_dir), passages_as_queries(spark, sf_dir))
     return out.select("query_id", "book", "ord", F.col("line").cast("bigint").alias("line"), F.col("start").cast("bigint").alias("start"))
 
 
-@query()
+_OPEN, _CLOSE = "「『（(【〈《〔｛{［[", "」』）)】〉》〕｝}］]"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(12288) || chr(160)"
+
+
+@query("WITH " + _HITS + rf""",
+    cut AS (SELECT *, ltrim(regexp_extract(substring(text, 1, s), '([^。！？.!?\n\r]*)$', 1), {_WHITE}) AS pre, rtrim(regexp_extract(substring(text, e + 1), '^[^。！？.!?\n\r]*([。！？.!?\n\r][。、！？」』）)】〉》〕｝}}］\]]*)?'), {_WHITE}) AS post FROM best),
+    br AS (SELECT *, list_reduce(list_filter(string_split(pre || substring(text, s + 1, e - s) || post, ''), lambda c: contains('{_OPEN}{_CLOSE}', c) AND c != ''),
+        lambda a, c: CASE WHEN contains('{_OPEN}', c) THEN split_part(a, chr(0), 1) || c || chr(0) || split_part(a, chr(0), 2)
+            WHEN split_part(a, chr(0), 1) != '' AND translate(right(split_part(a, chr(0), 1), 1), '{_OPEN}', '{_CLOSE}') = c THEN left(split_part(a, chr(0), 1), -1) || chr(0) || split_part(a, chr(0), 2)
+            ELSE split_part(a, chr(0), 1) || chr(0) || split_part(a, chr(0), 2) || c END, chr(0)) AS loose FROM cut),
+    fit AS (SELECT *, split_part(loose, chr(0), 1) AS op, split_part(loose, chr(0), 2) AS cl FROM br),
+    led AS (SELECT *, ltrim(substring(pre, coalesce(list_max(list_filter(range(1, length(op) + 1), lambda i: left(pre, i) = left(op, i))), 0) + 1), {_WHITE}) AS lead FROM fit),
+    bk AS (SELECT *, list_reduce(list_reverse(list_filter(string_split(post, ''), lambda c: c != '')), lambda a, c: CASE WHEN a.stop OR a.cl = '' THEN {{cl: a.cl, seen: a.seen + 1, gone: a.gone, stop: true}}
+        WHEN right(a.cl, 1) = c THEN {{cl: left(a.cl, -1), seen: a.seen + 1, gone: a.seen + 1, stop: false}}
+        ELSE {{cl: a.cl, seen: a.seen + 1, gone: a.gone, stop: NOT contains('。！？.!?' || chr(10) || chr(13), c)}} END, {{cl: cl, seen: 0, gone: 0, stop: false}}) AS z FROM led),
+    done AS (SELECT *, rtrim(left(post, length(post) - z.gone), {_WHITE}) AS trail FROM bk)
+    SELECT query_id, book, ord, line, s AS start, CAST(length(regexp_replace(substring(text, 1, s), '[^{_COUNTED}]', '', 'g')) AS BIGINT) AS character, lead || substring(text, s + 1, e - s) || trail AS snippet,
+        length(lead) AS snippet_start, length(lead) + e - s AS snippet_end, length(regexp_replace(substring(text, s + 1, e - s), '[^{_COUNTED}]', '', 'g')) AS match_length FROM done""")
 def s29_search_snippets(spark, sf_dir):
-    first = F.split("text", "\n")[0]
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(first, " "), 1, 4), " ").alias("query"))
-    return B.search(B.paragraphs(chapters(spark, sf_dir)).unionByName(documents_as_lines(spark, sf_dir)), queries)
+    out = B.search(documents_as_lines(spark, sf_dir), passages_as_queries(spark, sf_dir))
+    return out.withColumns({"line": F.col("line").cast("bigint"), "start": F.col("start").cast("bigint")})
 
 
 @query(CTE + "SELECT f.book, CASE WHEN max(total) > 0 THEN round(least(greatest(coalesce(max(character), 0) / max(total), 0.0), 1.0), 6) ELSE 0.0 END AS progress FROM facts f LEFT JOIN (SELECT book, max(character) AS character FROM pos GROUP BY book) p USING (book) GROUP BY f.book")

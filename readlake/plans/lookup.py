@@ -37,9 +37,10 @@ def entries(spark, sf_dir) -> DataFrame:
 
 
 def requests(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 20 = 0")
+    """One request for each word, with and without its reading, of all parts."""
     word = F.split("p_name", " ")
-    return p.select(F.col("p_partkey").alias("request_id"), word[1].alias("term"), F.when(F.col("p_partkey") % 3 > 0, word[0]).alias("reading"))
+    p = table(spark, sf_dir, "part").select("p_partkey", word[1].alias("term"), F.when(F.col("p_partkey") % 3 > 0, word[0]).alias("reading"))
+    return p.groupBy("term", "reading").agg(F.min("p_partkey").alias("request_id")).select("request_id", "term", "reading")
 
 
 def source_order(spark, sf_dir) -> DataFrame:
@@ -49,7 +50,7 @@ def source_order(spark, sf_dir) -> DataFrame:
 
 
 AUDIO = """WITH entries AS (SELECT p_brand AS source, split_part(p_name, ' ', 2) AS expression, CASE WHEN p_partkey % 5 > 0 THEN split_part(p_name, ' ', 1) END AS reading, p_partkey || '.' || ['mp3', 'OPUS', 'ogg', 'wav'][p_partkey % 4 + 1] AS file FROM part),
-    req AS (SELECT p_partkey AS request_id, split_part(p_name, ' ', 2) AS term, coalesce(CASE WHEN p_partkey % 3 > 0 THEN split_part(p_name, ' ', 1) END, '') AS wanted FROM part WHERE p_partkey % 20 = 0),
+    req AS (SELECT min(p_partkey) AS request_id, split_part(p_name, ' ', 2) AS term, coalesce(CASE WHEN p_partkey % 3 > 0 THEN split_part(p_name, ' ', 1) END, '') AS wanted FROM part GROUP BY 2, 3),
     sorder AS (SELECT DISTINCT p_brand AS source, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS place FROM part WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) % 4 != 0),
     ranked AS (SELECT *, CASE WHEN wanted = '' AND term = expression THEN 0 WHEN term = expression AND (reading IS NULL OR reading = wanted) THEN 0 WHEN reading = wanted THEN 1 ELSE 2 END AS rank
         FROM (SELECT DISTINCT r.*, e.* FROM req r JOIN entries e ON (e.expression = r.term OR (r.wanted != '' AND e.reading = r.wanted)) WHERE NOT regexp_matches(file, 'wav$')) LEFT JOIN sorder USING (source))

@@ -102,3 +102,16 @@ def test_srt_round_trip(spark):
     srt = A.encode_srt(m)
     cues = A.parse_srt(srt.select("book", F.col("srt").alias("content"))).orderBy("start").collect()
     assert [(c.id, c.start, c.end, c.text) for c in cues] == [("0", 0.2, 0.9, "first"), ("1", 1.0, 2.5, "one\ntwo")]
+
+
+def test_search_is_by_characters(spark):
+    """Letters whose lower case is longer keep their line, and brackets without a partner leave the snippet."""
+    from readlake.operators.books import search
+
+    lines = [("b", 0, 0, "İstanbul has a cat. Cats!", 0), ("b", 1, 0, "「One (two three」. Four", 0), ("b", 2, 0, "ΟΔΟΣ and ὁδός", 0), ("b", 3, 0, "ab)c. d\\E.", 0)]
+    queries = [(1, "CAT"), (2, "two"), (3, "οδοσ"), (4, "c"), (5, "d\\e"), (6, "  "), (7, "absent")]
+    got = search(spark.createDataFrame(lines, "book string, ord int, line int, text string, character bigint"), spark.createDataFrame(queries, "query_id int, query string")).collect()
+    assert sorted((r.query_id, r.ord, r.start) for r in got) == [(1, 0, 15), (1, 0, 20), (2, 1, 6), (3, 2, 0), (4, 0, 15), (4, 0, 20), (4, 3, 3), (5, 3, 6)]
+    snippets = {(r.query_id, r.ord, r.start): r.snippet for r in got}
+    assert snippets[1, 0, 15] == "İstanbul has a cat." and snippets[2, 1, 6] == "One (two three"
+    assert snippets[4, 3, 3] == "ab)c."
