@@ -19,21 +19,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from readlake.llm._shared import mix, release, spans_to_mask
 
 BATCH = 2 << 20
 #: Accepted (least, most) of each measure: characters per token of words for both vocabularies, share of byte fallback, entropy in
 #: bits per token.  Short texts vary more, so the least characters per token are lowered by SLACK / sqrt(tokens); entropy is judged
-#: where a text has ENTROPY_TOKENS tokens or more.  The limits for the four languages were set on labelled documents.
+#: where a text has ENTROPY_TOKENS tokens or more.  The least values of the four languages are what fit_bands finds on labelled
+#: documents (tests repeat that); the other limits are wide, since nothing in these texts reaches them.
 BANDS: Mapping[str, dict[str, tuple[float, float]]] = {
-    "en": {"piece_chars": (1.95, 9.0), "byte_chars": (2.12, 9.0), "fallback": (0.0, 0.05), "entropy": (4.2, 16.0)},
-    "de": {"piece_chars": (1.95, 9.0), "byte_chars": (2.16, 9.0), "fallback": (0.0, 0.05), "entropy": (4.2, 16.0)},
-    "fr": {"piece_chars": (1.75, 9.0), "byte_chars": (1.96, 9.0), "fallback": (0.0, 0.05), "entropy": (4.2, 16.0)},
-    "es": {"piece_chars": (1.75, 9.0), "byte_chars": (2.00, 9.0), "fallback": (0.0, 0.05), "entropy": (4.2, 16.0)},
+    "en": {"piece_chars": (1.99, 9.0), "byte_chars": (2.12, 9.0), "fallback": (0.0, 0.05), "entropy": (5.64, 16.0)},
+    "de": {"piece_chars": (2.11, 9.0), "byte_chars": (2.19, 9.0), "fallback": (0.0, 0.05), "entropy": (5.65, 16.0)},
+    "fr": {"piece_chars": (1.76, 9.0), "byte_chars": (1.91, 9.0), "fallback": (0.0, 0.05), "entropy": (5.65, 16.0)},
+    "es": {"piece_chars": (1.85, 9.0), "byte_chars": (1.96, 9.0), "fallback": (0.0, 0.05), "entropy": (5.47, 16.0)},
     "Latin": {"piece_chars": (1.5, 10.0), "byte_chars": (1.5, 10.0), "fallback": (0.0, 0.10), "entropy": (4.0, 16.0)},
     "other": {"piece_chars": (0.2, 10.0), "byte_chars": (0.2, 10.0), "fallback": (0.0, 0.90), "entropy": (3.0, 16.0)},
 }
+MARGIN = 0.95
+FIT_ROWS = 100_000
 SLACK = 3.0
 ENTROPY_TOKENS = 200
 SPACE = np.zeros(256, bool)
@@ -214,7 +218,8 @@ def fertility_rules(
     docs: DataFrame, bands: Mapping = BANDS, piece_model: str | None = None, byte_ranks: str | None = None,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
-    """One row per input row with the base counts, base_failed, kept, and the figures and band behind the verdict.
+    """One row per input row with the base counts, base_failed, kept, and the figures and band behind the verdict.  An empty table
+    gives an empty result.
 
     A null text counts as empty: no words, base_failed, not kept.  A null or unknown language is judged by script (Latin where half
     of the characters are Latin letters, else other).  Null and repeated doc_ids are passed on.  Other columns are ignored.  The
@@ -244,3 +249,24 @@ def fertility_rules(
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, SCHEMA)
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, bands: Mapping = BANDS, margin: float = MARGIN, rows: int = FIT_ROWS, id_col: str = "doc_id", quality_col: str = "quality") -> dict:
+    """bands with least values from labelled documents: of each language, margin times the least that a good document has.
+
+    At most `rows` good documents of a language (those with the smallest hash of their id) are measured, so the fit costs the same for
+    any corpus.  Languages without good documents keep their bands.
+    """
+    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("bigint").alias("doc_id"))
+    figures = fertility_rules(docs.join(good, docs[id_col].cast("bigint") == good["doc_id"], "left_semi"), bands).where(~F.col("base_failed"))
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("doc_id")))
+    slack = SLACK / F.sqrt(F.greatest(F.col("word_chars") / F.col("piece_chars"), F.lit(1.0)))
+    least = [F.min(F.col("piece_chars") + slack), F.min(F.col("byte_chars") + slack), F.min(F.when(F.col("word_chars") / F.col("piece_chars") >= ENTROPY_TOKENS, F.col("entropy")))]
+    fitted = figures.withColumn("place", place).where(F.col("place") <= rows).groupBy("band").agg(*(c.alias(n) for c, n in zip(least, ("piece_chars", "byte_chars", "entropy")))).collect()
+    out = {name: dict(limits) for name, limits in bands.items()}
+    for r in fitted:
+        for what in ("piece_chars", "byte_chars", "entropy"):
+            if r["band"] in ("Latin", "other") or r[what] is None:
+                continue
+            out[r["band"]][what] = (int(r[what] * margin * 100) / 100, out[r["band"]][what][1])
+    return out
