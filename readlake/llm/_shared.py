@@ -44,8 +44,8 @@ class Scratch:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         self.path = f"{root.rstrip('/')}/readlake-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back, which cuts its lineage; the shuffle files of the finished job are removed.
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df (in folders by a column, if named) and read it back, which cuts its lineage; the shuffle files of the finished job are removed.
 
         Rows reach Python in batches of BATCH_ROWS at most, since a row may hold the shingles of a document or a block of texts.
         """
@@ -54,7 +54,7 @@ class Scratch:
         for key, value in settings.items():
             self.spark.conf.set(key, value)
         try:
-            df.write.parquet(f"{self.path}/{name}")
+            (df.write.partitionBy(by) if by else df.write).parquet(f"{self.path}/{name}")
         finally:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)

@@ -4,9 +4,11 @@ Pass 1 counts Bloom slots: every normalised text sets two slots of a bit field o
 rows set form the *repeated* field.  Pass 2 tests each row's two slots there.  A row with a clear slot cannot have an equal and
 passes straight through; only the rest shuffle, by the SHA-256 of their normalised text, to find the row that stays.
 
-The field is broadcast and holds at most MAX_BITS bits (8 MB).  Beyond about four million rows it grows denser, so more unique
-rows take part in the shuffle; results do not change.  Groups that hold over a thousandth of all rows (so at most a thousand
-groups) get their answer by a broadcast join, the others by a shuffled one.
+The field has BITS_A_ROW bits for each row.  It is broadcast, so one task holds at most MAX_BITS of it; where the rows need more,
+hashes are cut by prefix into parts (folders of the written table of hashes) with a field of their own, which are gone through one
+after the other.  Rows of different parts cannot be equal, so every row is tested once whatever their number, and the share of
+unique rows that shuffle stays the same.  Groups that hold over a thousandth of all rows (so at most a thousand groups) get their
+answer by a broadcast join, the others by a shuffled one.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from readlake.llm._shared import ROW, Scratch, keeping_names, keyed_rows, without
 
-MAX_BITS = 1 << 26
+BITS_A_ROW = 16
+MAX_BITS = 1 << 30  # 128 MB
 PAGE = 32768  # bits in one value of bitmap_construct_agg
 
 
@@ -30,6 +33,17 @@ def _bit(pages: F.Column, place: F.Column) -> F.Column:
     return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
 
 
+def _tested(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, uid, sha and whether both slots of a row are slots that two rows or more set, in a field of size bits."""
+    slots = [F.pmod(F.col(h), F.lit(size)) for h in ("h1", "h2")]
+    repeated = rows.select(F.explode(F.array_distinct(F.array(*slots))).alias("slot")).groupBy("slot").agg(F.count("*").alias("hits")).where("hits > 1")
+    field = repeated.groupBy((F.col("slot") / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("slot") % PAGE).alias("pages"))
+    for k, slot in enumerate(slots):
+        side = field.select(F.col("page").alias(f"page{k}"), F.col("pages").alias(f"pages{k}"))
+        rows = rows.withColumn(f"page{k}", (slot / PAGE).cast("int")).join(F.broadcast(side), f"page{k}", "left").withColumn(f"hit{k}", _bit(F.col(f"pages{k}"), (slot % PAGE).cast("int"))).drop(f"pages{k}", f"page{k}")
+    return rows.select("doc_id", "uid", "sha", (F.col("hit0") & F.col("hit1")).alias("possible"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, key_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -41,18 +55,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("text"), (F.monotonically_increasing_id() if key_col is None else F.col(key_col)).alias("uid"))
     rows = rows.select("doc_id", "uid", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
-    rows = scratch.table(rows, "hashes")
-    n = rows.count()
+    n = docs.count()
+    parts = max(1, -(-BITS_A_ROW * n // max_bits))
     size = PAGE
-    while size < min(16 * n, max_bits):
+    while size < min(BITS_A_ROW * n / parts, max_bits):
         size *= 2
-    slots = [F.pmod(F.col(h), F.lit(size)) for h in ("h1", "h2")]
-    repeated = rows.select(F.explode(F.array_distinct(F.array(*slots))).alias("slot")).groupBy("slot").agg(F.count("*").alias("hits")).where("hits > 1")
-    field = repeated.groupBy((F.col("slot") / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("slot") % PAGE).alias("pages"))
-    for k, slot in enumerate(slots):
-        side = field.select(F.col("page").alias(f"page{k}"), F.col("pages").alias(f"pages{k}"))
-        rows = rows.withColumn(f"page{k}", (slot / PAGE).cast("int")).join(F.broadcast(side), f"page{k}", "left").withColumn(f"hit{k}", _bit(F.col(f"pages{k}"), (slot % PAGE).cast("int"))).drop(f"pages{k}", f"page{k}")
-    tested = scratch.table(rows.select("doc_id", "uid", "sha", (F.col("hit0") & F.col("hit1")).alias("possible")), "tested")
+    if parts == 1:
+        hashes = [scratch.table(rows, "hashes")]
+    else:
+        whole = scratch.table(rows.withColumn("part", F.pmod(F.xxhash64("h1"), F.lit(parts)).cast("int")), "hashes", by="part")
+        hashes = [whole.where(F.col("part") == k).drop("part") for k in range(parts)]
+    tested = None
+    for k, part in enumerate(hashes):
+        part = scratch.table(_tested(part, size), f"tested{k}")
+        tested = part if tested is None else tested.unionByName(part)
     through = tested.where(~F.col("possible"))
     possible = tested.where("possible").drop("possible")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))).alias("first")
