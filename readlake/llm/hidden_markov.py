@@ -130,6 +130,16 @@ _TEXTS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("word_counts"
 _TEXTS_DDL = "block bigint, keys binary, word_counts binary, word_classes binary, words binary, ids array<bigint>, sizes array<bigint>, symbols binary, known array<bigint>, base array<double>"
 
 
+def _pack_words(word: np.ndarray) -> bytes:
+    narrow = word.max(initial=0) < 1 << 16
+    return squeeze((b"2" if narrow else b"4") + word.astype(np.uint16 if narrow else np.uint32).tobytes())
+
+
+def _unpack_words(data: bytes) -> np.ndarray:
+    data = unpack(data)
+    return np.frombuffer(data, np.uint16 if data[:1] == b"2" else np.uint32, offset=1).astype(np.int64)
+
+
 def _symbol_rows(v: Vocabulary, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {n: [] for n in _TEXTS.names}
@@ -146,10 +156,10 @@ def _symbol_rows(v: Vocabulary, buckets: int):
                 at = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
                 often = v.keys[at] == keys
                 symbol[often], own[often] = at[often], False
-            word = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
+            word = (np.cumsum(own) - 1)[of][own[of]]  # of each token of a class: its word among those of the block
             base = np.log10((count + 1) / (v.train_tokens + v.known + 1))
             starts = t.ends - t.sizes
-            row = (block, keys[own].tobytes(), squeeze(count[own].tobytes()), classes[own].tobytes(), squeeze(word[of].tobytes()), ids, t.sizes, squeeze(symbol[of].astype(np.uint16).tobytes()), np.add.reduceat((count > 0)[of].astype(np.int64), starts), np.add.reduceat(base[of], starts))
+            row = (block, keys[own].tobytes(), squeeze(count[own].tobytes()), classes[own].tobytes(), _pack_words(word), ids, t.sizes, squeeze(symbol[of].astype(np.uint16).tobytes()), np.add.reduceat((count > 0)[of].astype(np.int64), starts), np.add.reduceat(base[of], starts))
             for name, value in zip(_TEXTS.names, row):
                 out[name].append(value)
         return pa.Table.from_pydict(out, _TEXTS)
@@ -258,10 +268,11 @@ _SUMS = "kind int, chunk int, part int, block bigint, keys binary, sums binary"
 _PARTIAL = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
 
 
-def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int = 0):
+def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int = 0, first_class: int = 0):
     """Expected counts of a partition's training texts, in CHUNKS pieces (kind 0).
 
-    With buckets also those of the words of each block that are no symbols, by hash range (kind 1, chunk is the range).
+    With buckets also those of the words of each block that are no symbols, by hash range (kind 1, chunk is the range); they are rounded
+    to half precision, a two thousandth, before they are summed.  Symbols from first_class on are classes.
     """
 
     def run(batches):
@@ -275,7 +286,7 @@ def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int
                 sizes, symbols = np.array(sizes), np.frombuffer(unpack(data), np.uint16).astype(np.int64)
                 train = ~held_out(ids_of(ids))
                 tokens = np.repeat(train, sizes)
-                symbols, sizes = symbols[tokens], sizes[train]
+                all_symbols, symbols, sizes = symbols, symbols[tokens], sizes[train]
                 if not len(sizes):
                     continue
                 if model is None:
@@ -288,9 +299,10 @@ def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int
                 a, b, c, s = lattice.counts()
                 initial, step, emit, score = initial + a, step + b, emit + c, score + s
                 if buckets:
-                    keys, word = np.frombuffer(keys, np.uint64), np.frombuffer(unpack(words), np.int32)[tokens]
-                    inside = word >= 0
-                    sums = np.stack([np.bincount(word[inside], lattice.gamma[inside, z], len(keys)) for z in range(states)], axis=1).astype(np.float32)
+                    keys, word = np.frombuffer(keys, np.uint64), _unpack_words(words)
+                    inside = symbols >= first_class
+                    word = word[tokens[all_symbols >= first_class]]
+                    sums = np.stack([np.bincount(word, lattice.gamma[inside, z], len(keys)) for z in range(states)], axis=1).astype(np.float16)
                     of, bounds = cut(keys, buckets)
                     for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                         for name, value in zip(_PARTIAL.names, (1, bucket, None, block, keys[i:j].tobytes(), squeeze(sums[i:j].tobytes()))):
@@ -314,7 +326,7 @@ def _add(table: pa.Table) -> pa.Table:
 def _add_words(table: pa.Table) -> pa.Table:
     """Of one hash range: for each block, the expected counts over the corpus of its words."""
     parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    own = np.concatenate([np.frombuffer(unpack(x), np.float32).reshape(len(k), -1) for k, x in zip(parts, table.column("sums").to_pylist())])
+    own = np.concatenate([np.frombuffer(unpack(x), np.float16).reshape(len(k), -1).astype(np.float32) for k, x in zip(parts, table.column("sums").to_pylist())])
     keys, of = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.stack([np.bincount(of, own[:, z], len(keys)) for z in range(own.shape[1])], axis=1).astype(np.float32)[of]
     sums = [squeeze(x.tobytes()) for x in np.split(total, np.cumsum([len(p) for p in parts])[:-1])]
@@ -324,7 +336,7 @@ def _add_words(table: pa.Table) -> pa.Table:
 def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int, scratch: Scratch | None = None, buckets: int = 0) -> tuple[Model, float, DataFrame | None]:
     """The next model from counts over all partitions, the log10 likelihood under the present one, and with buckets the words' sums."""
     columns = ["block", "keys", "words", "ids", "sizes", "symbols"] if buckets else ["block", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("words"), "ids", "sizes", "symbols"]
-    sums = texts.select(*columns).mapInArrow(_partial(model, v.overall, states, buckets), _SUMS)
+    sums = texts.select(*columns).mapInArrow(_partial(model, v.overall, states, buckets, len(v.keys) + 1), _SUMS)
     words = None
     if buckets:
         sums = scratch.table(sums, "sums")
@@ -357,15 +369,16 @@ def _score_rows(model: Model, v: Vocabulary, buckets: int, smooth: float):
         found = []
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("word_sums").to_pylist()))
         for _, keys, counts, classes, words, ids, sizes, data, known, base in zip(*(left.column(c).to_pylist() for c in _TEXTS.names)):
-            n, keys, word = np.array(sizes), np.frombuffer(keys, np.uint64), np.frombuffer(unpack(words), np.int32)
+            n, keys, symbols = np.array(sizes), np.frombuffer(keys, np.uint64), np.frombuffer(unpack(data), np.uint16).astype(np.int64)
             sums = np.zeros((len(keys), len(model.initial)))
             of, bounds = cut(keys, buckets)
             for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 if bucket in replies:
                     sums[i:j] = np.frombuffer(unpack(replies[bucket]), np.float32).reshape(j - i, -1)
             factors = word_factors(model, v, np.frombuffer(classes, np.uint8), np.frombuffer(unpack(counts), np.int64), sums, smooth)
-            inside = np.concatenate([factors, np.ones((1, len(model.initial)))])[word]  # -1: a symbol of its own
-            score = Lattice(model, np.frombuffer(unpack(data), np.uint16).astype(np.int64), n, inside).forward()
+            inside = np.ones((len(symbols), len(model.initial)))
+            inside[symbols > len(v.keys)] = factors[_unpack_words(words)]
+            score = Lattice(model, symbols, n, inside).forward()
             found.append(pa.table([pa.array(ids, pa.int64()), pa.array(held_out(ids_of(ids))), pa.array(n), pa.array(known, pa.int64()), pa.array(np.full(len(n), v.train_tokens, np.int64)), pa.array(base, pa.float64()), pa.array(score)], _SCORES))
         return pa.concat_tables(found) if found else _SCORES.empty_table()
 
