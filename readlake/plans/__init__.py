@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from readlake.plans import alignment, books, lookup, statistics
+from readlake.plans import alignment, books, lookup, reading, statistics
 
-FAMILIES = [statistics, books, lookup, alignment]
+FAMILIES = [statistics, books, lookup, alignment, reading]
 
 
 def registered() -> tuple[dict, dict]:
