@@ -35,7 +35,7 @@ BLOCK_BYTES = 2 << 20
 FREQUENT = 1 << 15
 CLASSES = 256
 STATES = 6
-ROUNDS = 3
+ROUNDS = 2
 LENGTH = 128
 CHUNKS = 16
 FAN_IN = 64  # partial sums that one task adds up
