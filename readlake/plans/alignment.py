@@ -188,9 +188,9 @@ def r3_stitch_batches(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT user_id AS recording, event_id AS ord, greatest(-100.0, least(0.0, -value / 5)) AS level FROM events), b AS (SELECT *, CAST(floor(level + 0.5) AS INTEGER) + 100 AS bin FROM f),
-    h AS (SELECT *, list(bin) OVER (PARTITION BY recording ORDER BY ord ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS xs FROM b),
-    g AS (SELECT recording, ord, level, list_sort(list_concat(xs, list_transform(range(50 - len(xs)), lambda i: 0)))[6] - 100 AS floor FROM h)
+    h AS (SELECT *, list(bin) OVER (PARTITION BY recording ORDER BY ord ROWS BETWEEN 937 PRECEDING AND CURRENT ROW) AS xs FROM b),
+    g AS (SELECT recording, ord, level, list_sort(list_concat(xs, list_transform(range(938 - len(xs)), lambda i: 0)))[94] - 100 AS floor FROM h)
     SELECT recording, ord, CAST(floor AS INTEGER) AS floor, round(1.0 / (1.0 + exp(-(level - least(greatest(floor + 12, -55), -30)) / 2.0)), 6) AS probability FROM g""")
 def w7_noise_floor(spark, sf_dir):
     frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), F.col("event_id").alias("ord"), (-F.col("value") / 5).alias("level"))
-    return R.noise_floor_activity(frames, frames_back=50).withColumn("probability", F.round("probability", 6))
+    return R.noise_floor_activity(frames).withColumn("probability", F.round("probability", 6))

@@ -21,6 +21,8 @@ SIDECARS = {
     "highlights": "id string, character int, offset int, text string, color string, createdAt double, textFurigana string",
     "playback": "lastPosition double, delay double, rate float, audioUri string, audioFileName string",
     "shelves": "name string, bookIds array<string>",
+    "match": "unmatched int, source string, matches array<struct<id: string, startTime: double, endTime: double, text: string, chapterIndex: int, start: int, length: int>>",
+    "bookinfo": "characterCount int, chapterInfo map<string, struct<spineIndex: int, currentTotal: int, chapterCount: int, fragmentOffsets: map<string, int>>>, images array<string>, readerFactsVersion int",
     "transcript": "through double, duration double, source string, tokens array<struct<text: string, start: double, end: double>>",
 }
 
@@ -75,25 +77,36 @@ _NS = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.
 _HTML = {"application/xhtml+xml", "text/html"}
 
 
-def read_epubs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Books (book, title, language, author) and chapters (book, ord, id, href, media_type, linear, properties, html) of EPUB files.
+def read_epubs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Books (book, title, language, author), chapters (book, ord, id, href, media_type, linear, properties, html) and errors (book, error).
 
     A file is opened where it is read; chapters are manifest items of HTML types in spine order, with paths from the content folder.
-    A file without chapters raises.
+    A file that cannot be opened, or has no chapters, gives one row of errors and drops out of the others.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+    names = ["book", "title", "language", "author", "ord", "id", "href", "media_type", "linear", "properties", "html"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for name, data in zip(pdf["path"], pdf["content"]) for r in _chapters(name, data)]
-            yield pd.DataFrame(rows, columns=["book", "title", "language", "author", "ord", "id", "href", "media_type", "linear", "properties", "html"])
+            rows = []
+            for name, data in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows += [(*r, None) for r in _chapters(name, data)]
+                except (ValueError, KeyError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((_book_of(name), *[None] * 10, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*names, "error"])
 
-    rows = files.mapInPandas(parse, "book string, title string, language string, author string, ord bigint, id string, href string, media_type string, linear boolean, properties string, html string")
-    return rows.select("book", "title", "language", "author").distinct(), rows.drop("title", "language", "author")
+    rows = files.mapInPandas(parse, "book string, title string, language string, author string, ord bigint, id string, href string, media_type string, linear boolean, properties string, html string, error string")
+    fine = rows.where("error is null")
+    return fine.select("book", "title", "language", "author").distinct(), fine.drop("title", "language", "author", "error"), rows.where("error is not null").select("book", "error")
 
 
-def _chapters(path: str, data: bytes) -> Iterator[tuple]:
-    book = posixpath.basename(unquote(path)).removesuffix(".epub")
+def _book_of(path: str) -> str:
+    return posixpath.basename(unquote(path)).removesuffix(".epub")
+
+
+def _chapters(path: str, data: bytes) -> list[tuple]:
+    book, found = _book_of(path), []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
         opf_path = container.find(".//c:rootfile", _NS).get("full-path")
@@ -107,10 +120,11 @@ def _chapters(path: str, data: bytes) -> Iterator[tuple]:
             if item is None or item.get("media-type") not in _HTML:
                 continue
             href = posixpath.normpath(posixpath.join(root, unquote(item.get("href"))))
-            yield (book, say("title") or book, say("language"), say("creator"), n, item.get("id"), href, item.get("media-type"), ref.get("linear") != "no", item.get("properties"), z.read(href).decode("utf-8", "replace"))
+            found.append((book, say("title") or book, say("language"), say("creator"), n, item.get("id"), href, item.get("media-type"), ref.get("linear") != "no", item.get("properties"), z.read(href).decode("utf-8", "replace")))
             n += 1
-        if not n:
-            raise ValueError(f"no chapters in {path}")
+    if not found:
+        raise ValueError(f"no chapters in {path}")
+    return found
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +133,14 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(name.alias("book"), F.col("value").alias("content"))
 
 
-def write_days(days: DataFrame, path: str) -> None:
-    """Write days by folder; only the folders in days are replaced."""
+def write_days(days: DataFrame, path: str, unreadable: DataFrame | None = None) -> None:
+    """Write days by folder; only the folders in days are replaced.
+
+    unreadable: (folder) whose history could not be read, as read_sidecars reports them; days of such a folder are refused, since
+    writing them would replace a history that nobody has seen.
+    """
+    if unreadable is not None:
+        refused = [r.folder for r in days.select("folder").distinct().join(unreadable.select("folder"), "folder", "left_semi").limit(5).collect()]
+        if refused:
+            raise ValueError(f"the history of {', '.join(sorted(refused))} cannot be read and is not overwritten")
     days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)

@@ -278,16 +278,23 @@ def noise_floor_activity(frames: DataFrame, frames_back: int = 938, share: float
     """Probability of speech of frames (recording, ord, level in dB from -100 to 0) over a rolling noise floor.
 
     The floor is the smallest whole level with more than share of the last frames at or below it; missing history counts as -100.
+    Per level the frames at or below it are counted in the window, as a running sum that the window slides over, so a row holds 101
+    counts and never the history.
     """
-    w = Window.partitionBy("recording").orderBy("ord").rowsBetween(-(frames_back - 1), 0)
+    w = Window.partitionBy("recording").orderBy("ord")
     level = F.greatest(F.lit(-100.0), F.least(F.lit(0.0), F.col("level")))
-    rows = frames.withColumn("level", level).withColumn("bin", F.floor(F.col("level") + 0.5).cast("int") + 100)
-    rank = math.floor(frames_back * share) + 1
-    held = F.collect_list("bin").over(w)
-    padded = F.concat(F.array_repeat(F.lit(0), F.lit(frames_back) - F.size(held)), held)
-    floor = F.element_at(F.array_sort(padded), rank) - 100
-    threshold = F.least(F.greatest(floor + 12, F.lit(-55)), F.lit(-30))
-    return rows.select("recording", "ord", floor.alias("floor"), (1.0 / (1.0 + F.exp(-(F.col("level") - threshold) / 2.0))).alias("probability"))
+    rows = frames.select("recording", "ord", level.alias("level")).withColumn("bin", F.floor(F.col("level") + 0.5).cast("int") + 100).withColumn("n", F.row_number().over(w))
+    least = math.floor(frames_back * share) + 1
+    # running counts of each bin, taken at this row and at the last row that has left the window
+    counts = [F.sum((F.col("bin") == k).cast("int")).over(w).alias(f"c{k}") for k in range(101)]
+    counted = rows.select("recording", "ord", "level", "n", F.array(*counts).alias("counts"))
+    gone = F.coalesce(F.lag("counts", frames_back).over(w), F.array_repeat(F.lit(0).cast("bigint"), 101))
+    counted = counted.withColumn("inside", F.zip_with("counts", gone, lambda a, b: a - b))
+    missing = F.greatest(F.lit(frames_back) - F.col("n"), F.lit(0)).cast("bigint")  # they lie in bin 0
+    reach = F.aggregate("inside", F.struct(missing.alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("k")), lambda s, c: F.struct((s["sum"] + c).alias("sum"), F.when((s["at"] < 0) & (s["sum"] + c >= least), s["k"]).otherwise(s["at"]).alias("at"), (s["k"] + 1).alias("k")))
+    rows = counted.withColumn("floor", reach["at"] - 100)
+    threshold = F.least(F.greatest(F.col("floor") + 12, F.lit(-55)), F.lit(-30))
+    return rows.select("recording", "ord", "floor", (1.0 / (1.0 + F.exp(-(F.col("level") - threshold) / 2.0))).alias("probability"))
 
 
 def upsert_stream(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, interval: str = "15 seconds"):

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import zipfile
 from datetime import datetime, timedelta
@@ -149,7 +150,9 @@ def test_epub(spark, tmp_path):
         z.writestr("OEBPS/c.opf", '<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:language>ja</dc:language></metadata><manifest><item id="a" href="text/1.xhtml" media-type="application/xhtml+xml"/><item id="i" href="x.png" media-type="image/png"/><item id="b" href="text/2.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine><itemref idref="b" linear="no"/><itemref idref="i"/><itemref idref="a"/></spine></package>')
         z.writestr("OEBPS/text/1.xhtml", "<p>one</p>")
         z.writestr("OEBPS/text/2.xhtml", "<p>two</p>")
-    books, chapters = X.read_epubs(spark, str(tmp_path))
+    (tmp_path / "broken.epub").write_bytes(b"no archive")
+    books, chapters, errors = X.read_epubs(spark, str(tmp_path))
+    assert [r.book for r in errors.collect()] == ["broken"]
     assert [tuple(r) for r in books.collect()] == [("my book", "my book", "ja", None)]
     assert [(r.ord, r.href, r.linear, r.html) for r in chapters.orderBy("ord").collect()] == [(0, "OEBPS/text/2.xhtml", False, "<p>two</p>"), (1, "OEBPS/text/1.xhtml", True, "<p>one</p>")]
 
@@ -164,8 +167,39 @@ def test_directory_and_days(spark, tmp_path):
     X.write_days(days, f"{tmp_path}/t")
     X.write_days(spark.createDataFrame([("a", 9)], "folder string, v int"), f"{tmp_path}/t")
     assert {(r.folder, r.v) for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {("a", 9), ("b", 2)}
+    with pytest.raises(ValueError, match="a cannot be read|of a cannot"):
+        X.write_days(days, f"{tmp_path}/t", unreadable=spark.createDataFrame([("a",)], "folder string"))
+
+
+def test_match_and_book_info(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "match.json").write_text(json.dumps({"unmatched": 2, "matches": [{"id": "1", "startTime": 0.5, "endTime": 1, "text": "t", "chapterIndex": 0, "start": 3, "length": 4, "more": 0}]}))
+    (tmp_path / "x" / "bookinfo.json").write_text(json.dumps({"characterCount": 9, "chapterInfo": {"a.xhtml": {"spineIndex": 0, "currentTotal": 0, "chapterCount": 9, "fragmentOffsets": {"f": 1}}}, "images": ["i.png"]}))
+    match = X.read_sidecars(spark, "match", f"{tmp_path}/*/match.json")[0].first()
+    assert (match.folder, match.unmatched, match.source, match.matches[0].start) == ("x", 2, None, 3)
+    info = X.read_sidecars(spark, "bookinfo", f"{tmp_path}/*/bookinfo.json")[0].first()
+    assert info.chapterInfo["a.xhtml"].fragmentOffsets == {"f": 1} and info.images == ["i.png"] and info.readerFactsVersion is None
+
+
+def test_publication(spark, tmp_path, no_idle_batches):
+    """The first batch at once, and later only the last state of what changed."""
+    for k in range(3):
+        spark.createDataFrame([(k % 2, k)], "key int, v int").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("key int, v int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = []
+    R.publish(stream.groupBy("key").agg(F.sum("v").alias("v")), lambda df, n: got.append(sorted(map(tuple, df.collect()))), f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert got[0] and sum(map(len, got)) == 3 and {k: v for batch in got for k, v in batch} == {0: 2, 1: 1}
 
 
 def test_transcripts(spark):
     df = spark.createDataFrame([(9.0, 10.0, None), (9.0, 10.0, "x"), (10.0, 10.0, "x"), (0.0, 0.0, None)], "through double, duration double, source string")
     assert [r.complete for r in X.transcript_complete(df).collect()] == [True, False, True, False]
+
+
+def test_noise_floor_slides(spark):
+    rnd = random.Random(1)
+    levels = [(1, k, rnd.uniform(-120, 10)) for k in range(60)]
+    got = {r.ord: r.floor for r in R.noise_floor_activity(spark.createDataFrame(levels, "recording int, ord int, level double"), frames_back=20).collect()}
+    for k in range(60):
+        bins = sorted([0] * max(0, 19 - k) + [math.floor(max(-100.0, min(0.0, x)) + 0.5) + 100 for _, _, x in levels[max(0, k - 19) : k + 1]])
+        assert got[k] == bins[2] - 100
