@@ -9,8 +9,8 @@ An anchor's *context* is the bytes before and after it that strings with this an
 2. sort: those contexts meet by anchor.  Multikey quicksort orders the suffixes to a shallow depth; blind tries order the groups
    that are still equal there and give the lengths of common prefixes between neighbours, and the same for the reversed bytes
    before the anchor.  Both together tell, for each context, the first and last string that another context shares.
-   An anchor with over MANY contexts (a common passage in very many surroundings) is not gathered in one task: its strings are
-   compared as hashes, combined per block, over all tasks.
+   An anchor with over MANY contexts (a common passage in very many surroundings, some 3 MB of them) is not gathered in one task:
+   its strings are compared as hashes, combined per block, over all tasks.
 3. remove: each document drops the bytes under repeated strings.
 """
 
@@ -27,7 +27,8 @@ from readlake.llm._shared import BYTE_VALUES, Ranges, Scratch, bits, bucket_coun
 
 BLOCK_BYTES = 1 << 20
 GRAM = 64
-MANY = 512
+SHALLOW = 16  # bytes that multikey quicksort looks at
+MANY = 4096
 FULL, SEND, HASH = 1, 2, 4  # what a reply says of a context
 
 
@@ -250,42 +251,85 @@ def blind_trie(items: list[bytes]) -> tuple[list[int], list[int]]:
     return order, lcp
 
 
-def shared_lengths(items: list[bytes]) -> np.ndarray:
-    """Lengths of common prefixes of all pairs of at most MANY items, from their sorted order; equal items share their length."""
+def ordered(items: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """Indexes of items in order, and the length of the common prefix of each with the one before it (0 for the first)."""
     places: dict[bytes, list[int]] = {}
     for i, x in enumerate(items):
         places.setdefault(x, []).append(i)
     distinct = list(places)
     order: list[int] = []
     lcp: list[int] = []
-    for group, deep in multikey_quicksort(distinct, 0, 16):
+    last = None
+    for group, deep in multikey_quicksort(distinct, 0, SHALLOW):
         inner, shared = blind_trie([distinct[i] for i in group]) if len(group) > 1 else ([0], [0])
-        shared[0] = common(distinct[order[-1]], distinct[group[inner[0]]]) if order else 0
-        order += [group[i] for i in inner]
-        lcp += shared
-    m = len(order)
-    table = np.zeros((m, m), np.int32)
-    steps = np.array(lcp, np.int32)
-    for i in range(m):
-        table[i, i] = len(distinct[order[i]])
-        table[i, i + 1 :] = np.minimum.accumulate(steps[i + 1 :]) if i + 1 < m else 0
-    table = np.maximum(table, table.T)
-    rank = np.zeros(len(items), np.int64)
-    for r, i in enumerate(order):
-        rank[places[distinct[i]]] = r
-    return table[np.ix_(rank, rank)]
+        for k, length in zip(inner, shared):
+            x = distinct[group[k]]
+            own = places[x]
+            order += own
+            lcp += [length if k != inner[0] else common(last, x) if last is not None else 0] + [len(x)] * (len(own) - 1)
+            last = x
+    return order, np.array(lcp, np.int64)
 
 
 def shared_strings(contexts: list[tuple[int, bytes]], width: int) -> list[tuple[int, int]]:
-    """For each (bytes before the anchor, context): most and least bytes before the anchor in a string that another context has; (-1, -1) if none."""
-    if len(contexts) < 2:
-        return [(-1, -1)] * len(contexts)
-    right = np.minimum(shared_lengths([c[n:] for n, c in contexts]), width)
-    left = shared_lengths([c[:n][::-1] for n, c in contexts])
-    ok = left + right >= width
-    np.fill_diagonal(ok, False)
-    most, least = np.where(ok, left, -1).max(axis=1), width - np.where(ok, right, -1).max(axis=1)
-    return [(m, n) if m >= 0 else (-1, -1) for m, n in zip(most.tolist(), least.tolist())]
+    """For each (bytes before the anchor, context): most and least bytes before the anchor in a string that another context has; (-1, -1) if none.
+
+    Contexts stand in the order of the bytes from the anchor on.  Neighbours are joined from the longest common prefix down, which
+    grows sets whose members share that prefix at least; each set keeps its members in the order of the reversed bytes before the
+    anchor.  When two sets join, only members that become neighbours there can share more than before, so each is compared with two
+    others at a join; the members of the smaller set are put into the larger one.
+    """
+    n = len(contexts)
+    if n < 2:
+        return [(-1, -1)] * n
+    right, right_lcp = ordered([c[k:] for k, c in contexts])
+    left, left_lcp = ordered([c[:k][::-1] for k, c in contexts])
+    if n == 2:
+        depth, shared = min(int(right_lcp[1]), width), int(left_lcp[1])
+        return [(shared, width - depth) if shared + depth >= width else (-1, -1)] * 2
+    least_of = [left_lcp]  # least_of[k][i]: least of 2**k values from i on
+    while 2 ** len(least_of) <= n:
+        step = 2 ** (len(least_of) - 1)
+        least_of.append(np.minimum(least_of[-1][:-step], least_of[-1][step:]))
+    place = np.empty(n, np.int64)
+    place[left] = np.arange(n)
+    most, least = np.full(n, -1, np.int64), np.full(n, width + 1, np.int64)
+
+    def meet(a: np.ndarray, b: np.ndarray, depth: int) -> None:
+        """Members at places a < b share depth bytes from the anchor on."""
+        size = (b - a).astype(np.int64)
+        shared = np.empty(len(a), np.int64)
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        for k in np.unique(level).tolist():
+            at = level == k
+            shared[at] = np.minimum(least_of[k][a[at] + 1], least_of[k][b[at] + 1 - 2**k])
+        ok = shared + depth >= width
+        for x in (a[ok], b[ok]):
+            np.maximum.at(most, x, shared[ok])
+            np.minimum.at(least, x, width - depth)
+
+    owner = list(range(n))
+
+    def find(k: int) -> int:
+        while owner[k] != k:
+            owner[k] = owner[owner[k]]
+            k = owner[k]
+        return k
+
+    sets = [place[i : i + 1] for i in right]
+    for k in (np.argsort(-right_lcp[1:], kind="stable") + 1).tolist():
+        a, b = find(k - 1), find(k)
+        if len(sets[a]) < len(sets[b]):
+            a, b = b, a
+        at = np.searchsorted(sets[a], sets[b])
+        whole = np.insert(sets[a], at, sets[b])
+        at = at + np.arange(len(at))
+        depth = min(int(right_lcp[k]), width)
+        before, after = at[at > 0], at[at + 1 < len(whole)]
+        meet(whole[before - 1], whole[before], depth)
+        meet(whole[after], whole[after + 1], depth)
+        owner[b], sets[a], sets[b] = a, whole, whole[:0]
+    return [(int(most[p]), int(least[p])) if most[p] >= 0 else (-1, -1) for p in place]
 
 
 def _sorted(width: int):

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from readlake.llm import suffixes
-from readlake.llm.suffixes import blind_trie, multikey_quicksort, repeated_bytes
+from readlake.llm.suffixes import blind_trie, multikey_quicksort, ordered, repeated_bytes, shared_strings
 
 
 def brute(rows, width):
@@ -77,3 +77,34 @@ def test_sorting():
     groups = multikey_quicksort(items, 0, 16)
     flat = [i for g, _ in groups for i in sorted(g, key=items.__getitem__)]
     assert [items[i] for i in flat] == sorted(items)
+
+
+def test_shared_strings_against_all_pairs():
+    rnd = random.Random(7)
+    width = 12
+    for n in (2, 3, 5, 40, 150):
+        contexts = set()
+        while len(contexts) < n:
+            k = rnd.randrange(0, width - 3)
+            contexts.add((k, bytes(rnd.choice(b"ab") for _ in range(k)) + b"xyzz" + bytes(rnd.choice(b"aab") for _ in range(rnd.randrange(width - 3)))))
+        contexts = list(contexts)
+        prefix = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = []
+        for i, (k, c) in enumerate(contexts):
+            found = []
+            for j, (m, d) in enumerate(contexts):
+                left, right = prefix(c[:k][::-1], d[:m][::-1]), min(prefix(c[k:], d[m:]), width)
+                if i != j and left + right >= width:
+                    found.append((left, width - right))
+            want.append((max(x for x, _ in found), min(y for _, y in found)) if found else (-1, -1))
+        assert shared_strings(contexts, width) == want
+
+
+def test_order_with_repeats():
+    rnd = random.Random(8)
+    items = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 30))) for _ in range(200)] + [b"", b"a" * 40, b"a" * 41]
+    order, lcp = ordered(items)
+    assert [items[i] for i in order] == sorted(items) and sorted(order) == list(range(len(items)))
+    for k in range(1, len(order)):
+        a, b = items[order[k - 1]], items[order[k]]
+        assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
