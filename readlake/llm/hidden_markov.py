@@ -1,11 +1,13 @@
 """Language model scoring with a hidden Markov model over words.
 
-Every word of the training texts has its own emission probability in each state.  It has two parts: a *symbol* (the word itself if
-it has at least a 1/FREQUENT part of the training tokens, the end of a text, or one of CLASSES classes of all other words by their
-last bytes), and inside a class the word, P(word | class, state) = (E + SMOOTH * b) / (sum of E over the class + SMOOTH) with the
-expected count E of the word in the state and b = (c + 1) / (the class's sum of c + 1, and one more for words that training did not
-meet).  So probabilities of all texts sum to one.  Symbols are as large as a model that every task holds may be; the table of words
-grows with the corpus and is only ever dealt out by hash ranges.
+Every word with LEAST occurrences or more in the training texts has its own emission probability in each state, so the vocabulary
+grows with the corpus.  It has two parts: a *symbol* and the word inside the symbol.  Symbols are the words with at least a
+1/FREQUENT part of the training tokens, the end of a text, CLASSES classes of the other words with LEAST occurrences by their last
+bytes, and CLASSES more of all rarer words.  Inside a class of the first kind P(word | class, state) = (E + SMOOTH * b) / (sum of E
+over the class + SMOOTH) with the expected count E of the word in the state and its share b of the class's tokens; inside one of
+the second kind a word with count c has (c + 1) / (the class's sum of c + 1, and one more for words that training did not meet).
+So probabilities of all texts sum to one.  Symbols are as large as a model that every task holds may be; the table of words is
+only ever dealt out by hash ranges.
 
 1. counts: blocks send their distinct words with training counts and get the counts over the corpus back; this gives the base
    score, and each text becomes a row of symbols.
@@ -40,6 +42,7 @@ LENGTH = 128
 CHUNKS = 16
 FAN_IN = 64  # partial sums that one task adds up
 SMOOTH = 500.0
+LEAST = 4
 SEED = 5
 PRIOR = 2000.0  # tokens of the overall distribution that each state's counts get
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -110,7 +113,10 @@ def _counted(threshold: float):
         bucket = table.column("bucket")[0].as_py()
         rows = [(0, b, bucket, squeeze(c.astype(np.int64).tobytes()), None, None) for b, c in zip(table.column("block").to_pylist(), np.split(count[of], np.cumsum([len(p) for p in parts])[:-1]))]
         rows.append((1, None, bucket, count[often].tobytes(), keys[often].tobytes(), None))
-        rows.append((2, None, bucket, np.bincount(classes[first][rare], count[rare] + 1, CLASSES).astype(np.int64).tobytes(), None, int((count > 0).sum())))
+        own = rare & (count >= LEAST)
+        low = rare & ~own
+        sums = np.concatenate([np.bincount(classes[first][own], count[own], CLASSES), np.bincount(classes[first][low], count[low] + 1, CLASSES)])
+        rows.append((2, None, bucket, sums.astype(np.int64).tobytes(), None, int((count > 0).sum())))
         if (keys == END).any():
             rows.append((3, None, bucket, None, None, int(count[keys == END][0])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
@@ -120,14 +126,14 @@ def _counted(threshold: float):
 
 class Vocabulary(NamedTuple):
     keys: np.ndarray  # sorted hashes of frequent words
-    class_sums: np.ndarray
+    class_sums: np.ndarray  # tokens of the words of each class, then count + 1 of those of each class of rarer words
     train_tokens: int
     known: int
     overall: np.ndarray  # smoothed probability of each symbol
 
 
-_TEXTS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("word_counts", pa.binary()), ("word_classes", pa.binary()), ("words", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("symbols", pa.binary()), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64()))])
-_TEXTS_DDL = "block bigint, keys binary, word_counts binary, word_classes binary, words binary, ids array<bigint>, sizes array<bigint>, symbols binary, known array<bigint>, base array<double>"
+_TEXTS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("bounds", pa.list_(pa.int32())), ("word_counts", pa.binary()), ("word_classes", pa.binary()), ("words", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("symbols", pa.binary()), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("rest", pa.list_(pa.float64()))])
+_TEXTS_DDL = "block bigint, keys binary, bounds array<int>, word_counts binary, word_classes binary, words binary, ids array<bigint>, sizes array<bigint>, symbols binary, known array<bigint>, base array<double>, rest array<double>"
 
 
 def _pack_words(word: np.ndarray) -> bytes:
@@ -149,17 +155,22 @@ def _symbol_rows(v: Vocabulary, buckets: int):
             keys, of, classes = t.distinct()
             bucket, _ = cut(keys, buckets)
             count = np.frombuffer(b"".join(unpack(replies[b]) for b in bucket.tolist()), np.int64)
-            symbol = len(v.keys) + 1 + classes.astype(np.int64)
-            own = keys != END  # words of classes
-            symbol[~own] = len(v.keys)
+            low = count < LEAST
+            symbol = len(v.keys) + 1 + classes.astype(np.int64) + CLASSES * low
+            rest = np.where(low, np.log10((count + 1) / (v.class_sums[CLASSES + classes.astype(np.int64)] + 1)), 0.0)
+            own = ~low & (keys != END)  # words of classes that each state tells apart
+            symbol[keys == END], rest[keys == END] = len(v.keys), 0.0
             if len(v.keys):
                 at = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
                 often = v.keys[at] == keys
-                symbol[often], own[often] = at[often], False
+                symbol[often], own[often], rest[often] = at[often], False, 0.0
             word = (np.cumsum(own) - 1)[of][own[of]]  # of each token of a class: its word among those of the block
             base = np.log10((count + 1) / (v.train_tokens + v.known + 1))
             starts = t.ends - t.sizes
-            row = (block, keys[own].tobytes(), squeeze(count[own].tobytes()), classes[own].tobytes(), _pack_words(word), ids, t.sizes, squeeze(symbol[of].astype(np.uint16).tobytes()), np.add.reduceat((count > 0)[of].astype(np.int64), starts), np.add.reduceat(base[of], starts))
+            mine, cuts = cut(keys[own], buckets)
+            bounds = np.zeros(buckets + 1, np.int32)
+            bounds[mine + 1] = np.diff(cuts)
+            row = (block, keys[own].tobytes(), np.cumsum(bounds), squeeze(count[own].tobytes()), classes[own].tobytes(), _pack_words(word), ids, t.sizes, squeeze(symbol[of].astype(np.uint16).tobytes()), np.add.reduceat((count > 0)[of].astype(np.int64), starts), np.add.reduceat(base[of], starts), np.add.reduceat(rest[of], starts))
             for name, value in zip(_TEXTS.names, row):
                 out[name].append(value)
         return pa.Table.from_pydict(out, _TEXTS)
@@ -272,7 +283,7 @@ def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int
     """Expected counts of a partition's training texts, in CHUNKS pieces (kind 0).
 
     With buckets also those of the words of each block that are no symbols, by hash range (kind 1, chunk is the range); they are rounded
-    to half precision, a two thousandth, before they are summed.  Symbols from first_class on are classes.
+    to half precision, a two thousandth, before they are summed.  CLASSES symbols from first_class on have such words.
     """
 
     def run(batches):
@@ -300,8 +311,8 @@ def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int
                 initial, step, emit, score = initial + a, step + b, emit + c, score + s
                 if buckets:
                     keys, word = np.frombuffer(keys, np.uint64), _unpack_words(words)
-                    inside = symbols >= first_class
-                    word = word[tokens[all_symbols >= first_class]]
+                    inside = (symbols >= first_class) & (symbols < first_class + CLASSES)
+                    word = word[tokens[(all_symbols >= first_class) & (all_symbols < first_class + CLASSES)]]
                     sums = np.stack([np.bincount(word, lattice.gamma[inside, z], len(keys)) for z in range(states)], axis=1).astype(np.float16)
                     of, bounds = cut(keys, buckets)
                     for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -353,32 +364,30 @@ def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int,
     else:
         step = step + 0.1
         step = step / step.sum(axis=1, keepdims=True)
-    in_class = emit[len(v.keys) + 1 :]
+    in_class = emit[len(v.keys) + 1 : len(v.keys) + 1 + CLASSES]
     emit = emit + PRIOR * v.overall[:, None]
     return Model((initial + 1) / (initial + 1).sum(), step, emit / emit.sum(axis=0), in_class), float(score), words
 
 
 def word_factors(model: Model, v: Vocabulary, classes: np.ndarray, counts: np.ndarray, sums: np.ndarray, smooth: float) -> np.ndarray:
     """P(word | class, state) of words with their training counts and expected counts in each state."""
-    b = (counts + 1) / (v.class_sums[classes] + 1)
+    b = counts / v.class_sums[classes]
     return (sums + smooth * b[:, None]) / (model.in_class[classes] + smooth)
 
 
-def _score_rows(model: Model, v: Vocabulary, buckets: int, smooth: float):
+def _score_rows(model: Model, v: Vocabulary, smooth: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("word_sums").to_pylist()))
-        for _, keys, counts, classes, words, ids, sizes, data, known, base in zip(*(left.column(c).to_pylist() for c in _TEXTS.names)):
-            n, keys, symbols = np.array(sizes), np.frombuffer(keys, np.uint64), np.frombuffer(unpack(data), np.uint16).astype(np.int64)
-            sums = np.zeros((len(keys), len(model.initial)))
-            of, bounds = cut(keys, buckets)
-            for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                if bucket in replies:
-                    sums[i:j] = np.frombuffer(unpack(replies[bucket]), np.float32).reshape(j - i, -1)
+        for bounds, counts, classes, words, ids, sizes, data, known, base, rest in zip(*(left.column(c).to_pylist() for c in _TEXTS.names if c not in ("block", "keys"))):
+            n, symbols = np.array(sizes), np.frombuffer(unpack(data), np.uint16).astype(np.int64)
+            sums = np.zeros((bounds[-1], len(model.initial)))
+            for bucket, reply in replies.items():
+                sums[bounds[bucket] : bounds[bucket + 1]] = np.frombuffer(unpack(reply), np.float32).reshape(-1, len(model.initial))
             factors = word_factors(model, v, np.frombuffer(classes, np.uint8), np.frombuffer(unpack(counts), np.int64), sums, smooth)
             inside = np.ones((len(symbols), len(model.initial)))
-            inside[symbols > len(v.keys)] = factors[_unpack_words(words)]
-            score = Lattice(model, symbols, n, inside).forward()
+            inside[(symbols > len(v.keys)) & (symbols <= len(v.keys) + CLASSES)] = factors[_unpack_words(words)]
+            score = Lattice(model, symbols, n, inside).forward() + np.array(rest)
             found.append(pa.table([pa.array(ids, pa.int64()), pa.array(held_out(ids_of(ids))), pa.array(n), pa.array(known, pa.int64()), pa.array(np.full(len(n), v.train_tokens, np.int64)), pa.array(base, pa.float64()), pa.array(score)], _SCORES))
         return pa.concat_tables(found) if found else _SCORES.empty_table()
 
@@ -405,7 +414,7 @@ def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: str
     keys = np.frombuffer(b"".join(r.keys for r in often), np.uint64)
     counts = np.frombuffer(b"".join(r.counts for r in often), np.int64)[np.argsort(keys)]
     keys = np.sort(keys)
-    class_sums, known = np.zeros(CLASSES, np.int64), 0
+    class_sums, known = np.zeros(2 * CLASSES, np.int64), 0
     for r in counted.where("kind = 2").select("counts", "known").toLocalIterator():  # CLASSES numbers for each bucket
         class_sums, known = class_sums + np.frombuffer(r.counts, np.int64), known + r.known
     texts_in_training = sum(r.known for r in counted.where("kind = 3").select("known").collect())  # the hash range of the end has it
@@ -431,4 +440,4 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS,
     """
     texts, words, model, v = fit(docs, states, max(rounds, 1), id_col, text_col)
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_score_rows(model, v, bucket_count(docs.sparkSession), smooth), out)
+    return texts.drop("keys").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_score_rows(model, v, smooth), out)
