@@ -67,23 +67,17 @@ def j11c_audio_chapter_at(spark, sf_dir):
     return A.audio_chapter_at(p, c)
 
 
-def sentences(spark, sf_dir) -> DataFrame:
-    """Sentences of benchmark passages as cues of every book: their passages occur in documents."""
-    b = table(spark, sf_dir, "benchmark")
-    rows = b.select("item_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text"))
-    return rows.select((F.col("item_id") * 100 + F.col("k")).alias("ord"), "item_id", "text")
-
-
 def texts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("book"), F.col("doc_id").alias("chapter"), "text")
 
 
 @query()
 def j24_align_cues(spark, sf_dir):
+    """Every sentence of a book's documents is a cue, those of every fifth spoken without its first word."""
     d = texts(spark, sf_dir)
-    books = d.select("book").distinct()
-    cues = sentences(spark, sf_dir).withColumn("book", F.explode(F.array(*map(F.lit, ("src0-en", "src1-en", "src2-en"))))).join(books, "book", "left_semi")
-    return A.align_cues(cues.select("book", "ord", "text"), d)
+    cues = d.where("text is not null").select("book", "chapter", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text"))
+    said = F.when(F.col("k") % 5 == 4, F.regexp_replace("text", r"^\S+\s+", "")).otherwise(F.col("text"))
+    return A.align_cues(cues.select("book", (F.col("chapter") * 100000 + F.col("k")).alias("ord"), said.alias("text")), d.where("text is not null"))
 
 
 def words(spark, sf_dir) -> DataFrame:
@@ -101,6 +95,31 @@ def j25_align_tokens(spark, sf_dir):
     return A.align_tokens(tokens, chapters)
 
 
+def _misheard(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Turns as spoken with some words cut short, and as written."""
+    w = words(spark, sf_dir)
+    heard = F.when(F.col("k") % 11 == 5, F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    at = (F.col("segment") * 1000 + F.col("k")).alias("ord")
+    tokens = w.where("k % 23 != 7").select("book", at, heard.alias("text"), (at * 0.5).alias("start"), (at * 0.5 + 0.5).alias("end"))
+    return tokens, table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("chapter"), "text")
+
+
+@query()
+def j25_repair_gaps(spark, sf_dir):
+    tokens, chapters = _misheard(spark, sf_dir)
+    return A.repair_gaps(A.align_tokens(tokens, chapters), tokens, chapters)
+
+
+@query()
+def r4_realign(spark, sf_dir):
+    """The last turn of each conversation comes after the others are aligned."""
+    tokens, chapters = _misheard(spark, sf_dir)
+    late = F.max("ord").over(Window.partitionBy("book"))
+    marked = tokens.withColumn("late", F.floor(F.col("ord") / 1000) == F.floor(late / 1000))
+    history, batch = marked.where("not late").drop("late"), marked.where("late").drop("late")
+    return A.realign(batch, history, chapters, A.align_tokens(history, chapters))
+
+
 @query("""WITH w AS (SELECT conv_id AS book, turn AS segment, unnest(range(len(xs))) AS k, unnest(xs) AS text FROM (SELECT *, regexp_split_to_array(text, '\\s+') AS xs FROM conversations)),
     r AS (SELECT book, segment, k AS ord, text, (k // 2) * 0.5 AS o, segment * 1000.0 AS a, segment * 1000.0 + 60 AS b FROM w WHERE text != ''),
     n AS (SELECT book, segment, o, lead(o) OVER (PARTITION BY book, segment ORDER BY o) AS next FROM (SELECT DISTINCT book, segment, o FROM r))
