@@ -1,0 +1,25 @@
+"""The operators that SQL can express give the rows of their SQL in DuckDB, and the others run, over whole tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from readlake.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    if name not in ORACLES:
+        assert df.count() > 0
+        return
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    result = con.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
