@@ -229,5 +229,10 @@ def a14_match_coverage(spark, sf_dir):
 
 @query("SELECT " + HOST + " AS book, href AS path, row_number() OVER (PARTITION BY " + HOST + " ORDER BY min(page_id), href) - 1 AS place FROM (SELECT url, page_id, 'img/' || (page_id % 20) || '.png' AS href FROM pages) GROUP BY 1, 2")
 def a12_book_images(spark, sf_dir):
-    c = chapters(spark, sf_dir).withColumn("html", F.concat(F.lit('<img class="x" src="img/'), (F.col("ord") % 20).cast("string"), F.lit('.png?v=1"><img class="gaiji" src="g.png"><img src="//cdn/x.png">')))
+    c = chapters(spark, sf_dir).withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit('<img class="x" src="img/'), (F.col("ord") % 20).cast("string"), F.lit('.png?v=1"><img class="gaiji" src="g.png"><img src="//cdn/x.png">')))
     return B.book_images(c)
+
+
+@query(CTE + f"""SELECT ord AS page_id, translate(lower(regexp_replace(regexp_replace(visible, '[%％]', 'パーセント', 'g'), '[^{_COUNTED}]', '', 'g')), 'パセント', 'ぱせんと') AS spoken FROM vis""")
+def t4_speech_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.speech_text(F.col("html")).alias("spoken"))

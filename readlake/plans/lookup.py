@@ -408,8 +408,3 @@ def t23_image_type(spark, sf_dir):
 def t16_storage_name(spark, sf_dir):
     title = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_brand", F.lit(": "), "p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", T.storage_name(title).alias("name"))
-
-
-@query()
-def t4_speech_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.speech_text(F.col("html")).alias("spoken"))

@@ -94,6 +94,19 @@ def a5_period_overview_month(spark, sf_dir):
     return _overview(spark, sf_dir, "month")
 
 
+@query(_overview_sql("year", "2024-01-01", "2024-12-31", "2023-01-01", "1", "12"))
+def a5_period_overview_year(spark, sf_dir):
+    return _overview(spark, sf_dir, "year")
+
+
+_FIRST = "(SELECT min(date) FROM daily d WHERE d.library = c.library AND (d.characters > 0 OR d.seconds > 0))"
+
+
+@query(_overview_sql("all", "1900-01-01", TODAY, "1900-01-01", f"greatest((2024 - year({_FIRST})) * 12 + 1 - month({_FIRST}) + 1, 1)", "1"))
+def a5_period_overview_all(spark, sf_dir):
+    return _overview(spark, sf_dir, "all")
+
+
 _STREAKS = f"""runs AS (SELECT library, min(date) AS start, max(date) AS "end", count(*) AS days FROM (SELECT library, date, date - CAST(row_number() OVER (PARTITION BY library ORDER BY date) AS INTEGER) AS run
     FROM daily WHERE characters >= {TARGET} AND date <= DATE '{TODAY}') GROUP BY library, run)"""
 
