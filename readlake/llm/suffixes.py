@@ -123,7 +123,8 @@ def _judge(table: pa.Table, most: int) -> pa.Table:
     open_ = (contexts > 1) & (np.bincount(group_of, ~full) > 0)
     state = np.where(full, FULL, 0) + np.where(open_[group_of], np.where(contexts[group_of] > most, HASH, SEND), 0)
     out = np.zeros(len(key), np.uint8)
-    out[order] = state[entry]
+    # of a context that several blocks have only one block sends it: the others need no answer, for it is repeated
+    out[order] = np.where(new | ~full[entry], state[entry], FULL)
     rows = [(b, kb, squeeze(f.tobytes())) for b, kb, f in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(out, np.cumsum(sizes)[:-1])) if f.any()]
     cols = list(zip(*rows)) or [[], [], []]
     return pa.table({"block": pa.array(cols[0], pa.int64()), "kind": pa.array([0] * len(rows), pa.int32()), "bucket": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from readlake.llm import suffixes
 from readlake.llm.suffixes import blind_trie, multikey_quicksort, ordered, repeated_bytes, shared_strings
 
@@ -61,6 +63,20 @@ def test_common_anchors_are_hashed(spark, monkeypatch):
     assert got(spark, rows, 100, many=2) == brute(rows, 100)
 
 
+@pytest.mark.parametrize("many", [3, 4096])
+def test_a_common_passage_in_many_surroundings(spark, monkeypatch, many):
+    """One passage in texts of many blocks: whole, at the start, at the end, and in copies of such texts."""
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1500)
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, rows = text(260), []
+    for i in range(60):
+        t = {0: passage + text(rnd.randrange(80)), 1: text(rnd.randrange(80)) + passage, 2: text(50) + passage[rnd.randrange(60) :] + text(9), 3: passage[: 260 - rnd.randrange(90)]}[i % 4]
+        rows.append((i, t))
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)] + [(200, rows[0][1]), (201, rows[0][1])]
+    assert got(spark, rows, 100, many=many) == brute(rows, 100)
+
+
 def test_empty(spark):
     assert repeated_bytes(spark.createDataFrame([], "doc_id bigint, text string, n_bytes int")).collect() == []
 
