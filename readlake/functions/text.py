@@ -215,3 +215,13 @@ def cloze(sentence: Column, term: Column, offset: Column) -> tuple[Column, Colum
     at = F.when(there, offset).otherwise(F.instr(sentence, term) - 1)
     found = at >= 0
     return F.when(found, F.substring(sentence, F.lit(1), at)).otherwise(sentence), F.when(found, term).otherwise(""), F.when(found, F.substring(sentence, at + F.length(term) + 1, F.length(sentence))).otherwise("")
+
+
+def render_tags(template: str, values: dict[str, Column]) -> Column:
+    """A template of tags: each of its {handlebars} becomes one tag, with the white space inside it as _."""
+    return render_template(template, {k: F.regexp_replace(F.trim(v.cast("string")), r"\s+", "_") for k, v in values.items()})
+
+
+def without_headers(glossary: Column) -> Column:
+    """Glossary HTML without the dictionary's name in italics at the beginning of its items."""
+    return F.regexp_replace(glossary, r'(<li data-dictionary="[^"]*">)<i>[^<]*</i> ', "$1")

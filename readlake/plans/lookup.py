@@ -252,6 +252,14 @@ def t19_render_template(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.render_template("Word: {expression} ({dictionary}) {unknown}", {"expression": term, "dictionary": F.col("p_brand")}).alias("rendered"), prefix.alias("prefix"), body.alias("body"), suffix.alias("suffix"))
 
 
+@query("""SELECT p_partkey, 'readlake ' || replace(p_name, ' ', '_') || CASE WHEN p_size > 25 THEN '  x' || p_brand ELSE '  x' END AS tags, '<ol><li data-dictionary="' || p_brand || '">one ' || p_name || '</li><li data-dictionary="' || p_brand || '">two</li></ol>' AS brief FROM part""")
+def t19_tags_and_headers(spark, sf_dir):
+    item = lambda text: F.concat(F.lit('<li data-dictionary="'), "p_brand", F.lit('"><i>('), "p_brand", F.lit(")</i> "), text, F.lit("</li>"))
+    glossary = F.concat(F.lit("<ol>"), item(F.concat(F.lit("one "), "p_name")), item(F.lit("two")), F.lit("</ol>"))
+    tags = T.render_tags("readlake {document-title} {missing} x{dictionary}", {"document-title": F.concat(F.lit(" "), "p_name"), "dictionary": F.when(F.col("p_size") > 25, F.col("p_brand"))})
+    return table(spark, sf_dir, "part").select("p_partkey", tags.alias("tags"), T.without_headers(glossary).alias("brief"))
+
+
 # sync ---------------------------------------------------------------------------------------------------------------------------
 
 
