@@ -40,6 +40,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         edges = _star(small, scratch, f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}"), scratch.drop(f"{name}-{k}-large")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == before:
             roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

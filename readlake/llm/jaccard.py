@@ -308,6 +308,8 @@ def jaccard_classes(docs: DataFrame, least: int = 80, words: int = 5, id_col: st
     found = scratch.table(found, "found")
     classed = found.where(F.col("class").isNotNull())
     least_id = scratch.table(classed.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")), "classes")
+    for name in ("prefixes", "sets", "tokens", "near", "flips", "weighed", "hubs", "elements", "chosen", "certain", "roots-last", *(f"{x}{k}" for k in range(STAR_ROUNDS + 1) for x in ("open", "links"))):
+        scratch.drop(name)  # the result reads found and classes only
     many = attach(classed, least_id, "class", "members", found.count())
     alone = found.where(F.col("class").isNull()).withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id"]
