@@ -156,7 +156,7 @@ def w6_sentence_audio_range(spark, sf_dir):
     return A.sentence_audio_range(requests, cues, 0.25)
 
 
-@query("""WITH e AS (SELECT user_id AS reader, event_id % 2 AS book, event_id, ts, CASE event_type WHEN 'error' THEN 'pause' WHEN 'signup' THEN 'start' ELSE 'update' END AS event, CAST(floor(value * 10) AS BIGINT) AS position FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2, ts ORDER BY event_id) = 1),
+@query("""WITH e AS (SELECT user_id AS reader, event_id % 2 AS book, event_id, ts, CASE event_type WHEN 'error' THEN 'pause' WHEN 'signup' THEN 'start' ELSE 'update' END AS event, CAST(floor(value * 10) AS BIGINT) AS position FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2, epoch_us(ts) // 1000 ORDER BY ts, event_id) = 1),
     s AS (SELECT *, coalesce(last_value(CASE WHEN event != 'update' THEN event END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'start', false) AND event != 'start' AS counted, lag(ts) OVER w AS lt, lag(position) OVER w AS lp FROM e WINDOW w AS (PARTITION BY reader, book ORDER BY ts, event_id)),
     d AS (SELECT *, CASE WHEN counted THEN epoch_us(ts) // 1000 - epoch_us(lt) // 1000 ELSE 0 END AS ms, CASE WHEN counted THEN position - lp ELSE 0 END AS diff FROM s),
     p AS (SELECT *, sum(diff) OVER (PARTITION BY reader, book ORDER BY ts, event_id) AS p FROM d),

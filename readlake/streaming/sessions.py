@@ -24,12 +24,12 @@ DAY_MS = 24 * 3600 * 1000
 def track_reading_batch(updates: DataFrame, keys: tuple[str, ...] = ("reader", "book")) -> DataFrame:
     """Tracked time and characters of each (key, day) from updates (ts, event start | update | pause, position), without a UDF.
 
-    Time runs while tracking: from a start to the next pause.  An update at the same moment as the one before is ignored.  A backward
+    Time runs while tracking: from a start to the next pause.  An update in the same millisecond as the one before is ignored.  A backward
     jump takes characters away but never more than the session has, so the session is a sum reflected at zero.  An interval over
     midnight counts for the day on which it ends.
     """
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    first = updates.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "ts").orderBy("event_id"))).where("n = 1")
+    first = updates.withColumn("n", F.row_number().over(Window.partitionBy(*keys, F.expr("unix_millis(ts)")).orderBy("ts", "event_id"))).where("n = 1")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = first.withColumn("switch", F.last(F.when(F.col("event") != "update", F.col("event")), ignorenulls=True).over(before)).withColumn("tracking", F.coalesce(F.col("switch") == "start", F.lit(False)))
     rows = rows.withColumn("last_ts", F.lag("ts").over(w)).withColumn("last_position", F.lag("position").over(w))

@@ -17,7 +17,7 @@ def updates(n=400, seed=4):
     rnd, at = random.Random(seed), datetime(2026, 1, 1, 22)
     rows = []
     for i in range(n):
-        at += timedelta(seconds=rnd.choice([0, 5, 60, 600]))
+        at += timedelta(seconds=rnd.choice([0, 0.0003, 5, 60, 600]))
         rows.append((rnd.randrange(3), rnd.randrange(2), i, at, rnd.choice(["start", "update", "update", "update", "pause"]), rnd.randrange(300)))
     return rows
 
