@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readlake.llm.bpe_tree import token_digests
+from readlake.llm.cross_tokenizer import alignment_measures
 from readlake.llm.exact_dedup import exact_dedup
 from readlake.llm.fertility import fertility_rules
 from readlake.llm.hidden_markov import score_documents
@@ -60,7 +61,17 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_templates, op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op6_hidden_markov, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing)}
+def op12_text_alignment(spark, sf_dir):
+    return alignment_measures(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_templates, op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op6_hidden_markov, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing,
+        op12_text_alignment,
+    )
+}
 
 ORACLES = {
     "op3_jaccard": r"""
