@@ -30,10 +30,16 @@ BLOCK_SCHEMA = "block bigint, ids array<bigint>, sizes array<int>, body binary"
 
 
 class Scratch:
-    """Intermediate tables in the shared folder named by spark.checkpoint.dir; where that is unset, an error, but for local masters."""
+    """Intermediate tables in the shared folder named by spark.checkpoint.dir; where that is unset, an error, but for local masters.
 
-    def __init__(self, spark: SparkSession):
+    path, if given, is the folder of the tables instead.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
+        if path is not None:
+            self.path = path
+            return
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
             root = spark.sparkContext.getCheckpointDir()

@@ -10,11 +10,13 @@ from readlake.llm.exact_dedup import exact_dedup
 from readlake.llm.fertility import fertility_rules
 from readlake.llm.hidden_markov import score_documents
 from readlake.llm.jaccard import jaccard_classes
+from readlake.llm.merkle import verified_documents
 from readlake.llm.mixing import mix_sources
 from readlake.llm.recompression import substring_dedup
 from readlake.llm.sharding import interleaved_shards
 from readlake.llm.suffixes import repeated_bytes
 from readlake.llm.templates import extract_main_text
+from readlake.llm.warc import archived_pages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +63,23 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op11_warc_index(spark, sf_dir):
+    return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_text_alignment(spark, sf_dir):
     return alignment_measures(_documents(spark, sf_dir))
 
 
+def op13_merkle_descent(spark, sf_dir):
+    return verified_documents(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_templates, op2_recompression, op3_jaccard, op4_bpe_tree, op5_sharding, op6_hidden_markov, op7_fertility, op8_exact_dedup, op9_suffixes, op10_mixing,
-        op12_text_alignment,
+        op11_warc_index, op12_text_alignment, op13_merkle_descent,
     )
 }
 
@@ -102,4 +112,34 @@ ORACLES = {
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
     """,
+    "op11_warc_index": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, min(page_id) AS least FROM p GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to
+        FROM (SELECT *, payload_bytes >= 100 AND page_id <> least AS again FROM p JOIN g USING (payload_digest))
+    """,
+    "op13_merkle_descent": r"""
+        WITH RECURSIVE plain AS (SELECT doc_id, lang, coalesce(lang, '') AS key, lang IS NOT NULL AS named, n_chars, source, text,
+                list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda r, c:
+                    list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(r, c)), 4294967295) AS r FROM documents),
+            d AS (SELECT *, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS own, [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS wrong, xor(r, 4294967295) % 7 = 0 AS hit FROM plain),
+            h AS (SELECT doc_id, key, named, sha256(list_reduce(list_transform(own, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), lambda a, b: a || b)) AS leaf,
+                CASE WHEN hit THEN sha256(list_reduce(list_transform(wrong, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), lambda a, b: a || b)) END AS forged FROM d),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY named, key ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY named, key) AS size FROM h),
+            n AS (
+                SELECT named, key, 0 AS level, rank, leaf AS node, size FROM ranked
+                UNION ALL SELECT named, key, level + 1, rank // 2, sha256(string_agg(node, '' ORDER BY rank)), (size + 1) // 2 FROM n WHERE size > 1 GROUP BY named, key, level, rank // 2, size),
+            sub AS (SELECT named, key, node AS subroot, row_number() OVER (ORDER BY named, key) - 1 AS rank, count(*) OVER () AS size FROM n WHERE size = 1),
+            t AS (SELECT 0 AS level, rank, subroot AS node, size FROM sub UNION ALL SELECT level + 1, rank // 2, sha256(string_agg(node, '' ORDER BY rank)), (size + 1) // 2 FROM t WHERE size > 1 GROUP BY level, rank // 2, size),
+            p AS (
+                SELECT doc_id, named, key, 0 AS level, rank, size, '' AS proof, coalesce(forged, leaf) AS fold FROM ranked
+                UNION ALL SELECT p.doc_id, p.named, p.key, p.level + 1, p.rank // 2, (p.size + 1) // 2, proof || coalesce(s.node, ''), sha256(CASE WHEN p.rank % 2 = 0 THEN fold || coalesce(s.node, '') ELSE s.node || fold END)
+                FROM p LEFT JOIN n s ON s.named = p.named AND s.key = p.key AND s.level = p.level AND s.rank = xor(p.rank, 1) WHERE p.size > 1),
+            q AS (
+                SELECT p.doc_id, 0 AS level, sub.rank, sub.size, proof, fold, subroot FROM p JOIN sub USING (named, key) WHERE p.size = 1
+                UNION ALL SELECT q.doc_id, q.level + 1, q.rank // 2, (q.size + 1) // 2, proof || coalesce(s.node, ''), sha256(CASE WHEN q.rank % 2 = 0 THEN fold || coalesce(s.node, '') ELSE s.node || fold END), subroot
+                FROM q LEFT JOIN t s ON s.level = q.level AND s.rank = xor(q.rank, 1) WHERE q.size > 1)
+        SELECT q.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+        FROM q JOIN h USING (doc_id), (SELECT node AS root FROM t WHERE size = 1) WHERE q.size = 1
+    """,
 }

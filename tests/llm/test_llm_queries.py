@@ -18,7 +18,8 @@ def test_query(spark, name):
         assert df.count() > 0
         return
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
