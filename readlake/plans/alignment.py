@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readlake.operators import alignment as A
+from readlake.operators import transcript as S
 from readlake.plans.fixtures import table, updates
+from readlake.sources.staging import Staging
 from readlake.streaming import sessions as R
+from readlake.streaming.transcripts import TranscriptSession
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,7 +95,7 @@ def j25_align_tokens(spark, sf_dir):
     at = (F.col("segment") * 1000 + F.col("k")).alias("ord")
     tokens = w.where("k % 17 != 3").select("book", at, "text", (at * 0.5).alias("start"), (at * 0.5 + 0.5).alias("end"))
     chapters = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("chapter"), "text")
-    return A.align_tokens(tokens, chapters)
+    return S.align_tokens(tokens, chapters)
 
 
 def _misheard(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -107,17 +110,43 @@ def _misheard(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query()
 def j25_repair_gaps(spark, sf_dir):
     tokens, chapters = _misheard(spark, sf_dir)
-    return A.repair_gaps(A.align_tokens(tokens, chapters), tokens, chapters)
+    return S.repair_gaps(tokens, chapters)
 
 
 @query()
 def r4_realign(spark, sf_dir):
-    """The last turn of each conversation comes after the others are aligned."""
+    """The last turn of each conversation comes after the others are aligned; the cues are those of j25_transcript_cues."""
     tokens, chapters = _misheard(spark, sf_dir)
     late = F.max("ord").over(Window.partitionBy("book"))
     marked = tokens.withColumn("late", F.floor(F.col("ord") / 1000) == F.floor(late / 1000))
-    history, batch = marked.where("not late").drop("late"), marked.where("late").drop("late")
-    return A.realign(batch, history, chapters, A.align_tokens(history, chapters))
+    session = TranscriptSession(chapters, Staging(spark).path)
+    session.update(marked.where("not late").drop("late"), 0)
+    session.update(marked.where("late").drop("late"), 1)
+    return session.cues()
+
+
+@query()
+def j25_transcript_cues(spark, sf_dir):
+    return S.align_transcript(*_misheard(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT l_partkey AS book, CAST(pos AS BIGINT) AS pos, min(l_orderkey) AS seed FROM (SELECT *, (l_orderkey * 7 + l_linenumber * 3) % 300 AS pos FROM lineitem) GROUP BY 1, 2),
+    u AS (SELECT *, pos * 0.25 + CASE WHEN seed % 5 = 0 THEN 2.0 ELSE 0 END AS start FROM t), v AS (SELECT *, start + 0.25 - CASE WHEN seed % 11 = 0 THEN 0.5 ELSE 0 END AS e FROM u),
+    c AS (SELECT *, pos // 20 * 20 AS cue FROM v), l AS (SELECT *, pos - lag(pos) OVER w - 1 AS hole, lag(e) OVER w AS quiet FROM c WINDOW w AS (PARTITION BY book, cue ORDER BY pos)),
+    b AS (SELECT l.*, hole IS NULL OR hole > 6 OR (hole > 0 AND start - quiet > least(2.5, 1.0 + hole * 0.7) AND NOT EXISTS (SELECT 1 FROM v s WHERE s.book = l.book AND s.start >= l.quiet AND s.start < l.start)) AS ends FROM l),
+    r AS (SELECT *, sum(ends::INT) OVER (PARTITION BY book, cue ORDER BY pos) AS run FROM b),
+    d AS (SELECT *, count(*) OVER w / (max(pos) OVER w - min(pos) OVER w + 1) < 0.7 AS sparse FROM r WINDOW w AS (PARTITION BY book, cue, run)),
+    p AS (SELECT *, sum((sparse AND coalesce(hole, 0) > 0)::INT) OVER (PARTITION BY book, cue, run ORDER BY pos) AS piece FROM d)
+    SELECT book, cue // 100 AS chapter, min(pos) AS "at", max(pos) - min(pos) + 1 AS length, CAST(arg_min(start, pos) AS DOUBLE) AS start, CAST(arg_max(e, pos) AS DOUBLE) AS "end" FROM p GROUP BY book, cue, run, piece HAVING arg_max(e, pos) > arg_min(start, pos)""")
+def j25_cut_cues(spark, sf_dir):
+    """Parts are books of 300 characters in cues of 20; their lines are the characters that are timed, every fifth late and every eleventh ending before it starts."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    t = l.groupBy(F.col("l_partkey").alias("book"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % 300).cast("bigint").alias("at")).agg(F.min("l_orderkey").alias("seed"))
+    start = F.col("at") * 0.25 + F.when(F.col("seed") % 5 == 0, 2.0).otherwise(0.0)
+    timed = t.select("book", "at", start.alias("start"), (start + 0.25 - F.when(F.col("seed") % 11 == 0, 0.5).otherwise(0.0)).alias("end"))
+    cues = timed.select("book", F.explode(F.expr("sequence(0L, 280L, 20L)")).alias("cue_low")).distinct()
+    cues = cues.select("book", F.floor(F.col("cue_low") / 100).alias("chapter"), "cue_low", (F.col("cue_low") + 20).alias("cue_high"))
+    return S.cut_cues(timed, cues, timed)
 
 
 @query("""WITH w AS (SELECT conv_id AS book, turn AS segment, unnest(range(len(xs))) AS k, unnest(xs) AS text FROM (SELECT *, regexp_split_to_array(text, '\\s+') AS xs FROM conversations)),
