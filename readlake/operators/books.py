@@ -5,11 +5,16 @@ Tables are keyed by `book`.  Chapters have `ord` (spine order), `href`, `html`;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readlake.functions import text as T
+from readlake.sources.staging import Staging
 
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -201,8 +206,8 @@ def sentence_around(text: Column, start: Column, end: Column) -> tuple[Column, C
 
 
 _BLANK = " \t\n\x0b\x0c\r\u3000\xa0"
-GRAM = 3  # characters by which queries find paragraphs
-FEW_QUERIES = 10_000
+GRAMS = (8, 3, 2, 1)  # sizes of the strings by which queries find paragraphs
+FEW_GRAMS = 1_000_000  # 8 MB
 
 
 def folded(text: Column) -> Column:
@@ -210,30 +215,77 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(F.translate(text, "İ", "i")), "ς", "σ")
 
 
-def _grams(text: Column, size: int) -> Column:
-    chars, n = F.split(text, ""), F.length(text)
-    shifted = F.arrays_zip(*[F.slice(chars, k + 1, n).alias(f"c{k}") for k in range(size)])
-    return F.array_distinct(F.transform(F.slice(shifted, 1, F.greatest(n - size + 1, F.lit(0))), lambda x: F.concat(*[x[f"c{k}"] for k in range(size)])))
+def gram_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all strings of size characters of some texts, and the text that each is of."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    hashes = np.zeros(max(len(points) - size + 1, 0), np.uint64)
+    for k in range(size):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(hashes)] + np.uint64(1)
+    text = np.repeat(np.arange(len(texts)), lengths)[: len(hashes)]
+    inside = np.arange(len(hashes)) + size <= np.cumsum(lengths)[text]  # not across two texts
+    return hashes[inside].view(np.int64), text[inside]
 
 
-def search(lines: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
-    """Literal, case-insensitive, non-overlapping hits of queries (query_id, query) in paragraphs, `most` for each query and book.
+def gram_rows(rows: DataFrame, key: str, text: str, size: int, among: np.ndarray | None = None) -> DataFrame:
+    """(key, gram): distinct hashes of the strings of size characters of a text, those among some sorted ones if given.
 
-    A paragraph and a query meet by one string of GRAM characters, the one of the query's that fewest paragraphs have (the whole query
-    where it is shorter), so that the join is an equi join; then the whole query is looked for.  Grams of the queries are broadcast
-    while queries.limit(FEW_QUERIES) holds all of them, else shuffled.  Blank queries have no hits.
+    In Arrow batches, since built-in functions go through a text character by character in an interpreted lambda.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, of = gram_hashes(batch.column(1).to_pylist(), size)
+            if among is not None:
+                at = np.minimum(np.searchsorted(among, grams), len(among) - 1)
+                grams, of = (x[among[at] == grams] for x in (grams, of))
+            order = np.lexsort((grams, of))
+            grams, of = grams[order], of[order]
+            new = np.ones(len(grams), bool)
+            new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[new])), pa.array(grams[new])], [key, "gram"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, gram bigint")
+
+
+def _candidates(rows: DataFrame, wanted: DataFrame, staging: Staging) -> DataFrame:
+    """(query_id, needle, __line): lines that have the one of a query's grams that fewest lines have; rows of grams hold no text.
+
+    While FEW_GRAMS holds the grams of all queries they go to every task, and only lines' grams among them leave it; beyond, both sides
+    are shuffled.
     """
-    wanted = queries.select("query_id", folded(F.trim("query")).alias("needle")).where("needle != ''").withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
-    sized = {k: wanted.where(F.col("size") == k).select("query_id", "needle", F.explode(_grams(F.col("needle"), k)).alias("gram")) for k in range(1, GRAM + 1)}
-    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    small = F.broadcast if few else lambda df: df
-    rows = lines.withColumn("low", folded(F.col("text")))
     found = None
-    for k, grams in sized.items():
-        seen = rows.select(F.explode(_grams(F.col("low"), k)).alias("gram")).join(small(grams.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
-        rarest = grams.join(seen, "gram").groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
-        part = rows.withColumn("gram", F.explode(_grams(F.col("low"), k))).join(small(rarest), "gram").drop("gram")
+    for k in sorted(r["size"] for r in wanted.select("size").distinct().collect()):  # GRAMS at most
+        asked = staging.keep(gram_rows(wanted.where(F.col("size") == k), "query_id", "needle", k))
+        known = asked.select("gram").distinct()
+        some = [r.gram for r in known.limit(FEW_GRAMS + 1).collect()]
+        if len(some) <= FEW_GRAMS:
+            postings = gram_rows(rows, "__line", "low", k, np.sort(np.array(some, np.int64)))
+        else:
+            postings = gram_rows(rows, "__line", "low", k).join(known, "gram", "left_semi")
+        postings = staging.keep(postings)
+        often = postings.groupBy("gram").agg(F.count("*").alias("often"))
+        rarest = asked.join(often, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"), F.min(F.coalesce("often", F.lit(0))).alias("least"))
+        part = postings.join(rarest.where("least > 0").drop("least"), "gram").drop("gram")  # where some gram of a query is nowhere, so is the query
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = wanted.select(F.lit(0).cast("bigint").alias("__line"), "query_id").limit(0)
+    return found.join(wanted.select("query_id", "needle"), "query_id")
+
+
+def search(lines: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
+    """Literal, case-insensitive, non-overlapping hits of queries (query_id, query) in paragraphs, `most` for each query and book.
+
+    Paragraphs are numbered and written once.  A paragraph and a query meet by the number and one of the query's grams, strings of the
+    largest size in GRAMS that it has; then paragraphs are fetched by number and the whole query is looked for.  Blank queries have no
+    hits.
+    """
+    staging = Staging(lines.sparkSession)
+    needle = queries.select("query_id", folded(F.trim("query")).alias("needle")).where("needle != ''")
+    length = F.length("needle")
+    wanted = staging.keep(needle.withColumn("size", F.coalesce(*[F.when(length >= k, k) for k in GRAMS])))
+    rows = staging.keep(lines.withColumn("low", folded(F.col("text"))).withColumn("__line", F.monotonically_increasing_id()))
+    found = rows.join(_candidates(rows, wanted, staging), "__line").drop("__line")
     hits = found.where(F.col("low").contains(F.col("needle")))
     literal = F.concat(F.lit("\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pieces = F.split("low", literal)

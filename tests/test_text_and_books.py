@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions import text as T
 from readlake.operators import alignment as A
+from readlake.operators import transcript
 from readlake.operators import books as B
 from readlake.operators import lookup as L
 
@@ -93,7 +94,7 @@ def test_align_tokens_finds_unique_seeds(spark):
     ch = spark.createDataFrame([("b", 0, "The quick brown fox jumps over the lazy dog")], "book string, chapter bigint, text string")
     said = "the quick brown xx jumps over the lazy dog".split()
     tokens = spark.createDataFrame([("b", i, w, float(i), i + 1.0) for i, w in enumerate(said)], "book string, ord bigint, text string, start double, end double")
-    got = A.align_tokens(tokens, ch).orderBy("at").collect()
+    got = transcript.align_tokens(tokens, ch).orderBy("at").collect()
     assert [(r.at, r.start, r.end) for r in got] == [(0, 0.0, 3.0), (15, 3.0, 9.0)]
 
 
