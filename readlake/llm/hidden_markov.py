@@ -6,7 +6,7 @@ grows with the corpus.  It has two parts: a *symbol* and the word inside the sym
 bytes, and CLASSES more of all rarer words.  Inside a class of the first kind P(word | class, state) = (E + SMOOTH * b) / (sum of E
 over the class + SMOOTH) with the expected count E of the word in the state and its share b of the class's tokens; inside one of
 the second kind a word with count c has (c + 1) / (the class's sum of c + 1, and one more for words that training did not meet).
-So probabilities of all texts sum to one.  Symbols are as large as a model that every task holds may be; the table of words is
+So probabilities of all texts sum to one, but for the rounding of expected counts to a 2^24th of a word's count on their way.  Symbols are as large as a model that every task holds may be; the table of words is
 only ever dealt out by hash ranges.
 
 1. counts: blocks send their distinct words with training counts and get the counts over the corpus back; this gives the base
@@ -282,8 +282,8 @@ _PARTIAL = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("part", pa.i
 def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int = 0, first_class: int = 0):
     """Expected counts of a partition's training texts, in CHUNKS pieces (kind 0).
 
-    With buckets also those of the words of each block that are no symbols, by hash range (kind 1, chunk is the range); they are rounded
-    to half precision, a two thousandth, before they are summed.  CLASSES symbols from first_class on have such words.
+    With buckets also those of the words of each block that are no symbols, by hash range (kind 1, chunk is the range).  CLASSES symbols
+    from first_class on have such words.
     """
 
     def run(batches):
@@ -313,10 +313,11 @@ def _partial(model: Model | None, overall: np.ndarray, states: int, buckets: int
                     keys, word = np.frombuffer(keys, np.uint64), _unpack_words(words)
                     inside = (symbols >= first_class) & (symbols < first_class + CLASSES)
                     word = word[tokens[(all_symbols >= first_class) & (all_symbols < first_class + CLASSES)]]
-                    sums = np.stack([np.bincount(word, lattice.gamma[inside, z], len(keys)) for z in range(states)], axis=1).astype(np.float16)
+                    sums = np.stack([np.bincount(word, lattice.gamma[inside, z], len(keys)) for z in range(states)], axis=1)
+                    counts = np.bincount(word, minlength=len(keys)).astype(np.uint32)
                     of, bounds = cut(keys, buckets)
                     for bucket, i, j in zip(of.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                        for name, value in zip(_PARTIAL.names, (1, bucket, None, block, keys[i:j].tobytes(), squeeze(sums[i:j].tobytes()))):
+                        for name, value in zip(_PARTIAL.names, (1, bucket, None, block, keys[i:j].tobytes(), squeeze(counts[i:j].tobytes() + _shares(sums[i:j], counts[i:j])))):
                             out[name].append(value)
             if out["kind"]:
                 yield pa.RecordBatch.from_pydict(out, _PARTIAL)
@@ -334,25 +335,37 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def _pack_sums(sums: np.ndarray) -> bytes:
-    """Counts in half precision of the largest: within a two thousandth of each, or a sixteen millionth of that."""
-    scale = np.float32(max(float(sums.max(initial=0.0)), 1e-30) / 60_000)
-    return squeeze(scale.tobytes() + (sums / scale).astype(np.float16).tobytes())
+SHARE = (1 << 24) - 1
 
 
-def _unpack_sums(data: bytes, states: int) -> np.ndarray:
-    data = unpack(data)
-    return np.frombuffer(data, np.float16, offset=4).reshape(-1, states).astype(np.float64) * np.frombuffer(data[:4], np.float32)[0]
+def _shares(sums: np.ndarray, counts: np.ndarray) -> bytes:
+    """Expected counts of words as shares of their counts, in 24 bits; the last state has what the others leave."""
+    share = np.rint(sums[:, :-1] / np.maximum(counts, 1)[:, None] * SHARE).clip(0, SHARE).astype("<u4")
+    return share.view(np.uint8).reshape(*share.shape, 4)[:, :, :3].transpose(2, 1, 0).tobytes()  # byte by byte, which compresses better
+
 
+def _sums(data: bytes, counts: np.ndarray, states: int) -> np.ndarray:
+    """The expected counts that _shares has packed."""
+    places = np.frombuffer(data, np.uint8).reshape(3, states - 1, len(counts)).astype(np.int64)
+    share = (places[0] + (places[1] << 8) + (places[2] << 16)).T / SHARE
+    return np.concatenate([share, np.maximum(1 - share.sum(axis=1, keepdims=True), 0)], axis=1) * counts[:, None]
 
-def _add_words(table: pa.Table) -> pa.Table:
-    """Of one hash range: for each block, the expected counts over the corpus of its words."""
-    parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    own = np.concatenate([np.frombuffer(unpack(x), np.float16).reshape(len(k), -1).astype(np.float32) for k, x in zip(parts, table.column("sums").to_pylist())])
-    keys, of = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.stack([np.bincount(of, own[:, z], len(keys)) for z in range(own.shape[1])], axis=1)[of]
-    sums = [_pack_sums(x) for x in np.split(total, np.cumsum([len(p) for p in parts])[:-1])]
-    return pa.table({"block": table.column("block"), "bucket": table.column("chunk"), "word_sums": pa.array(sums, pa.binary())})
+
+def _add_words(states: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one hash range: for each block, the expected counts over the corpus of its words, as shares of their counts there."""
+        parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        keys, of = np.unique(np.concatenate(parts), return_inverse=True)
+        counts, total, at = np.zeros(len(keys), np.int64), np.zeros((len(keys), states)), 0
+        for part, data in zip(parts, map(unpack, table.column("sums").to_pylist())):
+            place, n = of[at : at + len(part)], np.frombuffer(data, np.uint32, len(part))  # words are distinct within a block
+            counts[place] += n
+            total[place] += _sums(data[4 * len(part) :], n, states)
+            at += len(part)
+        sums = [squeeze(_shares(total[x], counts[x])) for x in np.split(of, np.cumsum([len(p) for p in parts])[:-1])]
+        return pa.table({"block": table.column("block"), "bucket": table.column("chunk"), "word_sums": pa.array(sums, pa.binary())})
+
+    return run
 
 
 def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int, scratch: Scratch | None = None, buckets: int = 0) -> tuple[Model, float, DataFrame | None]:
@@ -362,7 +375,7 @@ def estimate(texts: DataFrame, model: Model | None, v: Vocabulary, states: int,
     words = None
     if buckets:
         sums = scratch.table(sums, "sums")
-        words = scratch.table(sums.where("kind = 1").select("chunk", "block", "keys", "sums").groupBy("chunk").applyInArrow(_add_words, "block bigint, bucket int, word_sums binary"), "words")
+        words = scratch.table(sums.where("kind = 1").select("chunk", "block", "keys", "sums").groupBy("chunk").applyInArrow(_add_words(states), "block bigint, bucket int, word_sums binary"), "words")
     pieces, parts = sums.where("kind = 0").select("chunk", "part", "sums"), texts.rdd.getNumPartitions()
     while parts > FAN_IN:  # a tree, so that no task reads a piece of every partition
         parts = -(-parts // FAN_IN)
@@ -392,10 +405,12 @@ def _score_rows(model: Model, v: Vocabulary, smooth: float):
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("word_sums").to_pylist()))
         for bounds, counts, classes, words, ids, sizes, data, known, base, rest in zip(*(left.column(c).to_pylist() for c in _TEXTS.names if c not in ("block", "keys"))):
             n, symbols = np.array(sizes), np.frombuffer(unpack(data), np.uint16).astype(np.int64)
+            counts = np.frombuffer(unpack(counts), np.int64)
             sums = np.zeros((bounds[-1], len(model.initial)))
             for bucket, reply in replies.items():
-                sums[bounds[bucket] : bounds[bucket + 1]] = _unpack_sums(reply, len(model.initial))
-            factors = word_factors(model, v, np.frombuffer(classes, np.uint8), np.frombuffer(unpack(counts), np.int64), sums, smooth)
+                own = slice(bounds[bucket], bounds[bucket + 1])
+                sums[own] = _sums(unpack(reply), counts[own], len(model.initial))
+            factors = word_factors(model, v, np.frombuffer(classes, np.uint8), counts, sums, smooth)
             inside = np.ones((len(symbols), len(model.initial)))
             inside[(symbols > len(v.keys)) & (symbols <= len(v.keys) + CLASSES)] = factors[_unpack_words(words)]
             score = Lattice(model, symbols, n, inside).forward() + np.array(rest)

@@ -119,6 +119,20 @@ def is_not_main(own: str) -> bool:
     return name in NOT_MAIN or bool(detail and NOT_MAIN_NAME.search(detail))
 
 
+def _wrappers(found: list[tuple[str, str, list[str], int]]) -> set[tuple[str, ...]]:
+    """Paths of the elements that hold at least half of a page's text, and of html and body."""
+    weight: dict[tuple[str, ...], int] = {}
+    for text, _, path, links in found:
+        own = tuple(path)
+        weight[own] = weight.get(own, 0) + max(0, len(text) - links)
+    held: dict[tuple[str, ...], int] = {}
+    for path, n in weight.items():
+        for k in range(1, len(path) + 1):
+            held[path[:k]] = held.get(path[:k], 0) + n
+    total = sum(weight.values())
+    return {p for p, n in held.items() if 2 * n >= total or p[-1].partition(".")[0] in ("html", "body")}
+
+
 class Template(NamedTuple):
     main: frozenset[int] = frozenset()  # tokens of main slots
     labels: tuple[str, ...] = ()  # their labels
@@ -129,7 +143,13 @@ class Template(NamedTuple):
 def main_text(page: str, template: Template = Template()) -> str:
     """The blocks of a page in its host's main slot, else in an element of that name, else in its own article, else in the densest."""
     found = list(blocks(page))
-    at = None
+    around = _wrappers(found)
+
+    def barred(path: list[str], upto: int) -> bool:
+        """Whether one of the first elements of a path is not main by its name; what holds most of the page is no such part of it."""
+        return any(is_not_main(x) and tuple(path[: i + 1]) not in around for i, x in enumerate(path[:upto]))
+
+    at, trusted = None, False
     if template.main:
         held = [next((k for k, t in enumerate(tokens_of(tuple(path))) if t in template.main), None) for _, _, path, _ in found]
         if any(k is not None for k in held):
@@ -137,19 +157,30 @@ def main_text(page: str, template: Template = Template()) -> str:
     if at is None:
         chosen = next((m for m in template.labels if any(m in path for _, _, path, _ in found)), None)
         if chosen is None:
-            chosen = next((x for _, _, path, _ in found for x in path if is_main(x)), None)
-        if chosen is None:
+            chosen = next((x for _, _, path, _ in found for i, x in enumerate(path) if is_main(x) and not barred(path, i)), None)
+        if chosen is None:  # an article in something with a name like an advert's: the longest
+            inner: dict[tuple[str, ...], int] = {}
+            for text, _, path, links in found:
+                for i, x in enumerate(path):
+                    if is_main(x) and not any(y.partition(".")[0] in NOT_MAIN for y in path[:i]):
+                        inner[tuple(path[: i + 1])] = inner.get(tuple(path[: i + 1]), 0) + max(0, len(text) - 2 * links)
+            if inner:
+                slot, trusted = max(inner, key=inner.__getitem__), True
+                at = [len(slot) - 1 if tuple(path[: len(slot)]) == slot else None for _, _, path, _ in found]
+        if chosen is None and not trusted:
             weight: dict[str, int] = {}
             for text, _, path, links in found:
-                if path and not any(map(is_not_main, path)):
+                if path and not barred(path, len(path)):
                     weight[path[-1]] = weight.get(path[-1], 0) + max(0, len(text) - 2 * links)
             chosen = max(weight, key=weight.__getitem__) if weight else None
-        at = [path.index(chosen) if chosen is not None and chosen in path else None for _, _, path, _ in found]
-        if chosen is None:
+        if not trusted:
+            at = [path.index(chosen) if chosen is not None and chosen in path else None for _, _, path, _ in found]
+        if chosen is None and not trusted:
             at = [-1 if not any(x.partition(".")[0] == "header" for x in path) else None for _, _, path, _ in found]
     out = []
     for (text, raw, path, _), k in zip(found, at):
-        if k is None or any(is_not_main(x) for i, x in enumerate(path) if i != k):
+        # names judge what lies inside the slot; around it only smaller parts of the page
+        if k is None or (not trusted and barred(path, len(path) if k < 0 else k)) or (k >= 0 and any(map(is_not_main, path[k + 1 :]))):
             continue
         if template.fixed and any(t in template.fixed for t in tokens_of(tuple(path))[k + 1 :]):
             continue
