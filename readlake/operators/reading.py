@@ -20,6 +20,8 @@ COMMAS = "、，,"
 OPENS = "「『（〔［｛〈《【〖〘〚“‘｢([{"
 TRAILS = "」』）〕］｝〉》】〗〙〛”’｣)]}。、，．！？!?‼⁇⁈⁉､｡・･：；:;"
 HANGS = "…‥—―–─〜～"
+#: White space of every script, after which a hanging mark goes with the next character.
+WHITE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: What ends a scan in English text, and which of these may stand inside a word.
 ENGLISH_ENDS = "\"“”„‟'‘’‚‛«»‹›!?—–-‐‑‒/\\|@#$%^&*_+=~`<>"
 IN_WORDS = "'’`-‐‑"
@@ -84,7 +86,7 @@ def owned_ranges(texts: DataFrame) -> DataFrame:
     after white space, an opening mark or nothing with the next character, else with the one before.
     """
     o, t, h = (one_of(x)[1:-1] for x in (OPENS, TRAILS, HANGS))
-    unit = rf"(?:(?<!\S)[{o}{h}]+|[{o}][{o}{h}]*)?[{T.COUNTED}][{t}{h}]*"
+    unit = rf"(?:(?<![^{WHITE}])[{o}{h}]+|[{o}][{o}{h}]*)?[{T.COUNTED}][{t}{h}]*"
     pattern = F.lit(rf"(?s)([^{T.COUNTED}]*?)({unit})")
     pairs = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("unit"))
     rows = texts.select("id", F.posexplode(pairs).alias("i", "x")).select("id", "i", F.length("x.gap").alias("gap"), F.length("x.unit").alias("n"))
@@ -92,6 +94,36 @@ def owned_ranges(texts: DataFrame) -> DataFrame:
     return rows.select("id", F.col("i").cast("bigint").alias("i"), (to - F.col("n")).alias("start"), to.alias("end"))
 
 
+def _sections(nodes: DataFrame) -> DataFrame:
+    """(id, section, base, first, text): text nodes (id, node, boundary, text) up to the next boundary as one text, with the raw and the counted characters before it."""
+    before = Window.partitionBy("id").orderBy("node")
+    rows = nodes.select("id", "node", F.coalesce("text", F.lit("")).alias("text"), F.sum(F.coalesce("boundary", F.lit(False)).cast("int")).over(before).alias("section"))
+    joined = rows.groupBy("id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "").alias("text"))
+    earlier = Window.partitionBy("id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda c: F.coalesce(F.sum(c.cast("bigint")).over(earlier), F.lit(0))
+    return joined.select("id", "section", sum_of(F.length("text")).alias("base"), sum_of(F.length(T.counted_text(F.col("text")))).alias("first"), "text")
+
+
+def owned_ranges_of_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, i, start, end): owned_ranges of texts in nodes (id, node, boundary, text), with places in all nodes of an id.
+
+    Runs of marks go on from node to node; a node with a boundary before it begins anew.  A section between two boundaries (a
+    paragraph) is one text, so no whole chapter is.
+    """
+    sections = _sections(nodes).withColumn("key", F.struct("id", "section"))
+    owned = owned_ranges(sections.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key")
+    return owned.join(sections.select("key", "base", "first"), "key").select("key.id", (F.col("first") + F.col("i")).alias("i"), (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+
+
+def search_raw_ranges(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, hit, start, end) of hits (id, hit, at, length) in counted characters: the raw range from their first to their last one, without punctuation outside."""
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s)[^{T.COUNTED}]*[{T.COUNTED}]"), F.lit(0))
+    rows = texts.select("id", F.posexplode(pieces).alias("i", "piece")).select("id", F.col("i").cast("bigint").alias("i"), F.sum(F.length("piece").cast("bigint")).over(Window.partitionBy("id").orderBy("i")).alias("to"))
+    wanted = hits.where("at >= 0 and length > 0").withColumn("last", F.col("at") + F.col("length") - 1)
+    first, last = rows.select("id", F.col("i").alias("at"), (F.col("to") - 1).alias("start")), rows.select("id", F.col("i").alias("last"), F.col("to").alias("end"))
+    return wanted.join(first, ["id", "at"]).join(last, ["id", "last"]).select("id", "hit", "start", "end")
+
+
 def cue_raw_ranges(cues: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, cue, start, end) of cues (id, cue, at, length) in counted characters: the raw range of their characters with their punctuation."""
     owned = owned_ranges(texts)

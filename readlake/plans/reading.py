@@ -62,18 +62,79 @@ def t5_spoken_characters(spark, sf_dir):
     return P.spoken_characters(P.spoken_pieces(marked_chapters(spark, sf_dir)), with_percent=True)
 
 
-@query(rf"""WITH t AS (SELECT doc_id AS id, translate(text, ',.;:()-', '、…「—（）〜') AS text FROM documents WHERE text IS NOT NULL),
-    ch AS (SELECT id, unnest(range(len(xs))) AS pos, unnest(xs) AS x FROM (SELECT id, string_split(text, '') AS xs FROM t)),
+#: White space in the SQL's pattern language.
+_WHITE = r"\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Ranges of the characters of t (id, text).
+_OWNED = rf"""ch AS (SELECT id, unnest(range(len(xs))) AS pos, unnest(xs) AS x FROM (SELECT id, string_split(text, '') AS xs FROM t)),
     n AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS i, coalesce(lag(pos) OVER (PARTITION BY id ORDER BY pos), -1) AS before, lead(pos) OVER (PARTITION BY id ORDER BY pos) AS next FROM ch WHERE regexp_matches(x, '[{COUNTED}]')),
     g AS (SELECT n.*, CASE WHEN before < 0 THEN ' ' ELSE '' END || substring(text, before + 2, pos - before - 1) AS gap, substring(text, pos + 2, coalesce(next, length(text)) - pos - 1) AS rest FROM n JOIN t USING (id)),
-    f AS (SELECT *, regexp_extract(gap, '(?:[\s][「『（〔［｛〈《【〖〘〚“‘｢(\[{{…‥—―–─〜～]+|[「『（〔［｛〈《【〖〘〚“‘｢(\[{{][「『（〔［｛〈《【〖〘〚“‘｢(\[{{…‥—―–─〜～]*)$') AS pre,
-        regexp_extract(rest, '^[」』）〕］｝〉》】〗〙〛”’｣)\]}}。、，．！？!?‼⁇⁈⁉､｡・･：；:;…‥—―–─〜～]*') AS post FROM g)
-    SELECT id, i, pos - CASE WHEN regexp_matches(pre, '^\s') THEN length(pre) - 1 ELSE length(pre) END AS start, pos + 1 + length(post) AS "end" FROM f""")
+    f AS (SELECT *, regexp_extract(gap, '(?:[{_WHITE}][「『（〔［｛〈《【〖〘〚“‘｢(\[{{…‥—―–─〜～]+|[「『（〔［｛〈《【〖〘〚“‘｢(\[{{][「『（〔［｛〈《【〖〘〚“‘｢(\[{{…‥—―–─〜～]*)$') AS pre,
+        regexp_extract(rest, '^[」』）〕］｝〉》】〗〙〛”’｣)\]}}。、，．！？!?‼⁇⁈⁉､｡・･：；:;…‥—―–─〜～]*') AS post FROM g)"""
+_OWNED_ROWS = rf"""SELECT id, i, pos - CASE WHEN regexp_matches(pre, '^[{_WHITE}]') THEN length(pre) - 1 ELSE length(pre) END AS start, pos + 1 + length(post) AS "end" FROM f"""
+
+
+def indented(text):
+    """Punctuation of another script, and marks after white space that is not ASCII."""
+    text = F.translate(text, ",.;:()-", "、…「—（）〜")
+    return F.replace(F.replace(text, F.lit(" d"), F.lit("\u3000…d")), F.lit(" e"), F.lit("\xa0—e"))
+
+
+_INDENTED = "replace(replace(translate(text, ',.;:()-', '、…「—（）〜'), ' d', chr(12288) || '…d'), ' e', chr(160) || '—e')"
+
+
+@query(f"WITH t AS (SELECT doc_id AS id, {_INDENTED} AS text FROM documents WHERE text IS NOT NULL), " + _OWNED + " " + _OWNED_ROWS)
 def t9_owned_ranges(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.translate("text", ",.;:()-", "、…「—（）〜").alias("text"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), indented(F.col("text")).alias("text"))
     return P.owned_ranges(d)
 
 
+_NODES = f"""WITH s AS (SELECT conv_id, turn, turn // 3 AS section, {_INDENTED} || CASE turn % 3 WHEN 1 THEN '「' WHEN 2 THEN '…' ELSE '' END AS text FROM conversations WHERE text IS NOT NULL),
+    j AS (SELECT conv_id, section, string_agg(text, '' ORDER BY turn) AS text FROM s GROUP BY 1, 2),
+    base AS (SELECT *, conv_id * 1000 + section AS id, coalesce(sum(length(text)) OVER w, 0) AS base FROM j WINDOW w AS (PARTITION BY conv_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT id, text FROM base), """
+
+
+@query(_NODES + _OWNED + ", own AS (" + _OWNED_ROWS + """) SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY section, i) - 1 AS i, CAST(base + start AS BIGINT) AS start, CAST(base + "end" AS BIGINT) AS "end" FROM own JOIN base USING (id)""")
+def t9_node_ranges(spark, sf_dir):
+    """Turns are text nodes, with a boundary before every third; some end in a mark that goes with the next node."""
+    return P.owned_ranges_of_nodes(turns_as_nodes(spark, sf_dir))
+
+
+def turns_as_nodes(spark, sf_dir) -> DataFrame:
+    mark = F.when(F.col("turn") % 3 == 1, "「").when(F.col("turn") % 3 == 2, "…").otherwise("")
+    return table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("id"), F.col("turn").alias("node"), (F.col("turn") % 3 == 0).alias("boundary"), F.concat(indented(F.col("text")), mark).alias("text"))
+
+
+def spans(spark, sf_dir) -> DataFrame:
+    """A stretch of counted characters of each document."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 9).alias("cue"), (F.col("doc_id") % 40).alias("at"), (F.col("doc_id") % 30 + 1).alias("length"))
+
+
+_SPANS = f"WITH t AS (SELECT doc_id AS id, {_INDENTED} AS text FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id AS id, doc_id % 9 AS cue, doc_id % 40 AS at_, doc_id % 30 + 1 AS n FROM documents), "
+
+
+@query(_SPANS + _OWNED + ", own AS (" + _OWNED_ROWS + """) SELECT id, cue, a.start, b."end" FROM d JOIN own a USING (id) JOIN own b USING (id) WHERE a.i = at_ AND b.i = at_ + n - 1""")
+def t9_cue_raw_ranges(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), indented(F.col("text")).alias("text"))
+    return P.cue_raw_ranges(spans(spark, sf_dir), d)
+
+
+@query(_SPANS + _OWNED + """ SELECT id, cue AS hit, a.pos AS start, b.pos + 1 AS "end" FROM d JOIN n a USING (id) JOIN n b USING (id) WHERE a.i = at_ AND b.i = at_ + n - 1""".replace("+ n - 1", "+ d.n - 1"))
+def t9_search_ranges(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), indented(F.col("text")).alias("text"))
+    return P.search_raw_ranges(spans(spark, sf_dir).withColumnRenamed("cue", "hit"), d)
+
+
+@query(r"""WITH ch AS (SELECT doc_id AS id, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM (SELECT doc_id, string_split(translate(text, 'aeiou-', 'あイう漢Ａー'), '') AS xs FROM documents WHERE text IS NOT NULL))
+    SELECT id, count(*) FILTER (regexp_matches(x, '[\s\x0b\x{3000}\x{a0}]') OR contains('.,', x)) AS ends, count(*) FILTER (regexp_matches(x, '[\s\x0b\x{3000}\x{a0}]') OR contains('.,', x) OR NOT regexp_matches(x, '[\x{3040}-\x{30FF}\x{FF66}-\x{FF9D}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3005}-\x{3007}]')) AS foreign_ends,
+    count(*) FILTER (regexp_matches(x, '[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')) AS breaks FROM ch WHERE x != '' GROUP BY id""".replace("\\\\", "\\"))
+def t10_scan_boundaries(spark, sf_dir):
+    """How many characters of each document end a scan, of Japanese or of any text, and how many may begin a line."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.explode(F.filter(F.split(F.translate("text", "aeiou-", "あイう漢Ａー"), ""), lambda c: c != "")).alias("c"))
+    flags = d.select("id", P.scan_boundary(F.col("c"), ".,").alias("a"), P.scan_boundary(F.col("c"), ".,", True).alias("b"), P.may_break(F.col("c")).alias("k"))
+    return flags.groupBy("id").agg(F.count_if("a").alias("ends"), F.count_if("b").alias("foreign_ends"), F.count_if("k").alias("breaks"))
+
+
 @query(r"""WITH t AS (SELECT turn + conv_id * 1000 AS id, regexp_replace(text, 'e(n|s)', 'e''\1', 'g') || ' (x)-y z''' AS text FROM conversations WHERE text IS NOT NULL),
     ch AS (SELECT id, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM (SELECT id, string_split(text, '') AS xs FROM t)),
     m AS (SELECT *, coalesce(regexp_matches(lag(x) OVER (PARTITION BY id ORDER BY i), '[A-Za-z0-9]') AND regexp_matches(lead(x) OVER (PARTITION BY id ORDER BY i), '[A-Za-z0-9]'), false) AS inside FROM ch),
