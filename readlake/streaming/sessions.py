@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from readlake.sources.tables import BucketedTable
+
 DAY_MS = 24 * 3600 * 1000
 
 
@@ -238,6 +240,54 @@ def spread(new: pd.DataFrame, heard_to: float, through: float) -> pd.DataFrame:
     return new.assign(at=at, to=to)
 
 
+class Heard:
+    """What stitching keeps of a recording: the last tokens, and where the next ones may begin."""
+
+    def __init__(self, begin: float, heard_to: float | None = None, known: list[tuple[str, float, float]] = ()):
+        self.begin, self.heard_to = begin, begin if heard_to is None else heard_to
+        self.known = pd.DataFrame([*known], columns=["text", "start", "end"]).astype({"text": object, "start": float, "end": float})
+
+    def accept(self, segment_start: float, through: float, tokens: Iterable, first: bool, crowded: bool = True) -> pd.DataFrame:
+        """The tokens of the next batch that are new, with at and to; crowded: whether they may have to share their time."""
+        new = pd.DataFrame([(t["text"], t["start"], t["end"]) for t in tokens], columns=["text", "start", "end"])
+        new = new[new["start"] >= self.begin] if first else new.iloc[repeated_prefix(self.known[self.known["end"] >= segment_start], new, self.heard_to) :]
+        new = spread(new, self.heard_to if crowded else -np.inf, through)
+        new = new[new["to"] > new["at"]]
+        known = pd.concat([self.known, new[["text", "start", "end"]]]) if len(self.known) else new[["text", "start", "end"]]
+        self.known = known[known["end"] >= through - MEMORY]
+        self.heard_to = max([self.heard_to, *new["to"].tolist()])
+        return new
+
+
+def stitch_stream(batches: DataFrame, start: float = 0.0, idle_ms: int = DAY_MS) -> DataFrame:
+    """stitch_batches over a stream: (recording, ord, text, start, end) as batches come, in append mode.
+
+    State of a recording is the end of its last batch, the tokens of its last second and two numbers.  Batches that end no later
+    than one that has been stitched are ignored, whenever they come; state of a recording that is silent for idle_ms goes.
+    """
+    schema = "recording bigint, ord bigint, text string, start double, end double"
+
+    def fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        begun, through, n, heard_to, known = json.loads(state.get[0]) if state.exists else (False, start, 0, start, [])
+        heard, out = Heard(start, heard_to, known), []
+        pdf = pd.concat(list(frames)).assign(order=lambda x: [tuple((t["text"], t["start"], t["end"]) for t in tokens) for tokens in x["tokens"]])
+        for row in pdf.sort_values(["through", "segment_start", "order"]).itertuples(index=False):
+            if row.through <= through:
+                continue
+            new = heard.accept(row.segment_start, row.through, row.tokens, not begun)
+            begun, through = True, float(row.through)
+            out.append(pd.DataFrame({"recording": key[0], "ord": n + np.arange(len(new)), "text": new["text"].to_numpy(), "start": new["at"].to_numpy(), "end": new["to"].to_numpy()}))
+            n += len(new)
+        state.update((json.dumps([begun, through, n, float(heard.heard_to), heard.known[["text", "start", "end"]].to_numpy().tolist()]),))
+        state.setTimeoutDuration(idle_ms)
+        yield from out
+
+    return batches.groupBy("recording").applyInPandasWithState(fold, schema, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def stitch_batches(batches: DataFrame, start: float = 0.0) -> DataFrame:
     """Tokens (recording, ord, text, start, end) from batches (recording, segment_start, through, tokens array<struct<text, start, end>>).
 
@@ -255,16 +305,9 @@ def stitch_batches(batches: DataFrame, start: float = 0.0) -> DataFrame:
     rows = rows.withColumn("stretch", F.sum(F.col("apart").cast("bigint")).over(order))
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pd.DataFrame({"text": [], "start": [], "end": []})
-        heard_to, out = start, []
+        heard, out = Heard(start), []
         for k, row in enumerate(pdf.sort_values("through").itertuples(index=False)):
-            new = pd.DataFrame([(t["text"], t["start"], t["end"]) for t in row.tokens], columns=["text", "start", "end"])
-            new = new[new["start"] >= start] if row.first else new.iloc[repeated_prefix(known[known["end"] >= row.segment_start], new, heard_to) :]
-            new = spread(new, heard_to if k or row.first else -np.inf, row.through)
-            new = new[new["to"] > new["at"]]
-            known = pd.concat([known, new[["text", "start", "end"]]]) if len(known) else new[["text", "start", "end"]]
-            known = known[known["end"] >= row.through - MEMORY]
-            heard_to = max([heard_to, *new["to"].tolist()])
+            new = heard.accept(row.segment_start, row.through, row.tokens, row.first, k > 0 or row.first)
             out.append(new.assign(through=row.through, k=np.arange(len(new))))
         out = pd.concat(out)
         return pd.DataFrame({"recording": pdf["recording"].iloc[0], "through": out["through"], "k": out["k"], "text": out["text"], "start": out["at"], "end": out["to"]})
@@ -297,15 +340,12 @@ def noise_floor_activity(frames: DataFrame, frames_back: int = 938, share: float
     return rows.select("recording", "ord", "floor", (1.0 / (1.0 + F.exp(-(F.col("level") - threshold) / 2.0))).alias("probability"))
 
 
-def upsert_stream(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, interval: str = "15 seconds"):
-    """Start a stream that merges each micro-batch into a versioned table; a version is named by its batch, so a replayed batch gives the same one."""
+def upsert_stream(stream: DataFrame, table: BucketedTable, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, interval: str = "15 seconds"):
+    """Start a stream that merges each micro-batch into a table; a version is named by its batch, so a replayed batch changes nothing."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = None
-        if number > 0:
-            before = spark.read.parquet(f"{path}/version={number - 1}")
-        merge(before, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        table.upsert(batch, merge, number)
+        table.vacuum()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
 

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import random
 import zipfile
 from datetime import datetime, timedelta
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readlake.sources import readers as X
+from readlake.sources.tables import BucketedTable
 from readlake.streaming import sessions as R
 
 UPDATES = "reader bigint, book bigint, event_id bigint, ts timestamp, event string, position bigint"
@@ -124,11 +126,69 @@ def test_upserted_stream(spark, tmp_path):
         rows = batch if before is None else before.unionByName(batch)
         return rows.groupBy("k").agg(F.max_by("v", "ord").alias("v"), F.max("ord").alias("ord"))
 
-    run = lambda: R.upsert_stream(stream, f"{tmp_path}/t", merge, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    table = BucketedTable(spark, f"{tmp_path}/t", ["k"], buckets=8)
+    run = lambda: R.upsert_stream(stream, table, merge, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     run()
     spark.createDataFrame([(1, 9, 2), (2, 4, 0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b")
     run()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/t/version=1").collect()) == [(1, 9), (2, 5)]
+    assert table.versions() == [0, 1] and sorted((r.k, r.v) for r in table.read().collect()) == [(1, 9), (2, 5)]
+
+
+def test_upsert_writes_what_it_touches(spark, tmp_path):
+    """Bytes follow the batch, not the table; a crash between files and manifest loses nothing; a version that is there stays."""
+    keep_last = lambda before, batch: (batch if before is None else before.unionByName(batch)).groupBy("k").agg(F.max_by("v", "ord").alias("v"), F.max("ord").alias("ord")).where("v != -1")
+    frame = lambda rows: spark.createDataFrame(rows, "k bigint, v bigint, ord bigint")
+    table = BucketedTable(spark, f"{tmp_path}/t", ["k"], buckets=16)
+    assert table.read() is None
+    table.upsert(frame([(k, k, 0) for k in range(500)]), keep_last, 0)
+    files = lambda v: sorted(os.listdir(f"{tmp_path}/t/data/v={v}"))
+    assert len([f for f in files(0) if f.startswith("bucket=")]) == 16
+    table._commit, commit = lambda *a: (_ for _ in ()).throw(OSError("lost")), table._commit
+    with pytest.raises(OSError):
+        table.upsert(frame([(3, 77, 1), (4, 78, 1)]), keep_last, 1)
+    assert table.versions() == [0] and table.read().where("k = 3").first().v == 3
+    table._commit = commit
+    table.upsert(frame([(3, 30, 1)]), keep_last, 1)
+    assert [f for f in files(1) if f.startswith("bucket=")] == [f"bucket={k}" for k, v in table.manifest(1).items() if v == 1] and list(table.manifest(1).values()).count(1) == 1
+    table.upsert(frame([(3, 99, 2)]), keep_last, 1)
+    assert {r.k: r.v for r in table.read().collect()} == {k: k for k in range(500)} | {3: 30}
+    table.upsert(frame([(k, -1, 3) for k in range(500)]), keep_last, 2)
+    assert table.manifest(2) == {} and table.read() is None and table.read(1).count() == 500
+    table.upsert(frame([(7, 1, 1)]), keep_last, 3)
+    table.vacuum(keep=1)
+    assert table.versions() == [3] and [r.k for r in table.read().collect()] == [7] and sorted(os.listdir(f"{tmp_path}/t/data")) == ["v=3"]
+    with pytest.raises(ValueError):
+        BucketedTable(spark, f"{tmp_path}/t", ["k"], buckets=4).read()
+
+
+def test_stitched_stream_equals_batches(spark, tmp_path, no_idle_batches):
+    """Random splits over micro-batches; a batch that comes late is ignored."""
+    rnd = random.Random(3)
+    schema = "recording bigint, segment_start double, through double, tokens array<struct<text: string, start: double, end: double>>"
+    rows = []
+    for recording in range(6):
+        words, at = [rnd.choice("abcd") + rnd.choice("xyz") for _ in range(60)], 0
+        while at < 60:
+            n = rnd.randrange(3, 12)
+            drift = rnd.choice([0, 0.125, 0.25])
+            heard = [(words[k], k * 0.5 + drift, k * 0.5 + drift + 0.5) for k in range(max(0, at - 2), min(60, at + n))]
+            rows.append((recording, heard[0][1], heard[-1][2], heard))
+            at += n
+    want = sorted(map(tuple, R.stitch_batches(spark.createDataFrame(rows, schema)).collect()))
+    late = (0, 0.0, 1.0, [("late", 0.0, 1.0)])
+    turn, parts = {r: rnd.choice([1, 2]) for r in range(6)}, [[], [], []]
+    for recording in range(6):
+        own = sorted((r for r in rows if r[0] == recording), key=lambda r: r[2])
+        cuts = sorted(rnd.randrange(1, len(own) + 1) for _ in range(turn[recording]))
+        for k, r in enumerate(own):
+            parts[sum(k >= c for c in cuts)].append(r)
+    os.makedirs(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    for k, part in enumerate(parts):
+        spark.createDataFrame([*part, *([late] if k == 2 else [])], schema).coalesce(2).write.parquet(f"{tmp_path}/in/{k}")
+        R.stitch_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(a - b) < 1e-9 for g, w in zip(got, want) for a, b in zip(g[3:], w[3:])) and len(want) > 200
 
 
 def test_sidecars(spark, tmp_path):
