@@ -70,7 +70,7 @@ def spoken_characters(pieces: DataFrame, with_percent: bool = False) -> DataFram
     The characters of a reading share its base in proportion; a spoken percent sign hangs on the last character before it.
     """
     chars = F.filter(F.split("spoken", ""), lambda c: c != "")
-    rows = pieces.select("book", "ord", "k", F.col("start").alias("s"), "base", "percent", F.size(chars).alias("n"), F.posexplode(chars).alias("i", "c"))
+    rows = pieces.withColumn("chars", chars).withColumn("n", F.size("chars")).select("book", "ord", "k", F.col("start").alias("s"), "base", "n", F.posexplode("chars").alias("i", "c"))
     own = rows.select("book", "ord", "k", F.col("i").cast("bigint").alias("i"), F.col("c").alias("spoken"), F.expr("s + i * base div n").alias("start"), F.expr("s + ((i + 1) * base + n - 1) div n").alias("end"))
     if not with_percent:
         return own
