@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readlake.operators import alignment as A
+from readlake.operators import spellings as L
 from readlake.operators import transcript as S
 from readlake.plans.fixtures import table, updates
 from readlake.sources.staging import Staging
@@ -130,6 +131,15 @@ def j25_transcript_cues(spark, sf_dir):
     return S.align_transcript(*_misheard(spark, sf_dir))
 
 
+@query()
+def j25_spelling_cues(spark, sf_dir):
+    """Words in -ion are written with a reading, which is what is said for two of three of them."""
+    tokens, chapters = _misheard(spark, sf_dir)
+    read = F.regexp_replace("text", "([A-Za-z]+)ion", "Yon$1")
+    said = tokens.withColumn("text", F.when(F.col("ord") % 3 == 0, F.col("text")).otherwise(read))
+    return L.align_spellings(said, chapters.withColumn("text", F.regexp_replace("text", "([A-Za-z]+)ion", "<ruby>$1ion<rt>Yon$1</rt></ruby>")))
+
+
 @query("""WITH t AS (SELECT l_partkey AS book, CAST(pos AS BIGINT) AS pos, min(l_orderkey) AS seed FROM (SELECT *, (l_orderkey * 7 + l_linenumber * 3) % 300 AS pos FROM lineitem) GROUP BY 1, 2),
     u AS (SELECT *, pos * 0.25 + CASE WHEN seed % 5 = 0 THEN 2.0 ELSE 0 END AS start FROM t), v AS (SELECT *, start + 0.25 - CASE WHEN seed % 11 = 0 THEN 0.5 ELSE 0 END AS e FROM u),
     c AS (SELECT *, pos // 20 * 20 AS cue FROM v), l AS (SELECT *, pos - lag(pos) OVER w - 1 AS hole, lag(e) OVER w AS quiet FROM c WINDOW w AS (PARTITION BY book, cue ORDER BY pos)),
