@@ -83,11 +83,14 @@ def broken_chapters(spark, sf_dir) -> DataFrame:
     base AS (SELECT * FROM plain UNION ALL SELECT book, ord, true, 1, k, i, c, s + i * base // m, s + CAST(ceil((i + 1) * base / m) AS BIGINT) FROM own),
     after AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY book, ord, track ORDER BY k, i) >= "end", true) AS free FROM base),
     variants AS (SELECT b.book, b.ord, b.read, b.track, b.k, b.i, -1 AS j, b.c, b.start, b."end" FROM after b WHERE EXISTS (SELECT 1 FROM signs g WHERE g.book = b.book AND g.ord = b.ord)
-        UNION ALL SELECT b.book, b.ord, b.read, b.track, b.k, b.i, j, 'ぱーせんと'[j + 1], "end" - 1, "end" FROM after b JOIN signs g USING (book, ord, "end"), range(5) r(j) WHERE free)
-    SELECT book, ord, track, CAST(NULL AS INTEGER) AS variant_of, row_number() OVER (PARTITION BY book, ord, track ORDER BY k, i) - 1 AS p, c, start, "end" FROM base
-    UNION ALL SELECT book, ord, track + 1 + read::INTEGER, track, row_number() OVER (PARTITION BY book, ord, track ORDER BY k, i, j) - 1, c, start, "end" FROM variants""")
+        UNION ALL SELECT b.book, b.ord, b.read, b.track, b.k, b.i, j, 'ぱーせんと'[j + 1], "end" - 1, "end" FROM after b JOIN signs g USING (book, ord, "end"), range(5) r(j) WHERE free),
+    lines AS (SELECT book, ord, track, CAST(NULL AS INTEGER) AS variant_of, k, i, -1 AS j, c, start, "end" FROM base UNION ALL SELECT book, ord, track + 1 + read::INTEGER, track, k, i, j, c, start, "end" FROM variants)
+    SELECT book, ord, track, variant_of, count(*) AS n, string_agg(c, '' ORDER BY k, i, j) AS text, md5(string_agg(start || '-' || "end", ',' ORDER BY k, i, j)) AS spans_md5 FROM lines GROUP BY book, ord, track, variant_of""")
 def t5_spoken_tracks(spark, sf_dir):
-    return K.spoken_tracks(broken_chapters(spark, sf_dir))
+    """A row for each track of a chapter: its text, and a digest of the source characters of each of its own."""
+    rows = K.spoken_tracks(broken_chapters(spark, sf_dir)).groupBy("book", "ord", "track", "variant_of").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("p", "c", "start", "end"))).alias("x"))
+    spans = F.array_join(F.transform("x", lambda e: F.concat_ws("-", e["start"], e["end"])), ",")
+    return rows.select("book", "ord", "track", "variant_of", "n", F.array_join(F.transform("x", lambda e: e["c"]), "").alias("text"), F.md5(spans.cast("binary")).alias("spans_md5"))
 
 
 #: White space in the SQL's pattern language.
