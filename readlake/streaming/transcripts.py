@@ -81,7 +81,7 @@ class TranscriptSession:
         touched = staging.keep(fresh.groupBy("book").agg(F.min("p").alias("from"), (F.max("p") + 1).alias("n")))
         told = self._state("characters", f"book {b}, p bigint, c string, start double, end double", version).join(touched.select("book", "from"), "book")
         tail = told.where(F.col("p") > F.col("from") - S.SEED).drop("from")
-        pairs = S.spoken_grams(tail.unionByName(fresh)).join(self.seeds, ["book", "gram"]).select("book", "w", "s", F.lit(S.SEED).alias("length"))
+        pairs = S.spoken_grams(tail.unionByName(fresh)).hint("merge").join(self.seeds, ["book", "gram"]).select("book", "w", "s", F.lit(S.SEED).alias("length"))
         known = self._state("stretches", f"book {b}, w bigint, s bigint, length int", version).join(touched.select("book", "from"), "book")
         open_ = F.col("s") + F.col("length") > F.col("from") - S.SEED
         grown = S.stretches_of(known.where(open_).drop("from").unionByName(pairs))
