@@ -166,12 +166,13 @@ def upload_summary(days: DataFrame, by: Sequence[str] = ("library", "folder")) -
     """Totals and speeds of a book's days, as they stand in the name of its uploaded file.
 
     The least speeds are a fold in input order in which a zero starts afresh; the greatest is that of the last speeds.  Weights are
-    whole seconds times characters; means are over days with time and are rounded up.
+    whole seconds times characters; means are over days with time and are rounded up.  Seconds are summed in whole milliseconds: what
+    is rounded up must not depend on the order of a sum.
     """
     row = F.struct("ord", F.col("minReadingSpeed").cast("bigint").alias("least"), F.col("altMinReadingSpeed").cast("bigint").alias("alt"))
     fold = lambda name: F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, x: F.when(acc > 0, F.least(acc, x[name])).otherwise(x[name]))
     out = days.groupBy(*by).agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), F.sum("charactersRead").alias("characters"), F.sum("readingTime").alias("seconds"), F.greatest(F.max("lastReadingSpeed"), F.lit(0)).cast("bigint").alias("max_speed"),
+        F.array_sort(F.collect_list(row)).alias("rows"), F.sum("charactersRead").alias("characters"), (F.sum(F.round(F.col("readingTime") * 1000).cast("bigint")) / 1000.0).alias("seconds"), F.greatest(F.max("lastReadingSpeed"), F.lit(0)).cast("bigint").alias("max_speed"),
         F.sum((F.col("readingTime") > 0).cast("bigint")).alias("n"), F.sum(F.col("readingTime").cast("bigint") * F.col("charactersRead")).alias("w"), F.max("lastStatisticModified").alias("modified"),
     )
     up = lambda a, b: F.when(F.col(b) > 0, F.ceil(a / F.col(b))).otherwise(0).cast("bigint")
