@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from readlake.functions import text as T
@@ -30,14 +32,20 @@ BREAKABLE = r"[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FF
 PERCENT = "ぱーせんと"
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def running(steps: pd.Series) -> pd.Series:
+    """Running sums of each row's array: a text's places are found in its own row, without a shuffle of its characters."""
+    return steps.map(lambda x: None if x is None else np.cumsum(x))
+
+
 def cue_boundaries(chapters: DataFrame, at_commas: bool = True) -> DataFrame:
     """(book, ord, at): counted characters of a chapter (book, ord, html) after which a cue may end; the last one always."""
     ends = one_of("".join(c for c in CUE_ENDS if at_commas or c not in COMMAS))
     visible = T.visible_text(F.col("html"), True)
     marked = F.regexp_replace(F.regexp_replace(visible, ends, "\n"), f"[^{T.COUNTED}\n]", "")
-    rows = chapters.select("book", "ord", F.posexplode(F.split(marked, "\n+")).alias("k", "part"))
-    to = F.sum(F.length("part")).over(Window.partitionBy("book", "ord").orderBy("k"))
-    return rows.withColumn("to", to).where("to > 0").select("book", "ord", (F.col("to") - 1).cast("bigint").alias("at")).distinct()
+    parts = F.filter(F.split(marked, "\n+"), lambda x: x != "")
+    to = running(F.transform(parts, lambda x: F.length(x).cast("bigint")))
+    return chapters.select("book", "ord", F.explode(to).alias("to")).select("book", "ord", (F.col("to") - 1).alias("at"))
 
 
 def spoken_pieces(chapters: DataFrame) -> DataFrame:
@@ -85,13 +93,17 @@ def owned_ranges(texts: DataFrame) -> DataFrame:
     Opening marks go with the character after them, trailing ones with the one before; marks that hang go with what they hang on:
     after white space, an opening mark or nothing with the next character, else with the one before.
     """
+    return _owned(texts).select("id", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "x")).select("id", F.col("i").cast("bigint").alias("i"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"))
+
+
+def _owned(texts: DataFrame) -> DataFrame:
+    """texts with the raw ranges of their counted characters as two arrays, starts and ends."""
     o, t, h = (one_of(x)[1:-1] for x in (OPENS, TRAILS, HANGS))
     unit = rf"(?:(?<![^{WHITE}])[{o}{h}]+|[{o}][{o}{h}]*)?[{T.COUNTED}][{t}{h}]*"
     pattern = F.lit(rf"(?s)([^{T.COUNTED}]*?)({unit})")
-    pairs = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("unit"))
-    rows = texts.select("id", F.posexplode(pairs).alias("i", "x")).select("id", "i", F.length("x.gap").alias("gap"), F.length("x.unit").alias("n"))
-    to = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("id").orderBy("i"))
-    return rows.select("id", F.col("i").cast("bigint").alias("i"), (to - F.col("n")).alias("start"), to.alias("end"))
+    sizes = lambda group: F.transform(F.regexp_extract_all("text", pattern, F.lit(group)), lambda x: F.length(x).cast("bigint"))
+    rows = texts.withColumn("ends", running(sizes(0))).withColumn("units", sizes(2))
+    return rows.withColumn("starts", F.zip_with("ends", "units", lambda end, n: end - n)).drop("units")
 
 
 def _sections(nodes: DataFrame) -> DataFrame:
@@ -110,26 +122,34 @@ def owned_ranges_of_nodes(nodes: DataFrame) -> DataFrame:
     Runs of marks go on from node to node; a node with a boundary before it begins anew.  A section between two boundaries (a
     paragraph) is one text, so no whole chapter is.
     """
-    sections = _sections(nodes).withColumn("key", F.struct("id", "section"))
-    owned = owned_ranges(sections.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key")
-    return owned.join(sections.select("key", "base", "first"), "key").select("key.id", (F.col("first") + F.col("i")).alias("i"), (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+    owned = _owned(_sections(nodes)).select("id", "base", "first", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "x"))
+    return owned.select("id", (F.col("first") + F.col("i")).alias("i"), (F.col("base") + F.col("x.starts")).alias("start"), (F.col("base") + F.col("x.ends")).alias("end"))
 
 
 def search_raw_ranges(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, hit, start, end) of hits (id, hit, at, length) in counted characters: the raw range from their first to their last one, without punctuation outside."""
     pieces = F.regexp_extract_all("text", F.lit(rf"(?s)[^{T.COUNTED}]*[{T.COUNTED}]"), F.lit(0))
-    rows = texts.select("id", F.posexplode(pieces).alias("i", "piece")).select("id", F.col("i").cast("bigint").alias("i"), F.sum(F.length("piece").cast("bigint")).over(Window.partitionBy("id").orderBy("i")).alias("to"))
-    wanted = hits.where("at >= 0 and length > 0").withColumn("last", F.col("at") + F.col("length") - 1)
-    first, last = rows.select("id", F.col("i").alias("at"), (F.col("to") - 1).alias("start")), rows.select("id", F.col("i").alias("last"), F.col("to").alias("end"))
-    return wanted.join(first, ["id", "at"]).join(last, ["id", "last"]).select("id", "hit", "start", "end")
+    asked = _asked(hits, "hit", texts).withColumn("ends", running(F.transform(pieces, lambda x: F.length(x).cast("bigint"))))
+    return _answered(asked.withColumn("starts", F.transform("ends", lambda end: end - 1)), "hit")
+
+
+def _asked(wanted: DataFrame, name: str, texts: DataFrame) -> DataFrame:
+    """texts (id, text) with all that is wanted of each (id, name, at, length) as an array: a text meets it once, before it has places."""
+    rows = wanted.where("at >= 0 and length > 0").select("id", F.struct(F.col(name), F.col("at").cast("bigint").alias("at"), (F.col("at") + F.col("length") - 1).cast("bigint").alias("last")).alias("x"))
+    return texts.select("id", "text").join(rows.groupBy("id").agg(F.collect_list("x").alias("asked")), "id")
+
+
+def _answered(asked: DataFrame, name: str) -> DataFrame:
+    """(id, name, start, end) of what is asked, from the starts and ends of each text; without those that end beyond it."""
+    n = F.size("ends")
+    inside = F.filter("asked", lambda x: x["last"] < n)
+    found = F.transform(inside, lambda x: F.struct(x[name].alias(name), F.get("starts", x["at"].cast("int")).alias("start"), F.get("ends", x["last"].cast("int")).alias("end")))
+    return asked.select("id", F.inline(found))
 
 
 def cue_raw_ranges(cues: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, cue, start, end) of cues (id, cue, at, length) in counted characters: the raw range of their characters with their punctuation."""
-    owned = owned_ranges(texts)
-    first = owned.select("id", F.col("i").alias("at"), "start")
-    last = owned.select("id", F.col("i").alias("last"), "end")
-    return cues.where("at >= 0 and length > 0").withColumn("last", F.col("at") + F.col("length") - 1).join(first, ["id", "at"]).join(last, ["id", "last"]).select("id", "cue", "start", "end")
+    return _answered(_owned(_asked(cues, "cue", texts)), "cue")
 
 
 def scan_boundary(char: Column, delimiters: str = "", only_japanese: bool = False) -> Column:
@@ -140,6 +160,12 @@ def scan_boundary(char: Column, delimiters: str = "", only_japanese: bool = Fals
     return out | ~char.rlike(f"^[{JAPANESE}]") if only_japanese else out
 
 
+def scan_boundaries(text: Column, delimiters: str = "", only_japanese: bool = False) -> Column:
+    """How many characters of a text are such boundaries, in one pass over it."""
+    marks = one_of(delimiters)[1:-1] if delimiters else ""
+    return F.regexp_count(text, F.lit(rf"[\s\x{{3000}}\x{{A0}}{marks}" + (f"[^{JAPANESE}]]" if only_japanese else "]")))
+
+
 def english_words(text: Column, delimiters: str = "") -> Column:
     """Words of English text: what lies between white space and scan ends, where marks between two letters or digits are part of a word."""
     inner, outer = one_of(IN_WORDS), one_of("".join(c for c in ENGLISH_ENDS if c not in IN_WORDS) + delimiters)
@@ -152,6 +178,11 @@ def may_break(text: Column) -> Column:
     return F.substring(text, F.lit(1), F.lit(1)).rlike(BREAKABLE)
 
 
+def breaks(text: Column) -> Column:
+    """Before how many characters of a text a line may break."""
+    return F.regexp_count(text, F.lit(BREAKABLE))
+
+
 def _is_kanji(c: str) -> bool:
     return "㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿" or c in "々〆ヶ〇" or ord(c) >= 0x20000
 

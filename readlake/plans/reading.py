@@ -161,9 +161,9 @@ def t9_search_ranges(spark, sf_dir):
     count(*) FILTER (regexp_matches(x, '[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')) AS breaks FROM ch WHERE x != '' GROUP BY id""".replace("\\\\", "\\"))
 def t10_scan_boundaries(spark, sf_dir):
     """How many characters of each document end a scan, of Japanese or of any text, and how many may begin a line."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.explode(F.filter(F.split(F.translate("text", "aeiou-", "あイう漢Ａー"), ""), lambda c: c != "")).alias("c"))
-    flags = d.select("id", P.scan_boundary(F.col("c"), ".,").alias("a"), P.scan_boundary(F.col("c"), ".,", True).alias("b"), P.may_break(F.col("c")).alias("k"))
-    return flags.groupBy("id").agg(F.count_if("a").alias("ends"), F.count_if("b").alias("foreign_ends"), F.count_if("k").alias("breaks"))
+    d = table(spark, sf_dir, "documents").where("text != ''").select(F.col("doc_id").alias("id"), F.translate("text", "aeiou-", "あイう漢Ａー").alias("text"))
+    n = d.select("id", P.scan_boundaries(F.col("text"), ".,").alias("a"), P.scan_boundaries(F.col("text"), ".,", True).alias("b"), P.breaks(F.col("text")).alias("k"))
+    return n.groupBy("id").agg(F.sum("a").alias("ends"), F.sum("b").alias("foreign_ends"), F.sum("k").alias("breaks"))
 
 
 @query(r"""WITH t AS (SELECT turn + conv_id * 1000 AS id, regexp_replace(text, 'e(n|s)', 'e''\1', 'g') || ' (x)-y z''' AS text FROM conversations WHERE text IS NOT NULL),

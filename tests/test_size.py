@@ -1,7 +1,9 @@
 """Plans stay within memory: what is exploded is joined by shuffles, whatever its size is taken for."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from readlake.operators import reading as R
 from readlake.operators import transcript as S
 
 
@@ -19,3 +21,25 @@ def spoken(spark, text="one two three four five six seven eight nine ten"):
 def test_characters_are_not_broadcast(spark, of):
     df = of(*spoken(spark))
     assert "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_places_of_a_text_are_found_in_its_row(spark):
+    texts = spark.createDataFrame([(1, "a, b. (c) d"), (2, "x")], "id bigint, text string")
+    hits = spark.createDataFrame([(1, 5, 1, 2), (1, 6, 3, 2), (2, 5, 0, 1), (3, 5, 0, 1)], "id bigint, hit bigint, at bigint, length bigint")
+    found, cues = R.search_raw_ranges(hits, texts), R.cue_raw_ranges(hits.withColumnRenamed("hit", "cue"), texts)
+    nodes = spark.createDataFrame([(1, 0, True, "a「"), (1, 1, False, "b"), (1, 2, True, "c")], "id bigint, node bigint, boundary boolean, text string")
+    for df in (found, cues, R.owned_ranges(texts)):
+        assert "Window" not in plan_of(df)
+    assert "Join" not in plan_of(R.owned_ranges_of_nodes(nodes))
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 3, 8), (2, 5, 0, 1)]
+    assert sorted(map(tuple, cues.collect())) == [(1, 5, 3, 9), (2, 5, 0, 1)]
+    assert sorted(map(tuple, R.owned_ranges_of_nodes(nodes).collect())) == [(1, 0, 0, 1), (1, 1, 1, 3), (1, 2, 3, 4)]
+
+
+def test_boundaries_are_counted_in_the_row(spark):
+    chapters = spark.createDataFrame([(1, 1, "<p>one。two、、three</p>"), (1, 2, "<p>。</p>")], "book bigint, ord bigint, html string")
+    df = R.cue_boundaries(chapters)
+    assert "Exchange" not in plan_of(df)
+    assert sorted(map(tuple, df.collect())) == [(1, 1, 2), (1, 1, 5), (1, 1, 10)]
+    text = spark.createDataFrame([("ab あ.　漢",)], "text string")
+    assert tuple(text.select(R.scan_boundaries(F.col("text"), ".,"), R.scan_boundaries(F.col("text"), ".,", True), R.breaks(F.col("text"))).first()) == (3, 5, 3)
