@@ -69,12 +69,18 @@ def term_scan(texts: DataFrame, terms: DataFrame, frequencies: DataFrame, scan_l
 
     terms: (dict, dict_order, expression, reading, glossary); frequencies: (expression, value).
     """
-    prefixes = texts.select("text_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(scan_length), F.length("text")))).alias("length"), "text").where("length > 0").select("text_id", "length", F.substring("text", F.lit(1), F.col("length")).alias("expression"))
+    # texts that begin alike are scanned once, and of one expression's terms no more than max_results can be among the results
+    heads = texts.select("text_id", F.substring("text", 1, scan_length).alias("head")).where("head != ''")
+    prefixes = heads.select("head").distinct().select("head", F.explode(F.sequence(F.lit(1), F.length("head"))).alias("length"))
+    prefixes = prefixes.withColumn("expression", F.substring("head", F.lit(1), F.col("length")))
     best = frequencies.groupBy("expression").agg(F.min("value").alias("frequency"))
-    found = prefixes.join(terms, "expression").join(best, "expression", "left")
+    within = [F.asc("dict_order"), F.asc("reading"), F.asc("glossary")]
+    few = top_n_per_key(terms, ["expression"], within, max_results)
+    found = prefixes.join(few, "expression").join(best, "expression", "left")
     order = [F.desc("length"), F.asc_nulls_last("frequency"), F.asc("dict_order"), F.asc("expression"), F.asc("reading"), F.asc("glossary")]
-    place = F.row_number().over(Window.partitionBy("text_id").orderBy(*order)).cast("bigint")
-    return found.withColumn("place", place).where(F.col("place") <= max_results)
+    place = F.row_number().over(Window.partitionBy("head").orderBy(*order)).cast("bigint")
+    ranked = found.withColumn("place", place).where(F.col("place") <= max_results)
+    return heads.join(ranked, "head").select("text_id", *[c for c in ranked.columns if c != "head"])
 
 
 def kanji_lookup(characters: DataFrame, kanji: DataFrame) -> DataFrame:

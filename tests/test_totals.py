@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from readlake.operators import lookup as L
 from readlake.operators import statistics as S
 from readlake.plans import registered
 
@@ -29,3 +30,13 @@ def test_cues_that_start_together_weigh_ids_as_the_sql_does(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     want = con.execute("SELECT id FROM (" + sql["j11_cue_at"] + ")").fetchall()
     assert [tuple(r) for r in queries["j11_cue_at"](spark, str(tmp_path)).select("id").collect()] == want == [(900000000011,)]
+
+
+def test_term_scan_joins_no_more_terms_than_it_may_return(spark):
+    texts = spark.createDataFrame([(k, "ab") for k in range(40)], "text_id bigint, text string")
+    terms = spark.createDataFrame([("d", 1, "a", "r", f"{k:03d}") for k in range(200)] + [("d", 1, "ab", "r", "z")], "dict string, dict_order int, expression string, reading string, glossary string")
+    out = L.term_scan(texts, terms, spark.createDataFrame([("a", 3)], "expression string, value bigint"), 16, 3)
+    got = sorted((r["text_id"], r["place"], r["expression"], r["glossary"]) for r in out.collect())
+    assert got == [(t, p, e, g) for t in range(40) for p, e, g in ((1, "ab", "z"), (2, "a", "000"), (3, "a", "001"))]
+    limits = out._jdf.queryExecution().optimizedPlan().toString()
+    assert limits.count("row_number") > 1 and "WindowGroupLimit [expression" in limits
