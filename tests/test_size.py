@@ -1,8 +1,12 @@
 """Plans stay within memory: what is exploded is joined by shuffles, whatever its size is taken for."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from readlake.functions import text as T
+from readlake.operators import alignment as A
 from readlake.operators import reading as R
 from readlake.operators import transcript as S
 
@@ -43,3 +47,23 @@ def test_boundaries_are_counted_in_the_row(spark):
     assert sorted(map(tuple, df.collect())) == [(1, 1, 2), (1, 1, 5), (1, 1, 10)]
     text = spark.createDataFrame([("ab あ.　漢",)], "text string")
     assert tuple(text.select(R.scan_boundaries(F.col("text"), ".,"), R.scan_boundaries(F.col("text"), ".,", True), R.breaks(F.col("text"))).first()) == (3, 5, 3)
+
+
+def test_a_books_cues_are_gone_through_once(spark):
+    """No window frame that reaches to the end of a book, which is computed anew for each of its rows."""
+    cues = spark.createDataFrame([("a", k, f"line number {k}") for k in range(4)], "book string, ord bigint, text string")
+    found = A.align_cues(cues, spark.createDataFrame([("a", 0, "line number 0, line number 1, line number 2")], "book string, chapter bigint, text string"))
+    assert "unboundedfollowing" not in plan_of(found).lower() and found.count() == 3
+
+
+def test_only_places_by_index_and_by_search():
+    text = "".join(random.Random(2).choices("abc\0", k=3000))
+    cues = sorted({text[k : k + n].split("\0")[0] for k in range(0, 2990, 2) for n in (1, 3, 7, 8, 9, 20)} - {""}) + ["abcabcabcabcabcx"] * 3
+    assert len(text) * len(cues) > 1 << 22 > len(text)  # by index; one by one they are searched for
+    assert A._only_places(text, cues) == [A._only_places(text, [c])[0] for c in cues]
+
+
+def test_characters_that_count(spark):
+    rows = spark.createDataFrame([("".join(map(chr, range(k, k + 4096))),) for k in [*range(0, 0xD000, 4096), 0xE000, 0xF000, *range(0x10000, 0x32000, 4096)]], "t string")
+    one = F.regexp_replace("t", T.COUNTED_ONE, "")
+    assert rows.where((T.counted_text(F.col("t")) != F.regexp_replace("t", f"[^{T.COUNTED}]", "")) | (one != F.regexp_replace("t", f"[{T.COUNTED}]", ""))).count() == 0
