@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -217,46 +218,52 @@ PHRASE_DRIFT, WORD_DRIFT = 0.75, 0.25  # fixed values: seconds that a repeated p
 MEMORY = 1.0  # fixed value: seconds before a batch's end whose tokens the next one may repeat
 
 
-def repeated_prefix(known: pd.DataFrame, new: pd.DataFrame, heard_to: float) -> int:
+Token = tuple[str, float, float]  # text, start, end
+
+
+def repeated_prefix(known: list[Token], new: list[Token], heard_to: float) -> int:
     """How many leading tokens of new repeat the last ones of known."""
-    if not len(new) or not len(known) or new["start"].iat[0] >= heard_to:
+    if not new or not known or new[0][1] >= heard_to:
         return 0
-    old, texts = known["text"].tolist(), new["text"].tolist()
-    drift = np.abs(known["start"].to_numpy() - new["start"].iat[0])[::-1]  # by number of tokens that would be repeated
-    symbols = [len(set("".join(texts[:n]))) for n in range(1, min(len(old), len(texts)) + 1)]
-    fits = [n for n, (d, k) in enumerate(zip(drift.tolist(), symbols), 1) if d <= (PHRASE_DRIFT if n > 1 and k > 1 else WORD_DRIFT) and old[-n:] == texts[:n]]
-    return max(fits, default=0)
+    begin, symbols, most = new[0][1], set(), 0
+    for n in range(1, min(len(known), len(new)) + 1):
+        symbols.update(new[n - 1][0])
+        drift = abs(known[-n][1] - begin)
+        if drift <= (PHRASE_DRIFT if n > 1 and len(symbols) > 1 else WORD_DRIFT) and all(a[0] == b[0] for a, b in zip(known[-n:], new)):
+            most = n
+    return most
 
 
-def spread(new: pd.DataFrame, heard_to: float, through: float) -> pd.DataFrame:
+def spread(new: list[Token], heard_to: float) -> list[tuple[str, float, float, float, float]]:
     """new with at and to: its own times, but tokens that would begin before heard_to share the time from there to the first that begins later."""
-    late = np.flatnonzero(new["start"].to_numpy() > heard_to)
-    crowd = 0 if not len(new) or new["start"].iat[0] >= heard_to else int(late[0]) if len(late) else len(new)
-    at, to = new["start"].to_numpy(float).copy(), new["end"].to_numpy(float).copy()
-    if crowd:
-        limit = at[crowd] if crowd < len(new) else to[-1]
-        edges = heard_to + (limit - heard_to) * np.arange(crowd + 1) / crowd
-        at[:crowd], to[:crowd] = edges[:-1], edges[1:]
-    return new.assign(at=at, to=to)
+    crowd = 0
+    if new and new[0][1] < heard_to:
+        crowd = next((k for k, (_, start, _) in enumerate(new) if start > heard_to), len(new))
+    if not crowd:
+        return [(*t, t[1], t[2]) for t in new]
+    limit = new[crowd][1] if crowd < len(new) else new[-1][2]
+    edges = [heard_to + (limit - heard_to) * k / crowd for k in range(crowd + 1)]
+    return [(*t, edges[k], edges[k + 1]) if k < crowd else (*t, t[1], t[2]) for k, t in enumerate(new)]
 
 
 class Heard:
     """What stitching keeps of a recording: the last tokens, and where the next ones may begin."""
 
-    def __init__(self, begin: float, heard_to: float | None = None, known: list[tuple[str, float, float]] = ()):
+    def __init__(self, begin: float, heard_to: float | None = None, known: Iterable[Token] = ()):
         self.begin, self.heard_to = begin, begin if heard_to is None else heard_to
-        self.known = pd.DataFrame([*known], columns=["text", "start", "end"]).astype({"text": object, "start": float, "end": float})
+        self.known: list[Token] = [tuple(t) for t in known]
 
-    def accept(self, segment_start: float, through: float, tokens: Iterable, first: bool, crowded: bool = True) -> pd.DataFrame:
-        """The tokens of the next batch that are new, with at and to; crowded: whether they may have to share their time."""
-        new = pd.DataFrame([(t["text"], t["start"], t["end"]) for t in tokens], columns=["text", "start", "end"])
-        new = new[new["start"] >= self.begin] if first else new.iloc[repeated_prefix(self.known[self.known["end"] >= segment_start], new, self.heard_to) :]
-        new = spread(new, self.heard_to if crowded else -np.inf, through)
-        new = new[new["to"] > new["at"]]
-        known = pd.concat([self.known, new[["text", "start", "end"]]]) if len(self.known) else new[["text", "start", "end"]]
-        self.known = known[known["end"] >= through - MEMORY]
-        self.heard_to = max([self.heard_to, *new["to"].tolist()])
-        return new
+    def accept(self, segment_start: float, through: float, tokens: Iterable, first: bool, crowded: bool = True) -> list[tuple[str, float, float, float, float]]:
+        """The tokens (text, start, end, at, to) of the next batch that are new; crowded: whether they may have to share their time."""
+        new = [(t["text"], t["start"], t["end"]) for t in tokens]
+        if first:
+            new = [t for t in new if t[1] >= self.begin]
+        else:
+            new = new[repeated_prefix([t for t in self.known if t[2] >= segment_start], new, self.heard_to) :]
+        out = [t for t in spread(new, self.heard_to if crowded else -math.inf) if t[4] > t[3]]
+        self.known = [t for t in [*self.known, *(x[:3] for x in out)] if t[2] >= through - MEMORY]
+        self.heard_to = max([self.heard_to, *(t[4] for t in out)])
+        return out
 
 
 def stitch_stream(batches: DataFrame, start: float = 0.0, idle_ms: int = DAY_MS) -> DataFrame:
@@ -279,9 +286,10 @@ def stitch_stream(batches: DataFrame, start: float = 0.0, idle_ms: int = DAY_MS)
                 continue
             new = heard.accept(row.segment_start, row.through, row.tokens, not begun)
             begun, through = True, float(row.through)
-            out.append(pd.DataFrame({"recording": key[0], "ord": n + np.arange(len(new)), "text": new["text"].to_numpy(), "start": new["at"].to_numpy(), "end": new["to"].to_numpy()}))
+            if new:
+                out.append(pd.DataFrame([(key[0], n + k, text, at, to) for k, (text, _, _, at, to) in enumerate(new)], columns=["recording", "ord", "text", "start", "end"]))
             n += len(new)
-        state.update((json.dumps([begun, through, n, float(heard.heard_to), heard.known[["text", "start", "end"]].to_numpy().tolist()]),))
+        state.update((json.dumps([begun, through, n, float(heard.heard_to), heard.known]),))
         state.setTimeoutDuration(idle_ms)
         yield from out
 
@@ -304,15 +312,24 @@ def stitch_batches(batches: DataFrame, start: float = 0.0) -> DataFrame:
     rows = rows.withColumn("first", first).withColumn("apart", fresh | F.col("first"))
     rows = rows.withColumn("stretch", F.sum(F.col("apart").cast("bigint")).over(order))
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        heard, out = Heard(start), []
-        for k, row in enumerate(pdf.sort_values("through").itertuples(index=False)):
-            new = heard.accept(row.segment_start, row.through, row.tokens, row.first, k > 0 or row.first)
-            out.append(new.assign(through=row.through, k=np.arange(len(new))))
-        out = pd.concat(out)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "through": out["through"], "k": out["k"], "text": out["text"], "start": out["at"], "end": out["to"]})
-
-    found = rows.select("recording", "stretch", "first", "segment_start", "through", "tokens").groupBy("recording", "stretch").applyInPandas(stitch, "recording bigint, through double, k bigint, text string, start double, end double")
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a stretch follow each other, and many stretches share a task: a call for each would cost more than its work."""
+        last, heard = None, Heard(start)
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for row in rows:
+                key = (row["recording"], row["stretch"])
+                begins = key != last
+                if begins:
+                    last, heard = key, Heard(start)
+                new = heard.accept(row["segment_start"], row["through"], row["tokens"], row["first"], not begins or row["first"])
+                out += [(key[0], row["through"], k, text, at, to) for k, (text, _, _, at, to) in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 6, types)], names)
+
+    names, types = ["recording", "through", "k", "text", "start", "end"], [pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
+    rows = rows.select(F.col("recording").cast("bigint").alias("recording"), "stretch", "first", F.col("segment_start").cast("double").alias("segment_start"), F.col("through").cast("double").alias("through"), "tokens")
+    found = rows.repartition("recording").sortWithinPartitions("recording", "through").mapInArrow(stitch, "recording bigint, through double, k bigint, text string, start double, end double")
     place = F.row_number().over(Window.partitionBy("recording").orderBy("through", "k")) - 1
     return found.select("recording", place.cast("bigint").alias("ord"), "text", "start", "end")
 

@@ -9,6 +9,7 @@ from readlake.functions import text as T
 from readlake.operators import alignment as A
 from readlake.operators import reading as R
 from readlake.operators import transcript as S
+from readlake.streaming import sessions as R2
 
 
 def plan_of(df):
@@ -53,12 +54,12 @@ def test_a_books_cues_are_gone_through_once(spark):
     """No window frame that reaches to the end of a book, which is computed anew for each of its rows."""
     cues = spark.createDataFrame([("a", k, f"line number {k}") for k in range(4)], "book string, ord bigint, text string")
     found = A.align_cues(cues, spark.createDataFrame([("a", 0, "line number 0, line number 1, line number 2")], "book string, chapter bigint, text string"))
-    assert "unboundedfollowing" not in plan_of(found).lower() and found.count() == 3
+    assert "rowframe, 1, unboundedfollowing" not in plan_of(found).lower() and found.count() == 3
 
 
 def test_only_places_by_index_and_by_search():
-    text = "".join(random.Random(2).choices("abc\0", k=3000))
-    cues = sorted({text[k : k + n].split("\0")[0] for k in range(0, 2990, 2) for n in (1, 3, 7, 8, 9, 20)} - {""}) + ["abcabcabcabcabcx"] * 3
+    text = "".join(random.Random(2).choices("abc\0", k=9000))
+    cues = sorted({text[k : k + n].split("\0")[0] for k in range(0, 8990, 2) for n in (1, 3, 7, 8, 9, 20)} - {""}) + ["abcabcabcabcabcx"] * 3
     assert len(text) * len(cues) > 1 << 22 > len(text)  # by index; one by one they are searched for
     assert A._only_places(text, cues) == [A._only_places(text, [c])[0] for c in cues]
 
@@ -67,3 +68,12 @@ def test_characters_that_count(spark):
     rows = spark.createDataFrame([("".join(map(chr, range(k, k + 4096))),) for k in [*range(0, 0xD000, 4096), 0xE000, 0xF000, *range(0x10000, 0x32000, 4096)]], "t string")
     one = F.regexp_replace("t", T.COUNTED_ONE, "")
     assert rows.where((T.counted_text(F.col("t")) != F.regexp_replace("t", f"[^{T.COUNTED}]", "")) | (one != F.regexp_replace("t", f"[{T.COUNTED}]", ""))).count() == 0
+
+
+def test_stretches_share_a_task(spark):
+    """Many short recordings are stitched without a group, and so a call, for each."""
+    token = "array<struct<text:string,start:double,end:double>>"
+    rows = [(r, float(k), k + 1.5, [("a", float(k), k + 0.5), ("b", k + 1.0, k + 1.5)] if k else [("x", 0.0, 0.5), ("a", 1.0, 1.5)]) for r in range(3) for k in range(2)]
+    found = R2.stitch_batches(spark.createDataFrame(rows, f"recording bigint, segment_start double, through double, tokens {token}"))
+    assert "FlatMapGroupsInPandas" not in plan_of(found)
+    assert sorted(map(tuple, found.where("recording = 1").collect())) == [(1, 0, "x", 0.0, 0.5), (1, 1, "a", 1.0, 1.5), (1, 2, "b", 2.0, 2.5)]
