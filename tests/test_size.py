@@ -77,3 +77,11 @@ def test_stretches_share_a_task(spark):
     found = R2.stitch_batches(spark.createDataFrame(rows, f"recording bigint, segment_start double, through double, tokens {token}"))
     assert "FlatMapGroupsInPandas" not in plan_of(found)
     assert sorted(map(tuple, found.where("recording = 1").collect())) == [(1, 0, "x", 0.0, 0.5), (1, 1, "a", 1.0, 1.5), (1, 2, "b", 2.0, 2.5)]
+
+
+def test_pieces_are_made_once(spark):
+    pieces = R.spoken_pieces(spark.createDataFrame([("b", 0, "<p>ab<ruby>cd<rt>xyz</rt></ruby>5%</p>")], "book string, ord bigint, html string"))
+    found = R.spoken_characters(pieces, with_percent=True)
+    assert "Union" not in plan_of(found)
+    want = [(0, "a", 0, 1), (1, "b", 1, 2), (0, "x", 2, 3), (1, "y", 2, 4), (2, "z", 3, 4), (0, "5", 4, 5), *[(1 + k, c, 4, 5) for k, c in enumerate("ぱーせんと")]]
+    assert [tuple(r)[3:] for r in found.orderBy("k", "i").collect()] == want
