@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readlake.functions import text as T
 from readlake.operators import alignment as A
 from readlake.operators import reading as R
+from readlake.operators import tracks as K
 from readlake.operators import transcript as S
 from readlake.streaming import sessions as R2
 
@@ -85,3 +86,11 @@ def test_pieces_are_made_once(spark):
     assert "Union" not in plan_of(found)
     want = [(0, "a", 0, 1), (1, "b", 1, 2), (0, "x", 2, 3), (1, "y", 2, 4), (2, "z", 3, 4), (0, "5", 4, 5), *[(1 + k, c, 4, 5) for k, c in enumerate("ぱーせんと")]]
     assert [tuple(r)[3:] for r in found.orderBy("k", "i").collect()] == want
+
+
+def test_tracks_are_kept_in_pieces(spark):
+    """A query of whole tracks joins pieces: no shuffle has a row for each character, and no pattern is in the plan of the last step."""
+    pieces = K.spoken_pieces(spark.createDataFrame([("b", 0, "<p>ab<ruby>cd<rt>xyz</rt></ruby>5%</p>")], "book string, ord bigint, html string"))
+    assert "Generate posexplode" not in plan_of(pieces) and "regexp" not in plan_of(pieces)
+    found = sorted((r.track, r.p, "".join(e.c for e in r.x)) for r in pieces.collect() if r.x)
+    assert found == [(0, 0, "abcd5"), (1, 0, "ab"), (1, 2, "xyz"), (1, 5, "5"), (2, 0, "abcd5ぱーせんと"), (3, 0, "ab"), (3, 2, "xyz"), (3, 5, "5ぱーせんと")]
