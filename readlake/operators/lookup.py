@@ -50,13 +50,29 @@ def rank_audio(requests: DataFrame, entries: DataFrame, source_order: DataFrame,
     order = [F.col("rank"), place, F.coalesce("reading", F.lit("")), F.col("source"), F.col("file")]
     ranked = both.withColumn("rank", rank)
     if every:
-        first = top_n_per_key(ranked, ["term", "wanted", "source", "file"], order, 1)
-        best = first.withColumn("n", F.row_number().over(Window.partitionBy("term", "wanted").orderBy(*order)).cast("bigint"))
+        best = _numbered(_first_of_file(ranked, order), place)
     else:
         best = top_n_per_key(ranked, ["term", "wanted"], order, 1)
     return asked.join(best, ["term", "wanted"])
 
 
+def _first_of_file(ranked: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The first row of each file of a question; told by what stands before it, since a limit by rank would also sort what the join makes, in the join's task."""
+    before = F.lag(F.lit(True)).over(Window.partitionBy("term", "wanted", "source", "file").orderBy(*order))
+    return ranked.withColumn("again", before.isNotNull()).where("not again").drop("again")
+
+
+def _numbered(first: DataFrame, place: Column) -> DataFrame:
+    """n of each row of its question, by rank, place, reading, source and file: rows are sorted within one reading of a source, and readings by their counts."""
+    rows = first.withColumn("__place", place).withColumn("__reading", F.coalesce("reading", F.lit("")))
+    rows = rows.withColumn("__named", F.col("source").isNotNull()).withColumn("__source", F.coalesce("source", F.lit("")))
+    key = ["term", "wanted", "rank", "__place", "__reading", "__named", "__source"]
+    parts = rows.groupBy(*key).agg(F.count("*").alias("__size"))
+    parts = parts.withColumn("__before", F.sum("__size").over(Window.partitionBy("term", "wanted").orderBy(*key[2:])) - F.col("__size")).drop("__size")
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("file")).cast("bigint")
+    return rows.withColumn("__within", within).join(parts, key).withColumn("n", F.col("__before") + F.col("__within")).drop(*key[3:], "__before", "__within")
+
+
 def repair_order(current: DataFrame, available: DataFrame, priority: DataFrame) -> DataFrame:
     """Source order after a change: known sources in their order, then new ones by built-in priority and name."""
     kept = available.join(current, "source").select("source", F.struct(F.lit(0).alias("g"), F.col("place").cast("bigint").alias("p"), F.col("source").alias("s")).alias("k"))

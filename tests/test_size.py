@@ -1,12 +1,14 @@
 """Plans stay within memory: what is exploded is joined by shuffles, whatever its size is taken for."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from readlake.functions import text as T
 from readlake.operators import alignment as A
+from readlake.operators import lookup as L
 from readlake.operators import reading as R
 from readlake.operators import tracks as K
 from readlake.operators import transcript as S
@@ -94,3 +96,15 @@ def test_tracks_are_kept_in_pieces(spark):
     assert "Generate posexplode" not in plan_of(pieces) and "regexp" not in plan_of(pieces)
     found = sorted((r.track, r.p, "".join(e.c for e in r.x)) for r in pieces.collect() if r.x)
     assert found == [(0, 0, "abcd5"), (1, 0, "ab"), (1, 2, "xyz"), (1, 5, "5"), (2, 0, "abcd5ぱーせんと"), (3, 0, "ab"), (3, 2, "xyz"), (3, 5, "5ぱーせんと")]
+
+
+def test_all_audio_is_numbered_in_parts(spark):
+    """No limit by rank sorts what the join makes in its own task, and no window holds all rows of a question."""
+    kind = "source string, expression string, reading string, file string"
+    rows = [("s1", "t", "r", "b.mp3"), ("s2", "t", "r", "a.mp3"), ("s1", "t", None, "b.mp3"), ("s1", "u", "r", "c.mp3"), ("s2", "u", "r", "a.mp3"), ("s3", "t", "x", "d.ogg"), ("s3", "t", "x", "c.ogg"), ("s1", "t", "r", "b.mp3")]
+    asked = spark.createDataFrame([(1, "t", "r"), (2, "t", None), (3, "u", " ")], "request_id bigint, term string, reading string")
+    found = L.rank_audio(asked, spark.createDataFrame(rows, kind), spark.createDataFrame([("s2", 1), ("s1", 2)], "source string, place bigint"), every=True)
+    assert "WindowGroupLimit" not in plan_of(found)
+    assert not re.search(r"row_number\(\) windowspecdefinition\(term#\d+, wanted#\d+, rank#\d+ ASC", plan_of(found))
+    got = sorted((r.request_id, r.n, r.source, r.file, r["rank"]) for r in found.collect())
+    assert got == [(1, 1, "s2", "a.mp3", 0), (1, 2, "s1", "b.mp3", 0), (1, 3, "s1", "c.mp3", 1), (1, 4, "s3", "c.ogg", 2), (1, 5, "s3", "d.ogg", 2), (2, 1, "s2", "a.mp3", 0), (2, 2, "s1", "b.mp3", 0), (2, 3, "s3", "c.ogg", 0), (2, 4, "s3", "d.ogg", 0), (3, 1, "s2", "a.mp3", 0), (3, 2, "s1", "c.mp3", 0)]
