@@ -108,3 +108,11 @@ def test_all_audio_is_numbered_in_parts(spark):
     assert not re.search(r"row_number\(\) windowspecdefinition\(term#\d+, wanted#\d+, rank#\d+ ASC", plan_of(found))
     got = sorted((r.request_id, r.n, r.source, r.file, r["rank"]) for r in found.collect())
     assert got == [(1, 1, "s2", "a.mp3", 0), (1, 2, "s1", "b.mp3", 0), (1, 3, "s1", "c.mp3", 1), (1, 4, "s3", "c.ogg", 2), (1, 5, "s3", "d.ogg", 2), (2, 1, "s2", "a.mp3", 0), (2, 2, "s1", "b.mp3", 0), (2, 3, "s3", "c.ogg", 0), (2, 4, "s3", "d.ogg", 0), (3, 1, "s2", "a.mp3", 0), (3, 2, "s1", "c.mp3", 0)]
+
+
+def test_runs_are_sorted_once(spark):
+    timed = spark.createDataFrame([(1, k, float(k), k + 1.0) for k in (0, 1, 2, 5, 9)], "book bigint, at bigint, start double, end double")
+    cues = spark.createDataFrame([(1, 0, 0, 20)], "book bigint, chapter bigint, cue_low bigint, cue_high bigint")
+    found = S.cut_cues(timed, cues, timed)
+    assert not re.search(r"Sort \[[^\]]*run#\d+ ASC NULLS FIRST\]", plan_of(found))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 3, 0.0, 3.0), (1, 0, 5, 1, 5.0, 6.0), (1, 0, 9, 1, 9.0, 10.0)]
