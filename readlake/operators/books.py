@@ -172,19 +172,23 @@ def loose_brackets(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(only, ""), lambda c: c != ""), start, step)
 
 
-def sentence_around(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Bounds of the sentence around [start, end): back to a sentence end, on to the next with closers after it, trimmed.
+def with_sentences(rows: DataFrame) -> DataFrame:
+    """Rows (text, start, end, ...) with first and last, bounds of the sentence around [start, end): back to a sentence end, on to the next with closers after it, trimmed.
 
     Brackets without a partner go where they stand at its very beginning, or at its end but for sentence ends; then it is trimmed again.
+    Steps that are used more than once are columns, so that they are worked out once a row, and no pattern is tried from every place.
     """
-    before = F.substring(text, F.lit(1), start)
-    after = F.substring(text, end + 1, F.length(text))
-    lead = F.ltrim(F.regexp_extract(before, f"({one_of(SENTENCE_ENDS, but=True)}*)$", 1), F.lit(_BLANK))
-    trail = F.rtrim(F.regexp_extract(after, f"^{one_of(SENTENCE_ENDS, but=True)}*({one_of(SENTENCE_ENDS)}{one_of(CLOSERS)}*)?", 0), F.lit(_BLANK))
-    loose = loose_brackets(F.concat(lead, F.substring(text, start + 1, end - start), trail))
+    text, start, end = F.col("text"), F.col("start"), F.col("end")
+    # what stands before is read backwards from the hit
+    before = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start)), f"^{one_of(SENTENCE_ENDS, but=True)}*", 0))
+    after = F.regexp_extract(F.substring(text, end + 1, F.length(text)), f"^{one_of(SENTENCE_ENDS, but=True)}*({one_of(SENTENCE_ENDS)}{one_of(CLOSERS)}*)?", 0)
+    rows = rows.withColumns({"__lead": F.ltrim(before, F.lit(_BLANK)), "__trail": F.rtrim(after, F.lit(_BLANK))})
+    lead, trail, loose = F.col("__lead"), F.col("__trail"), F.col("__loose")
+    rows = rows.withColumn("__loose", loose_brackets(F.concat(lead, F.substring(text, start + 1, end - start), trail)))
     # the beginning goes as far as it spells the loose opening brackets
     spelled = F.transform(F.split(loose["opened"], ""), lambda c, i: F.substring(lead, i + 1, F.lit(1)) == c)
-    wrong = F.array_position(spelled, F.lit(False)).cast("int")
+    rows = rows.withColumn("__wrong", F.array_position(spelled, F.lit(False)).cast("int"))
+    wrong = F.col("__wrong")
     cut = F.when(loose["opened"] == "", 0).otherwise(F.when(wrong == 0, F.length(loose["opened"])).otherwise(wrong - 1))
 
     def back(state: Column, c: Column) -> Column:
@@ -202,12 +206,13 @@ def sentence_around(text: Column, start: Column, end: Column) -> tuple[Column, C
     gone = F.aggregate(F.filter(F.split(F.reverse(tail), ""), lambda c: c != ""), at_end, back)["gone"]
     kept_lead = F.ltrim(F.substring(lead, cut + 1, F.length(lead)), F.lit(_BLANK))
     kept_trail = F.rtrim(F.substring(trail, F.lit(1), F.length(trail) - gone), F.lit(_BLANK))
-    return start - F.length(kept_lead), end + F.length(kept_trail)
+    return rows.withColumn("first", start - F.length(kept_lead)).withColumn("last", end + F.length(kept_trail)).drop("__lead", "__trail", "__loose", "__wrong")
 
 
 _BLANK = " \t\n\x0b\x0c\r\u3000\xa0"
 GRAMS = (8, 3, 2, 1)  # sizes of the strings by which queries find paragraphs
 FEW_GRAMS = 1_000_000  # 8 MB
+PLACES = 21  # 2 MB of marks
 
 
 def folded(text: Column) -> Column:
@@ -227,15 +232,31 @@ def gram_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[inside].view(np.int64), text[inside]
 
 
+def places(grams: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes in a table of 2 ** PLACES marks."""
+    return ((grams.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - PLACES)).view(np.int64)
+
+
+def marked(grams: np.ndarray) -> np.ndarray:
+    """The table with the places of some hashes marked: what is not marked is none of them."""
+    table = np.zeros(1 << PLACES, bool)
+    table[places(grams)] = True
+    return table
+
+
 def gram_rows(rows: DataFrame, key: str, text: str, size: int, among: np.ndarray | None = None) -> DataFrame:
     """(key, gram): distinct hashes of the strings of size characters of a text, those among some sorted ones if given.
 
     In Arrow batches, since built-in functions go through a text character by character in an interpreted lambda.
     """
+    some = None if among is None or not len(among) else marked(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, of = gram_hashes(batch.column(1).to_pylist(), size)
+            if some is not None:  # most grams are not even in a marked place
+                near = np.flatnonzero(some[places(grams)])
+                grams, of = grams[near], of[near]
             if among is not None:
                 at = np.minimum(np.searchsorted(among, grams), len(among) - 1)
                 grams, of = (x[among[at] == grams] for x in (grams, of))
@@ -296,8 +317,7 @@ def search(lines: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id", "book").orderBy("ord", "line", "start"))
     hits = hits.withColumn("place", place).where(F.col("place") <= min(most, 100)).drop("place")
     counted = lambda s: F.length(T.counted_text(s)).cast("bigint")
-    first, last = sentence_around(F.col("text"), F.col("start"), F.col("end"))
-    hits = hits.withColumn("first", first).withColumn("last", last)
+    hits = with_sentences(hits)
     return hits.select(
         "query_id", "book", "ord", "line", "start", (F.col("character") + counted(F.substring("text", F.lit(1), F.col("start")))).alias("character"), F.substring("text", F.col("first") + 1, F.col("last") - F.col("first")).alias("snippet"),
         (F.col("start") - F.col("first")).cast("bigint").alias("snippet_start"), (F.col("end") - F.col("first")).cast("bigint").alias("snippet_end"), counted(F.substring("text", F.col("start") + 1, F.length("needle"))).alias("match_length"),

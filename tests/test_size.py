@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from readlake.functions import text as T
 from readlake.operators import alignment as A
+from readlake.operators import books as B
 from readlake.operators import lookup as L
 from readlake.operators import reading as R
 from readlake.operators import tracks as K
@@ -116,3 +118,23 @@ def test_runs_are_sorted_once(spark):
     found = S.cut_cues(timed, cues, timed)
     assert not re.search(r"Sort \[[^\]]*run#\d+ ASC NULLS FIRST\]", plan_of(found))
     assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 3, 0.0, 3.0), (1, 0, 5, 1, 5.0, 6.0), (1, 0, 9, 1, 9.0, 10.0)]
+
+
+def test_sentences_are_found_in_steps(spark):
+    """A sentence begins behind the carriage return right before its hit, and a long line without a sentence end is gone through once."""
+    rows = spark.createDataFrame([("abc\rneedle here. x", 4, 10), ("a. b (c needle d) e! f", 8, 14), ("ab " * 60000 + "needle", 180000, 180006)], "text string, start int, end int")
+    found = B.with_sentences(rows)
+    assert [(r.text[r["first"] : r["last"]] if r.start < 100 else (r["first"], r["last"])) for r in found.orderBy("start").collect()] == ["needle here.", "b (c needle d) e!", (0, 180006)]
+
+
+def test_grams_are_told_by_marks(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("abcdefgh", k=200)) for _ in range(50)]
+    for size in B.GRAMS:
+        some = np.unique(B.gram_hashes(texts[:3], size)[0])
+        all_ = B.gram_hashes(texts, size)[0]
+        near = B.marked(some)[B.places(all_)]
+        assert near[np.isin(all_, some)].all() and (size < 8 or near.sum() < 1.1 * np.isin(all_, some).sum())
+        rows = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+        got = sorted(map(tuple, B.gram_rows(rows, "k", "t", size, some).collect()))
+        assert got == sorted({(k, int(g)) for k, t in enumerate(texts) for g in B.gram_hashes([t], size)[0] if g in some})
