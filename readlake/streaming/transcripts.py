@@ -4,7 +4,7 @@ State lives in a folder, with a subfolder for each table and version (batch).  A
 `heads` names the version that holds each book; it is written last, so a version without it never counts and a batch that is run
 again writes the same rows anew.  For a touched book,
 
-- only new characters, and the last few before them, are looked up among the seeds of the text;
+- only new characters, and the last few before them, are looked up among the seeds of the text, which are made anew;
 - a stretch is joined anew only if it reaches those; the others are copied;
 - the chain of stretches is chosen again, which is a fold over one row a stretch;
 - only gaps whose bounds or whose neighbours' reach have changed are repaired again.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from readlake.operators import transcript as S
 from readlake.sources.staging import Staging
@@ -28,13 +29,12 @@ class TranscriptSession:
         self.spark: SparkSession = chapters.sparkSession
         self.folder = folder.rstrip("/")
         self.kind = chapters.schema["book"].dataType.simpleString()
-        if not self._exists("text/cues"):  # the text does not change: it is cut, indexed and written once
+        if not self._exists("text/cues"):  # the text does not change: it is cut and written once
             written = self._write(S.written_chapters(chapters), "text/written")
-            self._write(S.written_seeds(written), "text/seeds")
             self._write(S.ends_of(chapters, written, False), "text/sentences")
             ends = self._write(S.ends_of(chapters, written, True), "text/ends")
             self._write(S.cue_intervals(ends, written), "text/cues")
-        self.written, self.seeds, self.sentences, self.ends, self.intervals = (self._read(f"text/{n}") for n in ("written", "seeds", "sentences", "ends", "cues"))
+        self.written, self.sentences, self.ends, self.intervals = (self._read(f"text/{n}") for n in ("written", "sentences", "ends", "cues"))
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -61,7 +61,7 @@ class TranscriptSession:
         """Rows of a table as of the versions below one: of each book those of its latest version, or of all versions where rows only add up."""
         committed = [v for v in self.versions() if v < before]
         if not committed:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])  # without a task in Python
         rows = self.spark.read.schema(f"{schema}, v int").option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/v={v}" for v in committed])
         if name == "characters":
             return rows.drop("v")
@@ -76,12 +76,13 @@ class TranscriptSession:
         b = self.kind
         staging = Staging(self.spark)
         heads = self._state("heads", f"book {b}, n bigint", version)
-        fresh = S.spoken_characters(tokens).join(heads.select("book", "n"), "book", "left").withColumn("p", F.col("p") + F.coalesce("n", F.lit(0))).drop("n")
+        fresh = S.spoken_pieces(tokens).join(heads.select("book", "n"), "book", "left").withColumn("p", F.col("p") + F.coalesce("n", F.lit(0))).drop("n")
         fresh = self._write(fresh, f"characters/v={version}")
-        touched = staging.keep(fresh.groupBy("book").agg(F.min("p").alias("from"), (F.max("p") + 1).alias("n")))
-        told = self._state("characters", f"book {b}, p bigint, c string, start double, end double", version).join(touched.select("book", "from"), "book")
-        tail = told.where(F.col("p") > F.col("from") - S.SEED).drop("from")
-        pairs = S.spoken_grams(tail.unionByName(fresh)).hint("merge").join(self.seeds, ["book", "gram"]).select("book", "w", "s", F.lit(S.SEED).alias("length"))
+        touched = staging.keep(fresh.groupBy("book").agg(F.min("p").alias("from"), F.max(S.piece()[1]).alias("n")))
+        told = self._state("characters", f"book {b}, p bigint, t string, start double, end double", version).join(touched.select("book", "from"), "book")
+        first = F.greatest("p", F.col("from") - (S.SEED - 1))
+        tail = told.where(S.piece()[1] > F.col("from") - (S.SEED - 1)).select("book", first.alias("p"), F.substring(F.col("t"), (first - F.col("p") + 1).cast("int"), F.length("t")).alias("t"), "start", "end")
+        pairs = S.seed_pairs(tail.unionByName(fresh), self.written.join(touched, "book", "left_semi"))
         known = self._state("stretches", f"book {b}, w bigint, s bigint, length int", version).join(touched.select("book", "from"), "book")
         open_ = F.col("s") + F.col("length") > F.col("from") - S.SEED
         grown = S.stretches_of(known.where(open_).drop("from").unionByName(pairs))
@@ -104,7 +105,7 @@ class TranscriptSession:
         """(book, chapter, start_at, length, start, end) as of the latest version, of all books or of those that a version touched: the rows of align_transcript."""
         latest = max(self.versions(), default=-1) + 1
         b = self.kind
-        tables = [self._state("chosen", f"book {b}, w bigint, s bigint, length int", latest), self._state("gaps", f"book {b}, times array<struct<at:bigint,start:double,end:double>>", latest), self._state("characters", f"book {b}, p bigint, c string, start double, end double", latest)]
+        tables = [self._state("chosen", f"book {b}, w bigint, s bigint, length int", latest), self._state("gaps", f"book {b}, times array<struct<at:bigint,start:double,end:double>>", latest), self._state("characters", f"book {b}, p bigint, t string, start double, end double", latest)]
         texts = [self.written, self.sentences, self.ends, self.intervals]
         if touched_by is not None:
             books = self._read(f"heads/v={touched_by}").select("book")
@@ -113,5 +114,5 @@ class TranscriptSession:
         written, sentences, ends, intervals = texts
         staging = Staging(self.spark)
         characters = staging.keep(characters)
-        timed = staging.keep(S.timed_characters(chosen, gaps, characters))
+        timed = staging.keep(S.timed_pieces(chosen, gaps, characters))
         return S.cues_from_times(timed, characters, written, sentences, ends, staging, intervals=intervals)
