@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -30,6 +33,7 @@ IN_WORDS = "'’`-‐‑"
 JAPANESE = r"\x{3040}-\x{30FF}\x{FF66}-\x{FF9D}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3005}-\x{3007}"
 BREAKABLE = r"[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 PERCENT = "ぱーせんと"
+AT_ONCE = 1 << 19  # characters whose places are found at once
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -93,17 +97,66 @@ def owned_ranges(texts: DataFrame) -> DataFrame:
     Opening marks go with the character after them, trailing ones with the one before; marks that hang go with what they hang on:
     after white space, an opening mark or nothing with the next character, else with the one before.
     """
-    return _owned(texts).select("id", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "x")).select("id", F.col("i").cast("bigint").alias("i"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"))
+    return _owned(texts.select("id", "text"))
+
+
+@cache
+def _classes() -> np.ndarray:
+    """For each code point whether it counts, opens, trails, hangs or is white, as bits."""
+    kinds = (T.in_class(T.COUNTED), *(np.isin(np.arange(0x110000), T.points(x)) for x in (OPENS, TRAILS, HANGS)), T.in_class(WHITE))
+    return sum(k.astype(np.uint8) << np.uint8(n) for n, k in enumerate(kinds))
+
+
+def owned_places(texts: list[str], marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many characters count, start, end) of texts, and of their counted characters with the marks that belong to them, or without marks."""
+    counted, open_, trail, hang, white = (1 << k for k in range(5))
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    kinds = _classes()[T.points("\n" + "\n".join(texts) + "\n")]  # a line end, which is white, stands before each text
+    at = np.flatnonzero(kinds & counted)
+    begins = 1 + np.cumsum(lengths + 1) - (lengths + 1)
+    n = np.searchsorted(at, begins + lengths) - np.searchsorted(at, begins)
+    start, end = at.copy(), at + 1
+    if marks:
+        place = np.arange(len(kinds))
+        there = np.flatnonzero(kinds[at + 1] & (trail | hang))  # of those with a mark behind them, the next place without
+        beyond = np.minimum.accumulate(np.where(kinds & (trail | hang), len(kinds), place)[::-1])[::-1]
+        end[there] = beyond[at[there] + 1]
+        there = np.flatnonzero(kinds[at - 1] & (open_ | hang))  # of those with a mark before them, where the run of marks begins
+        run = np.maximum.accumulate(np.where(kinds & (open_ | hang), -1, place))[at[there] - 1] + 1
+        opening = np.minimum.accumulate(np.where(kinds & open_, place, len(kinds))[::-1])[::-1][run]
+        start[there] = np.where(kinds[run - 1] & white, run, np.minimum(opening, at[there]))
+    base = np.repeat(begins, n)
+    return n, start - base, end - base
+
+
+def _some_texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch that hold about AT_ONCE characters, with their texts."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(AT_ONCE, sizes[-1] if len(sizes) else 0, AT_ONCE)), batch.num_rows))
+    low = 0
+    for high in cuts.tolist():
+        if high > low:
+            some = batch.slice(low, high - low)
+            yield some, [x or "" for x in some["text"].to_pylist()]
+        low = high
 
 
 def _owned(texts: DataFrame) -> DataFrame:
-    """texts with the raw ranges of their counted characters as two arrays, starts and ends."""
-    o, t, h = (one_of(x)[1:-1] for x in (OPENS, TRAILS, HANGS))
-    unit = rf"(?:(?<![^{WHITE}])[{o}{h}]+|[{o}][{o}{h}]*)?[{T.COUNTED}][{t}{h}]*"
-    pattern = F.lit(rf"(?s)([^{T.COUNTED}]*?)({unit})")
-    sizes = lambda group: F.transform(F.regexp_extract_all("text", pattern, F.lit(group)), lambda x: F.length(x).cast("bigint"))
-    rows = texts.withColumn("ends", running(sizes(0))).withColumn("units", sizes(2))
-    return rows.withColumn("starts", F.zip_with("ends", "units", lambda end, n: end - n)).drop("units")
+    """(..., i, start, end): the raw range of each counted character of texts (..., text)."""
+    names = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, found in _some_texts(batch):
+                n, start, end = owned_places(found)
+                row = np.repeat(np.arange(len(n)), n)
+                i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                for k in range(0, len(row), AT_ONCE):  # of a long text
+                    part = slice(k, k + AT_ONCE)
+                    yield pa.RecordBatch.from_arrays([*(some[c].take(pa.array(row[part])) for c in names), *(pa.array(x[part]) for x in (i, start, end))], [*names, "i", "start", "end"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != "text")
+    return texts.mapInArrow(run, f"{kinds}, i bigint, start bigint, end bigint")
 
 
 def _sections(nodes: DataFrame) -> DataFrame:
@@ -122,15 +175,13 @@ def owned_ranges_of_nodes(nodes: DataFrame) -> DataFrame:
     Runs of marks go on from node to node; a node with a boundary before it begins anew.  A section between two boundaries (a
     paragraph) is one text, so no whole chapter is.
     """
-    owned = _owned(_sections(nodes)).select("id", "base", "first", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "x"))
-    return owned.select("id", (F.col("first") + F.col("i")).alias("i"), (F.col("base") + F.col("x.starts")).alias("start"), (F.col("base") + F.col("x.ends")).alias("end"))
+    owned = _owned(_sections(nodes).select("id", "base", "first", "text"))
+    return owned.select("id", (F.col("first") + F.col("i")).alias("i"), (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
 
 
 def search_raw_ranges(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, hit, start, end) of hits (id, hit, at, length) in counted characters: the raw range from their first to their last one, without punctuation outside."""
-    pieces = F.regexp_extract_all("text", F.lit(rf"(?s)[^{T.COUNTED}]*[{T.COUNTED}]"), F.lit(0))
-    asked = _asked(hits, "hit", texts).withColumn("ends", running(F.transform(pieces, lambda x: F.length(x).cast("bigint"))))
-    return _answered(asked.withColumn("starts", F.transform("ends", lambda end: end - 1)), "hit")
+    return _answered(_asked(hits, "hit", texts), "hit", False)
 
 
 def _asked(wanted: DataFrame, name: str, texts: DataFrame) -> DataFrame:
@@ -139,17 +190,28 @@ def _asked(wanted: DataFrame, name: str, texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").join(rows.groupBy("id").agg(F.collect_list("x").alias("asked")), "id")
 
 
-def _answered(asked: DataFrame, name: str) -> DataFrame:
-    """(id, name, start, end) of what is asked, from the starts and ends of each text; without those that end beyond it."""
-    n = F.size("ends")
-    inside = F.filter("asked", lambda x: x["last"] < n)
-    found = F.transform(inside, lambda x: F.struct(x[name].alias(name), F.get("starts", x["at"].cast("int")).alias("start"), F.get("ends", x["last"].cast("int")).alias("end")))
-    return asked.select("id", F.inline(found))
+def _answered(asked: DataFrame, name: str, marks: bool) -> DataFrame:
+    """(id, name, start, end) of what is asked of each text; without those that end beyond it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, found in _some_texts(batch):
+                n, start, end = owned_places(found, marks)
+                wanted = some["asked"].flatten()
+                row = np.repeat(np.arange(len(n)), pc.list_value_length(some["asked"]).to_numpy())
+                at, last = (wanted.field(c).to_numpy() for c in ("at", "last"))
+                there = np.flatnonzero(last < n[row])
+                row, at, last = row[there], at[there], last[there]
+                first = (np.cumsum(n) - n)[row]
+                yield pa.RecordBatch.from_arrays([some["id"].take(pa.array(row)), wanted.field(name).take(pa.array(there)), pa.array(start[first + at]), pa.array(end[first + last])], ["id", name, "start", "end"])
+
+    kind = asked.schema["asked"].dataType.elementType[name].dataType.simpleString()
+    return asked.mapInArrow(run, f"id {asked.schema['id'].dataType.simpleString()}, `{name}` {kind}, start bigint, end bigint")
 
 
 def cue_raw_ranges(cues: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, cue, start, end) of cues (id, cue, at, length) in counted characters: the raw range of their characters with their punctuation."""
-    return _answered(_owned(_asked(cues, "cue", texts)), "cue")
+    return _answered(_asked(cues, "cue", texts), "cue", True)
 
 
 def scan_boundary(char: Column, delimiters: str = "", only_japanese: bool = False) -> Column:

@@ -138,3 +138,23 @@ def test_grams_are_told_by_marks(spark):
         rows = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
         got = sorted(map(tuple, B.gram_rows(rows, "k", "t", size, some).collect()))
         assert got == sorted({(k, int(g)) for k, t in enumerate(texts) for g in B.gram_hashes([t], size)[0] if g in some})
+
+
+def test_marks_are_told_on_arrays_of_characters(spark):
+    """No pattern goes through a text from each place where a mark might begin, whatever the text; slices of several texts are gone through at once."""
+    plain = lambda x: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), x)
+    counted, o, t, h, white = plain(T.COUNTED), *map(re.escape, (R.OPENS, R.TRAILS, R.HANGS)), plain(R.WHITE)
+    unit = re.compile(rf"(?:(?<![^{white}])[{o}{h}]+|[{o}][{o}{h}]*)?[{counted}][{t}{h}]*")
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab漢𠮟「（\"。、」…— \u3000\n\x0b&゛", k=rng.randrange(30))) for _ in range(3000)]
+    want = sorted((k, i, m.start(), m.end()) for k, x in enumerate(texts) for i, m in enumerate(unit.finditer(x)))
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "id bigint, text string")
+    found = R.owned_ranges(rows)
+    assert sorted(map(tuple, found.collect())) == want
+    asked = spark.createDataFrame([(k, f"c{k}", k % 4, k % 5 + 1) for k in range(-1, 3001)], "id bigint, cue string, at bigint, length bigint")
+    cues = R.cue_raw_ranges(asked, rows)
+    ends = {x[:2]: x[2:] for x in want}
+    assert sorted(map(tuple, cues.collect())) == [(k, f"c{k}", ends[k, k % 4][0], ends[k, k % 4 + k % 5][1]) for k in range(3000) if (k, k % 4 + k % 5) in ends]
+    for df in (found, cues):
+        assert "regexp" not in plan_of(df)
+    assert all(x == bool(re.match(f"[{counted}]", chr(c))) for c, x in enumerate(T.in_class(T.COUNTED)[:0x33000].tolist()))
