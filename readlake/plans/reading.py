@@ -88,12 +88,7 @@ def broken_chapters(spark, sf_dir) -> DataFrame:
     SELECT book, ord, track, variant_of, count(*) AS n, string_agg(c, '' ORDER BY k, i, j) AS text, md5(string_agg(start || '-' || "end", ',' ORDER BY k, i, j)) AS spans_md5 FROM lines GROUP BY book, ord, track, variant_of""")
 def t5_spoken_tracks(spark, sf_dir):
     """A row for each track of a chapter: its text, and a digest of the source characters of each of its own."""
-    spans = lambda x: F.array_join(F.transform(x, lambda e: F.concat_ws("-", e["start"], e["end"])), ",")
-    said = lambda x: F.array_join(F.transform(x, lambda e: e["c"]), "")
-    rows = K.spoken_pieces(broken_chapters(spark, sf_dir)).where("size(x) > 0").select("book", "ord", "track", "variant_of", F.struct("p", said(F.col("x")).alias("text"), spans(F.col("x")).alias("spans")).alias("piece"), F.size("x").cast("bigint").alias("n"))
-    rows = rows.groupBy("book", "ord", "track", "variant_of").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    text, all_spans = (F.array_join(F.col(f"pieces.{c}"), by) for c, by in (("text", ""), ("spans", ",")))
-    return rows.select("book", "ord", "track", "variant_of", "n", text.alias("text"), F.md5(all_spans.cast("binary")).alias("spans_md5"))
+    return K.track_digests(broken_chapters(spark, sf_dir))
 
 
 #: White space in the SQL's pattern language.

@@ -1,5 +1,6 @@
 """Plans stay within memory: what is exploded is joined by shuffles, whatever its size is taken for."""
 
+import hashlib
 import random
 import re
 
@@ -158,3 +159,18 @@ def test_marks_are_told_on_arrays_of_characters(spark):
     for df in (found, cues):
         assert "regexp" not in plan_of(df)
     assert all(x == bool(re.match(f"[{counted}]", chr(c))) for c, x in enumerate(T.in_class(T.COUNTED)[:0x33000].tolist()))
+
+
+def test_tracks_are_made_in_the_row(spark):
+    """A chapter's tracks are neither shuffled nor written on the way, and say what their characters stand for."""
+    chapters = spark.createDataFrame([("b", 0, "<p>ab<ruby>cd<rt>xyz</rt></ruby>5%</p>"), ("b", 1, None)], "book string, ord bigint, html string")
+    found, digests = K.spoken_lines(chapters.withColumn("base", F.lit(10))), K.track_digests(chapters)
+    for df in (found, digests):
+        assert "Exchange" not in plan_of(df) and "staged" not in plan_of(df)
+    own = [*range(4), *[4] * 6]
+    read = [(0, 1), (1, 2), (2, 3), (2, 4), (3, 4), *[(4, 5)] * 6]
+    spans = {0: [(k, k + 1) for k in range(5)], 1: read[:6], 2: [(k, k + 1) for k in own], 3: read}
+    text = {0: "abcd5", 1: "abxyz5", 2: "abcd5ぱーせんと", 3: "abxyz5ぱーせんと"}
+    assert sorted((r.track, r.variant_of, r.text, list(zip(r.start, r.end))) for r in found.collect() if r.ord == 0) == [(k, k - 2 if k > 1 else None, text[k], [(a + 10, b + 10) for a, b in spans[k]]) for k in range(4)]
+    want = {k: hashlib.md5(",".join(f"{a}-{b}" for a, b in x).encode()).hexdigest() for k, x in spans.items()}
+    assert {r.track: r.spans_md5 for r in digests.collect()} == want and {r.n for r in digests.collect()} == {5, 6, 10, 11}
