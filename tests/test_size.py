@@ -174,3 +174,15 @@ def test_tracks_are_made_in_the_row(spark):
     assert sorted((r.track, r.variant_of, r.text, list(zip(r.start, r.end))) for r in found.collect() if r.ord == 0) == [(k, k - 2 if k > 1 else None, text[k], [(a + 10, b + 10) for a, b in spans[k]]) for k in range(4)]
     want = {k: hashlib.md5(",".join(f"{a}-{b}" for a, b in x).encode()).hexdigest() for k, x in spans.items()}
     assert {r.track: r.spans_md5 for r in digests.collect()} == want and {r.n for r in digests.collect()} == {5, 6, 10, 11}
+
+
+def test_pieces_and_their_characters_are_made_in_the_row(spark):
+    """No shuffle of pieces, no window over a chapter; a sign behind a piece, markup in what is decoded, and marks that stand apart."""
+    html = ["<p>か-゙<ruby>漢字<rt>カンジ％</rt></ruby>%。 &lt;b&gt;x5％<ruby>y<rt></rt></ruby></p>", "", None, "%<ruby 5% "]
+    pieces = R.spoken_pieces(spark.createDataFrame([("b", k, x) for k, x in enumerate(html)], "book string, ord bigint, html string"))
+    found = R.spoken_characters(pieces, with_percent=True)
+    assert "Window" not in plan_of(found) and "Exchange" not in plan_of(found)
+    want = [(0, 1, 0, 1, "が", False), (0, 2, 1, 2, "かんじ", True), (0, 3, 3, 3, "x5", True), (0, 4, 6, 1, "y", False), (3, 1, 0, 5, "ruby5", True)]
+    assert sorted(tuple(r)[1:] for r in pieces.collect()) == want
+    rows = sorted((r.ord, r.k, r.i, r.spoken, r.start, r.end) for r in found.collect())
+    assert [x[2:] for x in rows if x[:2] == (0, 2)] == [(0, "か", 1, 2), (1, "ん", 1, 3), (2, "じ", 2, 3), *[(3 + k, c, 2, 3) for k, c in enumerate("ぱーせんと")]]
